@@ -1 +1,9 @@
+"""Registered queries and their SQL, by family."""
 
+from . import nested
+
+QUERIES: dict = {}
+ORACLE: dict = {}
+for _m in (nested,):
+    QUERIES |= _m.QUERIES
+    ORACLE |= _m.ORACLE
