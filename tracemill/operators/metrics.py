@@ -64,15 +64,22 @@ def anls(pred: Column, golds: Column, floor: float = 0.5) -> Column:
 
 def bleu4(df: DataFrame, pred: str, gold: str, group: list[str]) -> DataFrame:
     """Corpus BLEU-4 per group from clipped n-gram counts summed over rows, on lower-case words; no smoothing."""
-    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\W+"), lambda w: w != "")
-    x = df.select(*group, words(F.col(pred)).alias("p"), words(F.col(gold)).alias("g"))
+    def words(c: str) -> Column:
+        return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\W+"), lambda w: w != "")
+
+    def grams(c: str, n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.array_join(F.slice(c, i, n), " "))
+        return F.when(F.size(c) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    def clipped(p: str, g: str) -> Column:
+        times = lambda arr, v: F.size(F.filter(arr, lambda y: y == v))
+        return F.aggregate(F.array_distinct(p), F.lit(0), lambda s, v: s + F.least(times(F.col(p), v), times(F.col(g), v)))
+
+    x = df.select(*group, words(pred).alias("p"), words(gold).alias("g"))
     sums = [F.sum(F.size("p")).alias("lp"), F.sum(F.size("g")).alias("lg")]
     for n in range(1, 5):
-        grams = lambda c, n=n: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.array_join(F.slice(c, i, n), " "))).otherwise(F.array().cast("array<string>"))
-        x = x.withColumns({f"p{n}": grams(F.col("p")), f"g{n}": grams(F.col("g"))})
-        count = lambda arr, v: F.size(F.filter(arr, lambda y: y == v))
-        clipped = F.aggregate(F.array_distinct(f"p{n}"), F.lit(0), lambda s, v, n=n: s + F.least(count(F.col(f"p{n}"), v), count(F.col(f"g{n}"), v)))
-        sums += [F.sum(clipped).alias(f"m{n}"), F.sum(F.size(f"p{n}")).alias(f"t{n}")]
+        x = x.withColumns({f"p{n}": grams("p", n), f"g{n}": grams("g", n)})
+        sums += [F.sum(clipped(f"p{n}", f"g{n}")).alias(f"m{n}"), F.sum(F.size(f"p{n}")).alias(f"t{n}")]
     y = x.groupBy(*group).agg(*sums)
     logs = sum((F.log(F.when(F.col(f"m{n}") > 0, F.col(f"m{n}") / F.col(f"t{n}"))) for n in range(1, 5)), F.lit(0.0)) / 4
     brevity = F.when(F.col("lp") >= F.col("lg"), 1.0).otherwise(F.exp(1 - F.col("lg") / F.col("lp")))

@@ -1,9 +1,9 @@
 """Registered queries and their SQL, by family."""
 
-from . import nested
+from . import nested, relational, scoring
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (nested,):
+for _m in (nested, scoring, relational):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
