@@ -44,6 +44,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*")
 DONE, CUT, OPEN, EMPTY = "done", "cut", "open", "empty"
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "（": "）", "「": "」", "【": "】"}
 _CLOSE = {v: k for k, v in _PAIRS.items()}
+_BRACKETS = re.compile("[" + re.escape("".join(_PAIRS) + "".join(_PAIRS.values())) + "]")
 
 
 def sections(text: str) -> list[str]:
@@ -52,11 +53,13 @@ def sections(text: str) -> list[str]:
 
 def value_of(text: str) -> str | None:
     """The value section of a structured reply, the text itself if it has no sections, None if the value section is absent."""
-    if any(s in text for s in SECTIONS) and (text.lstrip().startswith(SECTIONS) or _SECTION.search(text)):
-        m = None
-        for m in _VALUE.finditer(text):
-            pass
-        return text[m.end() :] if m else None
+    if '"' in text and any(s in text for s in SECTIONS) and (text.lstrip().startswith(SECTIONS) or _SECTION.search(text)):
+        at = text.rfind(SECTIONS[-1])
+        while at >= 0:
+            if m := _VALUE.match(text, at):
+                return text[m.end() :]
+            at = text.rfind(SECTIONS[-1], 0, at)
+        return None
     return text
 
 
@@ -64,8 +67,8 @@ def strip_left(text: str) -> tuple[str, bool]:
     """The text without what a transfer left at its end, and whether that was more than blanks."""
     t, dots = text, False
     while True:
-        u = _STOP.sub("", t)
-        m = _LEFT.search(u)
+        u = _STOP.sub("", t) if t.endswith((">", "> ", ">\n")) else t
+        m = _LEFT.search(u, max(0, len(u) - 4096)) if u and (u[-1] in ".…�]" or not u[-1].isprintable() or u[-1].isspace()) else None
         if m:
             dots = dots or bool(m.group().strip(" \t\r\n\xa0​‌‍﻿"))
             u = u[: m.start()]
@@ -77,7 +80,7 @@ def strip_left(text: str) -> tuple[str, bool]:
 def _open_bracket(line: str) -> bool:
     """Whether the last line opens a bracket or quotation it does not close."""
     stack: list[str] = []
-    for c in line:
+    for c in _BRACKETS.findall(line):
         if c in _PAIRS:
             stack.append(c)
         elif c in _CLOSE and stack and stack[-1] == _CLOSE[c]:
@@ -87,6 +90,9 @@ def _open_bracket(line: str) -> bool:
 
 def nothing_in(value: str) -> bool:
     """Whether a value is blank but for invisible characters, quotes, tags and answer markers without an answer."""
+    body = value[: value.find("<")] if "<" in value else value
+    if len(body) > 80 and any(c.isalnum() for c in body[40:80]):
+        return False  # more letters than any marker has
     x = _LABELS.sub(" ", _TAGS.sub(" ", _STOP.sub("", value)))
     return not any(c.isalnum() or c in "�…" for c in x) and "..." not in x
 
@@ -108,18 +114,27 @@ def inspect(text: str | None) -> tuple[str, str, str]:
     v = value_of(text)
     if v is None:
         return CUT, "", ""
-    v = _IMAGE.sub("", v)
+    v = _bare(v)
     if nothing_in(v):
         return EMPTY, "", ""
     t, left = strip_left(v)
-    line = t.rsplit("\n", 1)[-1]
-    words = _WORD.findall(line)
-    state = _state(t, left, line) if t else CUT
-    return CUT if "�" in v[len(t) :] else state, words[-1].lower() if words else "", opening(t)
+    state = _state(t, left, t[t.rfind("\n") + 1 :]) if t else CUT
+    return CUT if "�" in v[len(t) :] else state, _last_word(t), opening(t)
+
+
+def _bare(value: str) -> str:
+    return _IMAGE.sub("", value) if "<image>" in value else value
+
+
+def _last_word(t: str) -> str:
+    """Of the last line; a longer last word than the tail looked at is taken from its last part."""
+    words = _WORD.findall(t[max(t.rfind("\n") + 1, len(t) - 80) :])
+    return words[-1].lower() if words else ""
 
 
 def _state(t: str, left: bool, line: str) -> str:
-    if _BARE.search(line) and len(t) > 40 or line.count("**") % 2 or _open_bracket(line):
+    end = line if len(line) <= 160 else "x" + line[-160:]  # markers stand at the end
+    if len(t) > 40 and t[-1] in ":]*_" and _BARE.search(end) or line.count("**") % 2 or _open_bracket(line):
         return CUT
     if t[0] in "[{" and not left:
         try:
@@ -132,13 +147,18 @@ def _state(t: str, left: bool, line: str) -> str:
         token = re.search(r"\s(\S+)\.$", bare)
         return CUT if token and token.group(1).lstrip("(\"'“[") in ABBREVIATIONS else DONE
     if not left:
-        m = _MARK.search(line)
+        m = _MARK.search(end)
         if m:
             rest = m.group("rest").strip(" *_")
             return DONE if rest and len(rest.split()) <= 8 else CUT
-        if _LIST.match(line) and "\n" in t or _DASHED.search(line):
+        if _LIST.match(line) and "\n" in t or _DASHED.search(end):
             return DONE
-    fragment = _SENTENCE.split(t)[-1].strip()
+    at = 0
+    for m in _SENTENCE.finditer(t, max(0, len(t) - 400)):
+        at = m.end()
+    if not at and len(t) > 400:
+        return CUT  # a long last sentence without its end
+    fragment = t[at:].strip()
     n = len(_WORD.findall(fragment))
     han = sum("㐀" <= c <= "鿿" for c in fragment)
     whole = fragment == t.strip()
@@ -153,18 +173,6 @@ def _phrase_after(text: str, fragment: str) -> bool:
     return at > 0 and text[at - 1] == "\n" and len(fragment.split()) <= 5
 
 
-def contexts(text: str | None) -> tuple[set[str], str, bool]:
-    """What a value tells about endings: last words of its finished sentences, its opening, and whether it ends in a full stop."""
-    state, last, first = inspect(text)
-    if state == EMPTY or not text:
-        return set(), "", False
-    v = value_of(text) or ""
-    ends = {w[-1].lower() for p in _SENTENCE.split(v)[:-1] if (w := _WORD.findall(p))}
-    if state == DONE and last:
-        ends.add(last)
-    return ends, first, bool(_END.search(strip_left(v)[0].rstrip(_CLOSERS)))
-
-
 def values(cases: DataFrame, examples: DataFrame, role: str = "Moderator") -> DataFrame:
     """(tab, rec_id, msg_no, source, text): every message content and every text of the role; null texts and ids are left out."""
     a = cases.select(F.lit("demo_case").alias("tab"), F.col("case_id").alias("rec_id"), F.lit(-1).cast("bigint").alias("msg_no"), "source_dataset", F.element_at("example_reasoning", role).alias("text"))
@@ -173,14 +181,22 @@ def values(cases: DataFrame, examples: DataFrame, role: str = "Moderator") -> Da
     return a.unionByName(b).where("text is not null and rec_id is not null").withColumnRenamed("source_dataset", "source")
 
 
-def length_variants(text: Column) -> dict[str, Column]:
-    """The lengths a store may have counted."""
-    n, wide = F.length(text), F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
-    other = F.length(F.regexp_replace(text, r"[\x00-\x7F]", ""))
-    lines = F.length(F.regexp_replace(text, r"[^\n]", ""))
-    quotes = F.length(F.regexp_replace(text, r"[^\"\\\t\r\n]", ""))
-    entity = 4 * F.length(F.regexp_replace(text, "[^&]", "")) + 3 * F.length(F.regexp_replace(text, "[^<>]", "")) + 5 * F.length(F.regexp_replace(text, "[^\"']", ""))
-    return {"chars": n, "utf8": F.octet_length(text), "utf16": n + wide, "entities": n + entity, "json": n + quotes, "json_ascii": n + quotes + 5 * other + 6 * wide, "crlf": n + lines}
+#: The lengths a store may have counted.
+VARIANTS = ("chars", "utf8", "utf16", "entities", "json", "json_ascii", "crlf")
+
+
+def lengths(t: str) -> tuple[int, ...]:
+    """A value's length by each of VARIANTS."""
+    n, lines = len(t), t.count("\n")
+    if t.isascii():
+        utf8, wide, other = n, 0, 0
+    else:
+        utf8 = len(t.encode("utf-8", "surrogatepass"))
+        wide = sum(c > "\uffff" for c in t)
+        other = sum(c > "\x7f" for c in t)
+    quotes = t.count('"')
+    json_ = n + quotes + t.count("\\") + t.count("\t") + t.count("\r") + lines
+    return n, utf8, n + wide, n + 4 * t.count("&") + 3 * (t.count("<") + t.count(">")) + 5 * (quotes + t.count("'")), json_, json_ + 5 * other + 6 * wide, n + lines
 
 
 def hidden_limits(looked: DataFrame, ratio: float = 6.0, least: int = 5, reach: int = 8) -> DataFrame:
@@ -190,31 +206,81 @@ def hidden_limits(looked: DataFrame, ratio: float = 6.0, least: int = 5, reach:
     least `least` values of it look cut and `ratio` times as many as the mean of the lengths within `reach`. Counts are
     taken over all values; the table has one row per distinct length. Lengths under 64 are no limits of free text.
     """
-    names = list(length_variants(F.lit("")))
-    x = looked.select("tab", "source", "state", F.explode(F.array(*(F.struct(F.lit(k).alias("variant"), F.col(k).alias("length")) for k in names))).alias("s")).select("tab", "source", "state", "s.*")
-    x = x.where("length >= 64").groupBy("tab", "source", "variant", "length").agg(F.count("*").alias("values"), F.count_if(F.col("state") == CUT).alias("cuts"))
+    x = looked.select("tab", "source", "state", F.posexplode("lengths").alias("no", "length")).where("length >= 64")
+    x = x.select("tab", "source", "state", F.get(F.array(*map(F.lit, VARIANTS)), F.col("no")).alias("variant"), "length").groupBy("tab", "source", "variant", "length").agg(F.count("*").alias("values"), F.count_if(F.col("state") == CUT).alias("cuts"))
     x = x.where("source is not null").unionByName(x.groupBy("tab", "variant", "length").agg(F.sum("values").alias("values"), F.sum("cuts").alias("cuts")).withColumn("source", F.lit(None).cast("string")))
     w = Window.partitionBy("tab", "source", "variant").orderBy("length").rangeBetween(-reach, reach)
     x = x.withColumn("around", (F.sum("cuts").over(w) - F.col("cuts")) / (2 * reach))
     return x.where((F.col("cuts") >= least) & (F.col("cuts") >= ratio * F.greatest("around", F.lit(0.1))))
 
 
-VERDICT = "tab string, rec_id bigint, msg_no bigint, source string, state string, last string, first string"
+LOOKED = "kind string, tab string, rec_id bigint, msg_no bigint, source string, state string, last string, first string, lengths array<int>, a bigint, b bigint"
 
 
 def looked_at(vals: DataFrame) -> DataFrame:
-    """(tab, rec_id, msg_no, source, state, last, first, lengths...) of every value, once per key; empty values too."""
-    names = list(length_variants(F.lit("")))
+    """One pass over all texts. kind 'value': the state of each value with its last word, opening and lengths. Kinds
+    'last' and 'first': terminal contexts, counted per batch: how often the word `last` ends a finished sentence (a) or a
+    value without a full stop (b), and how many values have the opening `first` (a) and end in a full stop (b)."""
 
     def look(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            s = [inspect(t) for t in pdf["text"]]
-            out = pdf[["tab", "rec_id", "msg_no", "source", *names]].copy()
-            out["state"], out["last"], out["first"] = ([r[k] for r in s] for k in range(3))
-            yield out
+            model = Contexts()
+            seen, sizes = [], []
+            for t in pdf["text"]:
+                seen.append(r := inspect(t))
+                sizes.append(lengths(t) if t else (0,) * len(VARIANTS))
+                model.add(t, r)
+            out = pdf[["tab", "rec_id", "msg_no", "source"]].assign(kind="value", lengths=sizes, a=0, b=0)
+            out["state"], out["last"], out["first"] = ([r[k] for r in seen] for k in range(3))
+            yield out[_COLS]
+            yield model.rows().assign(tab=None, rec_id=None, msg_no=None, source=None, state=None, lengths=None)[_COLS]
+
+    return vals.select("tab", "rec_id", "msg_no", "source", "text").mapInPandas(look, LOOKED)
+
+
+_COLS = [c.split()[0] for c in LOOKED.split(", ")]
+def sentence_ends(value: str) -> tuple[list[str], bool]:
+    """Last words of the sentences that another one follows, and whether the value ends in a full stop."""
+    ends = [p[-40:].rsplit(None, 1)[-1].strip(_AROUND).lower() for p in value.split(". ")[:-1] if p.strip()]
+    if "? " in value:
+        ends += [p[-40:].rsplit(None, 1)[-1].strip(_AROUND).lower() for p in value.split("? ")[:-1] if p.strip()]
+    return ends, bool(_END.search(strip_left(value[-200:])[0].rstrip(_CLOSERS)))
 
-    x = vals.select("tab", "rec_id", "msg_no", "source", "text", *(c.cast("bigint").alias(k) for k, c in length_variants(F.col("text")).items()))
-    return x.mapInPandas(look, VERDICT + "".join(f", {k} bigint" for k in names)).dropDuplicates(["tab", "rec_id", "msg_no"])
+
+_AROUND = "()[]{}*_\"'“”‘’«»,;:"
+
+
+class Contexts:
+    """Terminal contexts of a batch of texts."""
+
+    def __init__(self) -> None:
+        self.last: dict[str, list[int]] = {}
+        self.first: dict[str, list[int]] = {}
+
+    def add(self, text: str | None, seen: tuple[str, str, str]) -> None:
+        state, word, opens = seen
+        if state == EMPTY or not text:
+            return
+        ends, stop = sentence_ends(value_of(text) or "")
+        if state == DONE and word:
+            ends.append(word)
+        for w in ends:
+            self.last.setdefault(w, [0, 0])[0] += 1
+        c = self.first.setdefault(opens, [0, 0])
+        c[0] += 1
+        c[1] += stop
+        if not stop:
+            self.last.setdefault(word, [0, 0])[1] += 1
+
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame([("last", w, None, a, b) for w, (a, b) in self.last.items()] + [("first", None, w, a, b) for w, (a, b) in self.first.items()], columns=["kind", "last", "first", "a", "b"])
+
+
+def ending_model(looked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(last, n_last, n_bare) and (first, n_first, stops) over all values."""
+    x = looked.where("kind != 'value'")
+    last = x.where("kind = 'last'").groupBy("last").agg(F.sum("a").alias("n_last"), F.sum("b").alias("n_bare"))
+    return last, x.where("kind = 'first'").groupBy("first").agg(F.sum("a").alias("n_first"), F.sum("b").alias("stops"))
 
 
 def verdicts(vals: DataFrame) -> DataFrame:
@@ -222,40 +288,18 @@ def verdicts(vals: DataFrame) -> DataFrame:
 
     Values that come again under the same key count once. A null source has no limits of its own.
     """
-    x = cut_lineage(looked_at(vals)).where(f"state != '{EMPTY}'")
-    names = list(length_variants(F.lit("")))
+    looked = cut_lineage(looked_at(vals))
+    x = looked.where(f"kind = 'value' and state != '{EMPTY}'").select("tab", "rec_id", "msg_no", "source", "state", "last", "first", "lengths").dropDuplicates(["tab", "rec_id", "msg_no"])
     limits = hidden_limits(x).select("tab", F.coalesce("source", F.lit("")).alias("source"), "variant", "length")
     open_ = x.where(f"state = '{OPEN}'")
-    lengths = F.explode(F.array(*(F.struct(F.lit(k).alias("variant"), F.col(k).alias("length")) for k in names)))
-    hits = open_.select("tab", "rec_id", "msg_no", F.explode(F.array(F.lit(""), F.coalesce("source", F.lit("")))).alias("source"), lengths.alias("s")).select("tab", "rec_id", "msg_no", "source", "s.*")
+    hits = open_.select("tab", "rec_id", "msg_no", F.explode(F.array(F.lit(""), F.coalesce("source", F.lit("")))).alias("source"), "lengths")
+    hits = hits.select("tab", "rec_id", "msg_no", "source", F.posexplode("lengths").alias("no", "length"))
+    hits = hits.select("tab", "rec_id", "msg_no", "source", F.get(F.array(*map(F.lit, VARIANTS)), F.col("no")).alias("variant"), "length")
     hits = hits.join(limits, ["tab", "source", "variant", "length"], "left_semi").select("tab", "rec_id", "msg_no").distinct().withColumn("at_limit", F.lit(True))
     keep = ["tab", "rec_id", "msg_no", "source", "state", "last", "first"]
     open_ = open_.select(keep).join(hits, ["tab", "rec_id", "msg_no"], "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
     done = x.where(f"state != '{OPEN}'").select(*keep, F.lit(False).alias("at_limit"))
-    return done.unionByName(settle(open_, ending_model(vals)))
-
-
-def ending_model(vals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Terminal contexts of all values: (last, n_last, n_bare) and (first, n, stops), counted per batch before the shuffle."""
-
-    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            seen: dict[tuple[str, str], list[int]] = {}
-            for t in pdf["text"]:
-                ends, first, stop = contexts(t)
-                for w in ends:
-                    seen.setdefault(("last", w), [0, 0])[0] += 1
-                if first:
-                    c = seen.setdefault(("first", first), [0, 0])
-                    c[0] += 1
-                    c[1] += stop
-                    if not stop:
-                        seen.setdefault(("last", inspect(t)[1]), [0, 0])[1] += 1
-            yield pd.DataFrame([(k, w, a, b) for (k, w), (a, b) in seen.items()], columns=["kind", "word", "a", "b"])
-
-    x = vals.select("text").mapInPandas(count, "kind string, word string, a bigint, b bigint").groupBy("kind", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    x = cut_lineage(x)
-    return x.where("kind = 'last'").select(F.col("word").alias("last"), F.col("a").alias("n_last"), F.col("b").alias("n_bare")), x.where("kind = 'first'").select(F.col("word").alias("first"), F.col("a").alias("n_first"), F.col("b").alias("stops"))
+    return done.unionByName(settle(open_, ending_model(looked)))
 
 
 def settle(x: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:

@@ -182,5 +182,5 @@ def defects(p: DataFrame, texts: DataFrame) -> DataFrame:
     x = cutoff.cut_lineage(x)
     sure = x.where("defect != ''").select("tab", "rec_id", "msg_no", "defect")
     open_ = x.where("defect = ''").select("tab", "rec_id", "msg_no", "state", "last", "first", F.lit(False).alias("at_limit"))
-    late = cutoff.settle(open_, cutoff.ending_model(texts)).where(f"state = '{cutoff.CUT}'").select("tab", "rec_id", "msg_no", F.lit("truncated").alias("defect"))
+    late = cutoff.settle(open_, cutoff.ending_model(cutoff.looked_at(texts))).where(f"state = '{cutoff.CUT}'").select("tab", "rec_id", "msg_no", F.lit("truncated").alias("defect"))
     return sure.unionByName(late)
