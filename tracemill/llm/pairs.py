@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import zstandard
@@ -33,6 +34,7 @@ FUNCTION_WORDS = {
 }
 _WORDS = re.compile(r"[^\W\d_]+")
 _ELISION = re.compile(r"\b(?:[dlnscj]|qu)['’](?=[^\W\d_])", re.I)
+_HAN = re.compile("[㐀-鿿]")
 _LANGS = {}
 for _l, _ws in FUNCTION_WORDS.items():
     for _w in set(_ws.split()):
@@ -57,34 +59,50 @@ _REFUSALS = [
     r"(?:无法|不能|不可以|不便|拒绝)(?:回答|提供|协助|帮助|讨论|评论)",
 ]
 REFUSAL = re.compile("|".join(f"(?:{r})" for r in _REFUSALS), re.I)
+#: Every phrase above has one of these; texts without any need no closer look.
+_CUES = "sorry|can't|can’t|cannot|can not|could not|won't|won’t|will not|must|have to|decline|refuse|unable|not able|not allowed|not permitted|may not|as a|blocked|denied|rejected|outside|polic|prohibited|forbidden|no answer|no response|no reply|appropriate|allowed|permitted|comfortable|qualified|feel able|prefer not|peux|puis|pouvons|saurais|refus|kann|darf|können|möchte|werde|puedo|podemos|debo|posso|devo|无法|不能|不可以|不便|拒绝".split("|")
 #: A lead-in before a copy, and other words it may add.
 LEAD_WORDS = 10
 
 
+@lru_cache(50_000)
 def language(text: str | None, least: float = 2.0) -> str | None:
     """en, fr, de, es, pt or zh by function words; None if too few of them, or if two languages are as likely."""
     if not text:
         return None
-    han = sum("㐀" <= c <= "鿿" for c in text)
-    words = _WORDS.findall(text.lower())
-    if han >= 4 and han * 2 > sum(map(len, words)) - han:
-        return "zh"
+    low = text.lower()
+    words = _WORDS.findall(low)
     score = dict.fromkeys(FUNCTION_WORDS, 0.0)
     for w in words:
-        for lang in (ls := _LANGS.get(w, ())):
-            score[lang] += 1 if len(ls) == 1 else 0.6
-    score["fr"] += 0.7 * len(_ELISION.findall(text))
-    for c, langs in (("ß", "de"), ("ñ", "es"), ("¿", "es"), ("ã", "pt"), ("õ", "pt"), ("œ", "fr"), ("ê", "fr")):
-        if c in text.lower():
-            score[langs] += 0.7
+        if ls := _LANGS.get(w):
+            for lang in ls:
+                score[lang] += 1 if len(ls) == 1 else 0.6
+    if not text.isascii():
+        han = len(_HAN.findall(text))
+        if han >= 4 and han * 2 > sum(map(len, words)) - han:
+            return "zh"
+        for c, lang in (("ß", "de"), ("ñ", "es"), ("¿", "es"), ("ã", "pt"), ("õ", "pt"), ("œ", "fr"), ("ê", "fr")):
+            if c in low:
+                score[lang] += 0.7
+    if "’" in low or "'" in low:
+        score["fr"] += 0.7 * len(_ELISION.findall(text))
     (best, a), (_, b) = sorted(score.items(), key=lambda x: -x[1])[:2]
     return best if a >= least and a > 1.25 * b else None
 
 
+def is_refusal(text: str) -> bool:
+    low = text.lower()
+    return any(c in low for c in _CUES) and REFUSAL.search(text) is not None
+
+
 def strip_markup(value: str) -> str:
     """The words of a value: without tags, stop marks, answer labels and what a transfer left behind."""
     v, _ = cutoff.strip_left(value)
-    return cutoff._LABELS.sub(" ", cutoff._TAGS.sub(" ", v)).strip()
+    if "<" in v:
+        v = cutoff._TAGS.sub(" ", v)
+    if "]" in v or ":" in v:
+        v = cutoff._LABELS.sub(" ", v)
+    return v.strip()
 
 
 def compressed(data: bytes, dictionary: bytes | None = None) -> int:
@@ -112,12 +130,20 @@ def questions(prompt: str) -> list[str]:
     return list(dict.fromkeys(x for x in out if x.strip()))
 
 
+_SPLIT = re.compile(r"[^\w]+")
+
+
 def is_copy(response: str, prompt: str) -> bool:
-    r = [w.lower() for w in cutoff._WORD.findall(response)]
-    if not r:
-        return False
-    low = " ".join(r)
+    have, r = set(_SPLIT.split(response.lower())), None
     for q in questions(prompt):
+        want = set(_SPLIT.split(q.lower()))
+        if len(have & want) * 2 < len(want):  # a copy has far more of the question's words
+            continue
+        if r is None:
+            r = [w.lower() for w in cutoff._WORD.findall(response)]
+            low = " ".join(r)
+        if not r:
+            return False
         p = [w.lower() for w in cutoff._WORD.findall(q)]
         if not p or len(r) < 0.8 * len(p) or len(p) < 2:
             continue
@@ -156,7 +182,7 @@ def judge(response: str | None, prompt: str | None, first: str | None) -> tuple[
     if v is None:
         return "truncated", state, last, opening
     text = strip_markup(v)
-    if REFUSAL.search(text):
+    if is_refusal(text):
         return "refusal", state, last, opening
     if prompt and is_copy(text, prompt):
         return "copy", state, last, opening
@@ -168,19 +194,26 @@ def judge(response: str | None, prompt: str | None, first: str | None) -> tuple[
     return "truncated" if state == cutoff.CUT else "", state, last, opening
 
 
-def defects(p: DataFrame, texts: DataFrame) -> DataFrame:
-    """(tab, rec_id, msg_no, defect): defective pairs, each once. texts (column text) feed the terminal contexts."""
+def defects(p: DataFrame) -> DataFrame:
+    """(tab, rec_id, msg_no, defect): defective pairs, each once. Terminal contexts are those of all responses and prompts."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
+            model = cutoff.Contexts()
+            got = []
+            for x in zip(pdf["response"], pdf["prompt"], pdf["first"]):
+                got.append(g := judge(*x))
+                model.add(x[0], g[1:])
+                model.add(x[1], cutoff.inspect(x[1]))
             out = pdf[["tab", "rec_id", "msg_no"]].copy()
-            got = [judge(*x) for x in zip(pdf["response"], pdf["prompt"], pdf["first"])]
             out["defect"], out["state"], out["last"], out["first"] = ([g[k] for g in got] for k in range(4))
-            yield out[(out["defect"] != "") | (out["state"] == cutoff.OPEN)]
-
-    x = p.mapInPandas(run, "tab string, rec_id bigint, msg_no bigint, defect string, state string, last string, first string").dropDuplicates(["tab", "rec_id", "msg_no"])
-    x = cutoff.cut_lineage(x)
-    sure = x.where("defect != ''").select("tab", "rec_id", "msg_no", "defect")
-    open_ = x.where("defect = ''").select("tab", "rec_id", "msg_no", "state", "last", "first", F.lit(False).alias("at_limit"))
-    late = cutoff.settle(open_, cutoff.ending_model(cutoff.looked_at(texts))).where(f"state = '{cutoff.CUT}'").select("tab", "rec_id", "msg_no", F.lit("truncated").alias("defect"))
-    return sure.unionByName(late)
+            yield out[(out["defect"] != "") | (out["state"] == cutoff.OPEN)].assign(kind="value", a=0, b=0)[cols]
+            yield model.rows().assign(tab=None, rec_id=None, msg_no=None, defect=None, state=None)[cols]
+
+    schema = "kind string, tab string, rec_id bigint, msg_no bigint, defect string, state string, last string, first string, a bigint, b bigint"
+    cols = [c.split()[0] for c in schema.split(", ")]
+    x = cutoff.cut_lineage(p.mapInPandas(run, schema))
+    v = x.where("kind = 'value'").select("tab", "rec_id", "msg_no", "defect", "state", "last", "first").distinct()
+    open_ = v.where("defect = ''").select("tab", "rec_id", "msg_no", "state", "last", "first", F.lit(False).alias("at_limit"))
+    late = cutoff.settle(open_, cutoff.ending_model(x)).where(f"state = '{cutoff.CUT}'").select("tab", "rec_id", "msg_no", F.lit("truncated").alias("defect"))
+    return v.where("defect != ''").select("tab", "rec_id", "msg_no", "defect").unionByName(late)

@@ -52,10 +52,7 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _defects(spark: SparkSession, d: str) -> DataFrame:
-    cases, examples = table(spark, d, "demo_case"), table(spark, d, "data_example")
-    p = pairs.pairs(cases, examples)
-    texts = cutoff.values(cases, examples).select("text").unionByName(p.where("tab = 'demo_case' and response is not null").select(F.col("response").alias("text")))
-    return pairs.defects(p, texts)
+    return pairs.defects(pairs.pairs(table(spark, d, "demo_case"), table(spark, d, "data_example")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
