@@ -23,13 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .mixing import source_key
 
-#: A little under nine tenths: hyphenated words count as several here, and unrelated questions stay below 0.84.
-AGREE = 0.88
-WIDTH = 2
+AGREE = 0.9
+#: Words in a shingle. The bound's prefix grows with 2 * width - 1; rare single words give the fewest candidates here.
+WIDTH = 1
 #: Cells of the frequency table: 4 bytes each, whatever the input's size.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: A shingle whose cell holds more than this is spread over SALTS parts.
 HOT, SALTS = 5_000, 16
 
@@ -50,15 +51,17 @@ def source_number(c: Column) -> Column:
 
 
 def records(cases: DataFrame) -> DataFrame:
-    """(case_id, train, split, src, sid, words): re-delivered cases once; rows with no known split are left out."""
+    """(case_id, train, split, src, sid, cid, words): words as 64-bit hashes, cid their md5 (null without words). Rows with no known split or id are left out."""
     split = F.lower(F.trim("split"))
-    x = cases.select("case_id", split.alias("split"), source_key(F.col("source_dataset")).alias("src"), source_number(F.col("source_id")).alias("sid"), words_of(F.col("question")).alias("words"))
-    return x.where("split in ('train', 'validation', 'test')").dropDuplicates(["case_id"]).withColumn("train", F.col("split") == "train")
+    w = words_of(F.col("question"))
+    x = cases.select("case_id", split.alias("split"), source_key(F.col("source_dataset")).alias("src"), source_number(F.col("source_id")).alias("sid"), F.when(F.size(w) > 0, w).alias("w"))
+    x = x.where("split in ('train', 'validation', 'test') and case_id is not null").withColumn("train", F.col("split") == "train")
+    return x.withColumn("cid", F.md5(F.array_join("w", " "))).withColumn("words", F.transform("w", lambda v: F.xxhash64(v))).drop("w")
 
 
-def lcs_at_least(a: list[str], b: list[str], need: int) -> bool:
+def lcs_at_least(a: list, b: list, need: int) -> bool:
     """Whether the longest common subsequence of two word lists reaches need (bit-parallel, one integer step a word)."""
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, w in enumerate(a):
         where[w] = where.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -82,7 +85,8 @@ def spare(n: int, agree: float) -> int:
 def with_shingles(classes: DataFrame, width: int) -> DataFrame:
     """Adds `sh`: the hash of every shingle in order (empty for a text shorter than width)."""
     n = F.size("words")
-    sh = F.transform(F.when(n >= width, F.sequence(F.lit(1), n - (width - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.array_join(F.slice("words", i, width), " ")))
+    sh = F.transform(F.when(n >= width, F.sequence(F.lit(1), n - (width - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.array_join(F.transform(F.slice("words", i, width), lambda w: w.cast("string")), " ")))
+    sh = F.col("words") if width == 1 else sh
     return classes.withColumn("sh", sh)
 
 
@@ -147,7 +151,7 @@ def similar_classes(classes: DataFrame, agree: float = AGREE, width: int = WIDTH
 
     def verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            ok = [lcs_at_least(list(a), list(b), _ceil(agree * max(len(a), len(b)))) for a, b in zip(pdf["words_t"], pdf["words_e"])]
+            ok = [lcs_at_least(a.tolist(), b.tolist(), _ceil(agree * max(len(a), len(b)))) for a, b in zip(pdf["words_t"], pdf["words_e"])]
             yield pdf.loc[np.array(ok, bool), ["cid_t", "cid_e"]]
 
     return near.mapInPandas(verify, "cid_t string, cid_e string")
@@ -156,13 +160,13 @@ def similar_classes(classes: DataFrame, agree: float = AGREE, width: int = WIDTH
 def overlaps(cases: DataFrame, agree: float = AGREE, width: int = WIDTH) -> DataFrame:
     """(case_id_t, case_id_e, by_source, by_question): every pair of a training case and an evaluation case that overlap.
 
-    Null, empty and wordless questions match nothing by question; a null source or id matches nothing by source.
+    Words are compared by their 64-bit hashes. Null, empty and wordless questions match nothing by question; a null source or id matches nothing by source.
     Re-delivered rows count once; a null case_id is no case. Each pair comes once, with both reasons.
     """
-    rec = records(cases).where("case_id is not null").withColumn("cid", F.when(F.size("words") > 0, F.md5(F.array_join("words", " "))))
-    rec = rec.select("case_id", "train", "src", "sid", "cid", "words")
+    rec = records(cases)
     classes = rec.where("cid is not null").groupBy("cid").agg(F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval"), F.any_value("words").alias("words"))
-    classes = classes.withColumn("n", F.size("words"))
+    classes = cut_lineage(classes.withColumn("n", F.size("words")))
+    rec = cut_lineage(rec.select("case_id", "train", "src", "sid", "cid").distinct())
     same = classes.where("in_train and in_eval").select(F.col("cid").alias("cid_t"), F.col("cid").alias("cid_e"))
     pairs = similar_classes(classes, agree, width).unionByName(same)
     m = rec.select("case_id", "train", "cid").where("cid is not null")
@@ -181,7 +185,7 @@ def pair_rows(found: DataFrame) -> DataFrame:
 
 def overlap_report(cases: DataFrame, found: DataFrame) -> DataFrame:
     """(split, source, cases, overlapping, share, pairs): evaluation cases with a training twin, per split and source."""
-    rec = records(cases).where("not train and case_id is not null").select("case_id", "split", F.coalesce("src", F.lit("")).alias("source"))
+    rec = records(cases).where("not train").select("case_id", "split", F.coalesce("src", F.lit("")).alias("source")).distinct()
     hit = found.groupBy(F.col("case_id_e").alias("case_id")).agg(F.count("*").alias("pairs"))
     x = rec.join(hit, "case_id", "left").groupBy("split", "source").agg(F.count("*").alias("cases"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
     return x.withColumn("share", F.round(F.col("overlapping") / F.col("cases"), 6))
