@@ -50,7 +50,7 @@ def framework_key(c: Column) -> Column:
 def case_sizes(cases: DataFrame) -> DataFrame:
     """(case_id, src, fw, size): re-delivered cases once, spelling removed, size in characters of the question (null: 0)."""
     x = cases.select("case_id", source_key(F.col("source_dataset")).alias("src"), framework_key(F.col("framework")).alias("fw"), F.coalesce(F.length("question"), F.lit(0)).cast("bigint").alias("size"))
-    return x.dropDuplicates(["case_id"])
+    return x.distinct()
 
 
 def demands(sizes: DataFrame, targets: DataFrame) -> DataFrame:
