@@ -1,9 +1,9 @@
 """Registered queries and their SQL, by family."""
 
-from . import nested, relational, scoring
+from . import nested, relational, scoring, trajectories
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (nested, scoring, relational):
+for _m in (nested, scoring, relational, trajectories):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
