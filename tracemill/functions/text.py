@@ -126,7 +126,7 @@ def finding_norm(c: Column, fluff: bool = False) -> Column:
 def finding_terms(c: Column) -> Column:
     """Distinct terms between , ; . and the words and, or."""
     s = finding_norm(c, fluff=True)
-    return F.array_distinct(F.filter(F.transform(F.split(s, r"\s*(?:,|;|\band\b|\bor\b|\.|\n)\s*"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(s, r"\s*(?:,|;|\band\b|\bor\b|\.|\n)\s*"), lambda s: F.trim(s)), lambda x: x != ""))
 
 
 def is_negative_finding(c: Column) -> Column:
@@ -215,13 +215,14 @@ def format_thought(c: Column) -> Column:
     A leading line 'thought' or 'Thought:' without an answer marker takes the last line as the answer.
     """
     t = text_or_empty(c)
-    wrap = lambda a, b: F.concat(F.lit("<think>"), F.trim(a), F.lit("</think>\n"), F.trim(b))
+    strip = lambda c: F.trim(c, F.lit(" \t\r\n"))
+    wrap = lambda a, b: F.concat(F.lit("<think>"), strip(a), F.lit("</think>\n"), strip(b))
     both = lambda s, p: wrap(F.regexp_extract(s, p, 1), F.regexp_extract(s, p, 2))
-    stray = F.trim(F.regexp_extract(t, r"(?s)^[Tt]hought\s*\n(.+)", 1), F.lit(" \t\r\n"))
+    stray = strip(F.regexp_extract(t, r"(?s)^[Tt]hought\s*\n(.+)", 1))
     last_line = r"(?s)^(.*)\n([^\n]*)$"
     split_last = lambda s, empty: F.when(s.rlike(last_line), both(s, last_line)).otherwise(empty)
     marked = r"(?is)Thought:\s*(.+?)(?:Final\s+)?Answer:\s*(.+)"
-    plain = F.trim(F.regexp_extract(t, r"(?s)^Thought:\s*(.+)", 1), F.lit(" \t\r\n"))
+    plain = strip(F.regexp_extract(t, r"(?s)^Thought:\s*(.+)", 1))
     bare = F.regexp_replace(t, r"\*{2,}", "")
     analysis = r"(?is)Key\s*Knowledge:?\s*(.+?)Total\s*Analysis:?\s*(.+)"
     return (
@@ -281,7 +282,7 @@ def tagged_section(c: Column, tag: str, least: int = 20) -> Column:
 
 def hierarchy_edges(c: Column) -> Column:
     """X27: 'a > b > c' lists to structs (parent, child), blanks trimmed."""
-    names = F.filter(F.transform(F.split(text_or_empty(c), ">"), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.split(text_or_empty(c), ">"), lambda s: F.trim(s)), lambda x: x != "")
     n = F.size(names)
     return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.get(names, i - 1).alias("parent"), F.get(names, i).alias("child")))).otherwise(F.array().cast("array<struct<parent:string,child:string>>"))
 
@@ -296,8 +297,8 @@ def points(c: Column, width: Column, height: Column) -> Column:
     """x="…" y="…" percentages to pixels; pairs with a part over 100 are left out."""
     xs = F.regexp_extract_all(text_or_empty(c), F.lit(r'x\d*="\s*([0-9]+(?:\.[0-9]+)?)"\s+y\d*="\s*[0-9]+(?:\.[0-9]+)?"'), 1)
     ys = F.regexp_extract_all(text_or_empty(c), F.lit(r'x\d*="\s*[0-9]+(?:\.[0-9]+)?"\s+y\d*="\s*([0-9]+(?:\.[0-9]+)?)"'), 1)
-    both = F.filter(F.arrays_zip(xs.alias("x"), ys.alias("y")), lambda p: (p["0"].cast("double") <= 100) & (p["1"].cast("double") <= 100))
-    return F.transform(both, lambda p: F.struct((p["0"].cast("double") / 100 * width).alias("x"), (p["1"].cast("double") / 100 * height).alias("y")))
+    both = F.filter(F.arrays_zip(xs.alias("x"), ys.alias("y")), lambda p: (p["x"].cast("double") <= 100) & (p["y"].cast("double") <= 100))
+    return F.transform(both, lambda p: F.struct((p["x"].cast("double") / 100 * width).alias("x"), (p["y"].cast("double") / 100 * height).alias("y")))
 
 
 def to_grid(v: Column, size: Column) -> Column:

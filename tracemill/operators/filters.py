@@ -214,7 +214,7 @@ def total_length(texts: Column, *more: Column) -> Column:
 
 def thinks_in_circles(text: Column, longer: int = 3000, sentences: int = 10, share: float = 0.3) -> Column:
     """long text of many sentences (over 20 characters) of which few are distinct."""
-    s = F.filter(F.transform(F.split(text_or_empty(text), r"\."), F.trim), lambda x: F.length(x) > 20)
+    s = F.filter(F.transform(F.split(text_or_empty(text), r"\."), lambda s: F.trim(s)), lambda x: F.length(x) > 20)
     return true((F.length(text) > longer) & (F.size(s) > sentences) & (F.size(F.array_distinct(s)) / F.size(s) < share))
 
 

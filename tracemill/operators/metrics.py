@@ -32,7 +32,7 @@ def accuracy(score: Column) -> Column:
 
 
 def totals_and_groups(df: DataFrame, group: str, measures: dict[str, Column], unknown: str = "unknown", overall: str = "all") -> DataFrame:
-    """Measures over all rows and per group in one pass (grouping sets); null groups count as `unknown`."""
+    """Measures over all rows and per group in one pass (grouping sets); null groups count as `unknown`. No rows give no totals."""
     x = df.withColumn(group, F.coalesce(F.col(group), F.lit(unknown)))
     g = x.rollup(group).agg(F.grouping(group).alias("__g"), *(c.alias(k) for k, c in measures.items()))
     return g.withColumn(group, F.when(F.col("__g") == 1, overall).otherwise(F.col(group))).drop("__g")

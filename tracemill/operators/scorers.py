@@ -245,7 +245,7 @@ def science_choice(pred: Column, answer_index: Column, letters: str = "ABCDE") -
     p = X.text_or_empty(pred)
     found = F.regexp_extract_all(p, F.lit(r"The answer is ([A-Z])."), 1)
     got = F.when(p.isin(*letters), p).when(p.rlike(rf"^[{letters}]\. "), F.substring(p, 1, 1)).when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise("FAILED")
-    return verdict([(got == "FAILED", 0.0, "failed"), (F.locate(got, F.lit(letters)) - 1 == answer_index, 1.0, "letter")])
+    return verdict([(got == "FAILED", 0.0, "failed"), (F.position(got, F.lit(letters)) - 1 == answer_index, 1.0, "letter")])
 
 
 # E8-E12, E14, E16, E17 ----------------------------------------------------------------------------------------------

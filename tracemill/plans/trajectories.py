@@ -137,7 +137,7 @@ def t14_rendered(spark, d):
     x = table(spark, d, "demo_case").where("size(tools_called) > 0").select("case_id", "question", "model_answer", "tools_called").distinct()
     x = x.withColumn("trace", F.flatten(F.transform(F.filter("tools_called", lambda t: t.isNotNull()), ev)))
     x = x.select("case_id", T.log_to_chat(F.col("question"), F.col("trace"), F.col("model_answer")).alias("turns"))
-    return x.select("case_id", F.size("turns").alias("turns"), T.render(F.col("turns")).alias("rendered"))
+    return x.select("case_id", F.size("turns").alias("n_turns"), T.render(F.col("turns")).alias("rendered"))
 
 
 @query(
