@@ -8,7 +8,8 @@ or marker, a required section). What a transfer leaves behind after a cut (dots,
 taken off before. An ending that reads as finished stays finished at any length, since complete values may happen to
 have a limit's length. An ending that alone decides nothing (a short capitalised phrase without a full stop) is settled
 by the corpus: it is finished if values that open with the same two words mostly go without a full stop and others end
-in its last word too, and it is a cut otherwise, or if the value has a hidden limit's length.
+in its last word too, and it is a cut otherwise, or if its opening is the beginning of a far more frequent one, or if the
+value has a hidden limit's length.
 """
 
 from __future__ import annotations
@@ -305,11 +306,16 @@ def verdicts(vals: DataFrame) -> DataFrame:
 def settle(x: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
     """States of open endings (last, first, at_limit) by the terminal contexts of all values."""
     last, first = model
-    bare = F.coalesce(F.col("n_first") - F.col("stops"), F.lit(0))  # the value itself is one of them
-    known = (F.coalesce("n_last", F.lit(0)) > 0) | (F.coalesce("n_bare", F.lit(0)) > 2)
-    fits = (bare * 2 > F.coalesce("n_first", F.lit(0))) & known
-    y = x.join(last, "last", "left").join(first, "first", "left").withColumn("state", F.when(fits & ~F.col("at_limit"), DONE).otherwise(CUT))
-    return y.select(x.columns)
+    # openings that mostly go without a full stop, by their beginnings: a rare opening that is the beginning of a frequent
+    # one is a cut of it
+    frequent = first.where((F.col("n_first") >= 20) & (F.col("stops") * 2 < F.col("n_first"))).select(F.regexp_replace("first", r" \|$", "").alias("w"), "n_first")
+    cut_of = frequent.where("length(w) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.col("w").substr(F.lit(1), i))).alias("begin"), "n_first").groupBy("begin").agg(F.max("n_first").alias("n_longer"))
+    y = x.join(last, "last", "left").join(first, "first", "left").withColumn("begin", F.regexp_replace("first", r" \|$", "")).join(cut_of, "begin", "left")
+    n = F.coalesce("n_first", F.lit(0))
+    bare = n - F.coalesce("stops", F.lit(0))  # the value itself is one of them
+    known = (F.coalesce("n_last", F.lit(0)) > 0) | (F.coalesce("n_bare", F.lit(0)) > 2) & (F.coalesce("n_bare", F.lit(0)) * 20 >= n)
+    fits = (bare * 2 > n) & known & ~(F.coalesce("n_longer", F.lit(0)) >= 20 * n)
+    return y.withColumn("state", F.when(fits & ~F.col("at_limit"), DONE).otherwise(CUT)).select(x.columns)
 
 
 def cut_values(v: DataFrame) -> DataFrame:

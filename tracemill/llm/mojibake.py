@@ -41,6 +41,8 @@ LOST = "�"
 #: Marks the units of a double-byte run, whose readings are those of pairs only.
 DOUBLED = "\x01"
 SEP = "\x00"
+#: Probability of a letter that no plain text has, and of one that is in no common alphabet.
+FLOOR, EXOTIC = 1e-7, 1e-20
 
 
 @lru_cache(None)
@@ -271,6 +273,18 @@ def out_of(seg: list[tuple[int, int, str]], i: int) -> bool:
     return lo < len(seg) and seg[lo][0] <= i
 
 
+@lru_cache(None)
+def _ordinary(letter: str) -> bool:
+    """Whether some common alphabet has the letter."""
+    for codec in ("cp1252", "cp1250", "cp1251", "cp1253", "gb2312", "big5"):
+        try:
+            letter.encode(codec)
+            return True
+        except UnicodeEncodeError:
+            pass
+    return False
+
+
 def _readings(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Units to their readings; the genuine one has the key '' and the unit itself."""
     for pdf in it:
@@ -281,8 +295,9 @@ def _readings(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for key, x in (("lost", LOST),) if u == LOST else (("", genuine), *hypotheses(u)):
                 if x not in seen:
                     seen.add(x)
-                    rows.append((u, key, x))
-        yield pd.DataFrame(rows, columns=["unit", "key", "letter"])
+                    # an exotic letter for two characters takes far more evidence than an ordinary one
+                    rows.append((u, key, x, FLOOR if key in ("", "lost") or len(u) > 2 and "+" not in key or _ordinary(x[-1]) else EXOTIC))
+        yield pd.DataFrame(rows, columns=["unit", "key", "letter", "floor"])
 
 
 def learn(docs: DataFrame, rounds: int = 4) -> DataFrame:
@@ -296,13 +311,13 @@ def learn(docs: DataFrame, rounds: int = 4) -> DataFrame:
     left = big.groupBy("a").agg(F.sum("n").alias("na"))
     right = big.groupBy("c").agg(F.sum("n").alias("nc"))
     uni = right.crossJoin(total).select(F.col("c").alias("ch"), (F.col("nc") / F.col("total")).alias("p"))  # total is one row
-    reads = obs.select("unit").distinct().mapInPandas(_readings, "unit string, key string, letter string")
-    floor = 1e-7
+    reads = obs.select("unit").distinct().mapInPandas(_readings, "unit string, key string, letter string, floor double")
+    floor = FLOOR
     # log P(reading): its characters' own probabilities; genuine units have several, a letter one
     chars = reads.withColumn("ch", F.explode(F.split("letter", "")))
     chars = chars.where("ch != ''").join(uni, "ch", "left")
     # within one reading, neighbours inside it are independent given their own probability (units are left out of the bigrams)
-    own = chars.groupBy("unit", "key", "letter").agg(F.sum(F.log(F.coalesce("p", F.lit(0.0)) + floor)).alias("own"))
+    own = chars.groupBy("unit", "key", "letter").agg(F.sum(F.log(F.coalesce("p", F.lit(0.0)) + F.col("floor"))).alias("own"))
     x = obs.join(own, "unit")
     first, last = F.substring("letter", 1, 1), F.substring("letter", -1, 1)
     x = x.withColumn("f", first).withColumn("l", last)

@@ -5,10 +5,10 @@ must reach `agree`. Equal word sequences are one class, so copies are compared o
 
 Candidates come from an exact prefix filter on word shingles. Say two texts of n and m words agree in at least
 agree * max(n, m) words. Each text then has at most d = n - ceil(agree * n) words outside the common part; a word of its
-own spoils at most `width` of its shingles and a word inserted by the other at most width - 1, so all but
-(2 * width - 1) * d shingles lie in the common part, in step with the other text. Under any one order of all shingles
-the first of them is among the first (2 * width - 1) * d + 1 shingles of both texts, at places at most
-max(d) words apart. The order is rarest first, by a frequency table of fixed size over the shingles of all
+own spoils at most `width` of its shingles and a word inserted by the other at most width - 1. Over all lengths the
+other may have, that leaves all but `budget` shingles in the common part, in step with the other text. Under any one
+order of all shingles the first of them is among the first budget + 1 shingles of both texts, at places at most max(d)
+words apart. The order is rarest first, by a frequency table of fixed size over the shingles of all
 classes (only the order depends on it, not the result). Prefixes of the evaluation side are the index and the training
 side probes it, with length and position filters, before the words are compared. No list is capped: shingles that are
 frequent are split by a salt. A text of fewer than `width` words can only match an equal one.
@@ -17,6 +17,7 @@ frequent are split by a salt. A text of fewer than `width` words can only match
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from .mixing import source_key
 #: Nine tenths of the words of either text; of the longer one, which may have words added, a little less. Unrelated
 #: questions stay below 0.84.
 AGREE = 0.88
-#: Words in a shingle. The bound's prefix grows with 2 * width - 1; rare single words give the fewest candidates here.
+#: Words in a shingle. The prefix grows with the width; rare single words give the fewest candidates here.
 WIDTH = 1
 #: Cells of the frequency table: 4 bytes each, whatever the input's size.
 CELLS = 1 << 18
@@ -84,6 +85,17 @@ def spare(n: int, agree: float) -> int:
     return n - _ceil(agree * n)
 
 
+@lru_cache(None)
+def budget(n: int, agree: float, width: int) -> int:
+    """The most shingles of a text of n words that a matching text can lack."""
+    most = 0
+    for m in range(_ceil(agree * n), int(n / agree + 1e-9) + 1):
+        common = _ceil(agree * max(n, m))
+        if common <= min(n, m):
+            most = max(most, width * (n - common) + (width - 1) * (m - common))
+    return most
+
+
 def with_shingles(classes: DataFrame, width: int) -> DataFrame:
     """Adds `sh`: the hash of every shingle in order (empty for a text shorter than width)."""
     n = F.size("words")
@@ -114,7 +126,7 @@ def prefixes(shingled: DataFrame, table, train: bool, agree: float, width: int)
                     continue
                 d = spare(int(n), agree)
                 f = freq[h % len(freq)]
-                first = np.lexsort((h, f))[: (2 * width - 1) * d + 1]
+                first = np.lexsort((h, f))[: budget(int(n), agree, width) + 1]
                 kept: dict[int, int] = {}
                 for i in first.tolist():
                     x = int(h[i])
