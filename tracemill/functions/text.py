@@ -125,7 +125,10 @@ def finding_norm(c: Column, fluff: bool = False) -> Column:
 
 def finding_terms(c: Column) -> Column:
     """Distinct terms between , ; . and the words and, or."""
-    s = finding_norm(c, fluff=True)
+    return terms_of(finding_norm(c, fluff=True))
+
+
+def terms_of(s: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(s, r"\s*(?:,|;|\band\b|\bor\b|\.|\n)\s*"), lambda s: F.trim(s)), lambda x: x != ""))
 
 

@@ -28,6 +28,11 @@ def verdict(cond_score: list[tuple[Column, float, str]], last: str = "mismatch",
     return out.otherwise(end) if out is not None else end
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, also inside lambda functions."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def either_contains(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (a.contains(b) | b.contains(a))
 
@@ -67,8 +72,13 @@ def findings(pred: Column, gold: Column) -> Column:
     none = gold.isNull() | (F.size(gold) == 0)
     norm = F.array_distinct(F.filter(F.transform(gold, lambda x: X.finding_norm(x)), lambda x: x != ""))
     g = F.when(none, F.array(F.lit("none"))).otherwise(norm)
-    final = X.final_answer(pred)
-    p, terms = X.finding_norm(final, fluff=True), X.finding_terms(final)
+    made = F.struct(g.alias("g"), X.final_answer(pred).alias("final"))
+    made = let(made, lambda v: F.struct(v["g"].alias("g"), v["final"].alias("final"), X.finding_norm(v["final"], fluff=True).alias("p")))
+    made = let(made, lambda v: F.struct(v["g"].alias("g"), v["final"].alias("final"), v["p"].alias("p"), X.terms_of(v["p"]).alias("terms")))
+    return let(made, lambda v: _findings(v["g"], v["final"], v["p"], v["terms"]))
+
+
+def _findings(g: Column, final: Column, p: Column, terms: Column) -> Column:
     only = lambda *w: (F.size(g) > 0) & (F.size(F.array_except(g, F.array(*map(F.lit, w)))) == 0)
     pyn = F.when(p.rlike(r"\byes\b"), "yes").when(p.rlike(r"\bno\b"), "no").otherwise("")
     negative = X.is_negative_finding(p)
