@@ -103,7 +103,9 @@ _LABELS = re.compile(rf"\[{_LABEL}\]|\[final\]|{_LABEL}\s*:", re.I)
 
 
 def opening(text: str) -> str:
-    """The first two words in lower case with digits as 9, or the one word and a mark."""
+    """The first two words in lower case with digits as 9, or the one word and a mark. A short lead-in before a colon is left out."""
+    at = text.find(": ", 0, 30)
+    text = text[at + 2 :] if at > 0 else text
     w = [re.sub(r"\d+", "9", x.lower()) for x in _WORD.findall(text[:120])[:2]]
     return " ".join(w) if len(w) > 1 else f"{w[0]} |" if w else "|"
 
@@ -231,7 +233,7 @@ def looked_at(vals: DataFrame) -> DataFrame:
                 seen.append(r := inspect(t))
                 sizes.append(lengths(t) if t else (0,) * len(VARIANTS))
                 model.add(t, r)
-            out = pdf[["tab", "rec_id", "msg_no", "source"]].assign(kind="value", lengths=sizes, a=0, b=0)
+            out = pdf[["tab", "rec_id", "msg_no", "source"]].assign(kind="value", lengths=pd.Series(sizes, index=pdf.index, dtype=object), a=0, b=0)
             out["state"], out["last"], out["first"] = ([r[k] for r in seen] for k in range(3))
             yield out[_COLS]
             yield model.rows().assign(tab=None, rec_id=None, msg_no=None, source=None, state=None, lengths=None)[_COLS]
@@ -291,16 +293,20 @@ def verdicts(vals: DataFrame) -> DataFrame:
     """
     looked = cut_lineage(looked_at(vals))
     x = looked.where(f"kind = 'value' and state != '{EMPTY}'").select("tab", "rec_id", "msg_no", "source", "state", "last", "first", "lengths").dropDuplicates(["tab", "rec_id", "msg_no"])
-    limits = hidden_limits(x).select("tab", F.coalesce("source", F.lit("")).alias("source"), "variant", "length")
-    open_ = x.where(f"state = '{OPEN}'")
-    hits = open_.select("tab", "rec_id", "msg_no", F.explode(F.array(F.lit(""), F.coalesce("source", F.lit("")))).alias("source"), "lengths")
-    hits = hits.select("tab", "rec_id", "msg_no", "source", F.posexplode("lengths").alias("no", "length"))
-    hits = hits.select("tab", "rec_id", "msg_no", "source", F.get(F.array(*map(F.lit, VARIANTS)), F.col("no")).alias("variant"), "length")
-    hits = hits.join(limits, ["tab", "source", "variant", "length"], "left_semi").select("tab", "rec_id", "msg_no").distinct().withColumn("at_limit", F.lit(True))
+    open_ = with_limits(x.where(f"state = '{OPEN}'"), hidden_limits(x))
     keep = ["tab", "rec_id", "msg_no", "source", "state", "last", "first"]
-    open_ = open_.select(keep).join(hits, ["tab", "rec_id", "msg_no"], "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
     done = x.where(f"state != '{OPEN}'").select(*keep, F.lit(False).alias("at_limit"))
-    return done.unionByName(settle(open_, ending_model(looked)))
+    return done.unionByName(settle(open_.select(*keep, "at_limit"), ending_model(looked)))
+
+
+def with_limits(x: DataFrame, limits: DataFrame) -> DataFrame:
+    """Adds at_limit: whether one of a value's lengths is a hidden limit of its source or of its table."""
+    lim = limits.select("tab", F.coalesce("source", F.lit("")).alias("source"), "variant", "length")
+    hits = x.select("tab", "rec_id", "msg_no", F.explode(F.array(F.lit(""), F.coalesce("source", F.lit("")))).alias("source"), "lengths")
+    hits = hits.select("tab", "rec_id", "msg_no", "source", F.posexplode("lengths").alias("no", "length"))
+    hits = hits.select("tab", "rec_id", "msg_no", "source", F.get(F.array(*map(F.lit, VARIANTS)), F.col("no")).alias("variant"), "length")
+    hits = hits.join(lim, ["tab", "source", "variant", "length"], "left_semi").select("tab", "rec_id", "msg_no").distinct().withColumn("at_limit", F.lit(True))
+    return x.join(hits, ["tab", "rec_id", "msg_no"], "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
 
 
 def settle(x: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:

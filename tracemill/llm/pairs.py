@@ -162,14 +162,14 @@ def is_copy(response: str, prompt: str) -> bool:
 
 
 def pairs(cases: DataFrame, examples: DataFrame) -> DataFrame:
-    """(tab, rec_id, msg_no, prompt, first, response): first is the conversation's first user message.
+    """(tab, rec_id, msg_no, source, prompt, first, response): first is the conversation's first user message.
 
     An assistant message that nothing precedes is no pair. Null ids are left out.
     """
-    a = cases.select(F.lit("demo_case").alias("tab"), F.col("case_id").alias("rec_id"), F.lit(-1).cast("bigint").alias("msg_no"), F.col("question").alias("prompt"), F.col("question").alias("first"), F.col("model_answer").alias("response"))
+    a = cases.select(F.lit("demo_case").alias("tab"), F.col("case_id").alias("rec_id"), F.lit(-1).cast("bigint").alias("msg_no"), F.col("source_dataset").alias("source"), F.col("question").alias("prompt"), F.col("question").alias("first"), F.col("model_answer").alias("response"))
     at = F.transform(F.filter(F.transform("messages", lambda m, i: F.struct(m["role"].alias("role"), m["content"].alias("content"), i.alias("i"))), lambda m: (m["role"] == "assistant") & (m["i"] > 0)), lambda m: F.struct(m["i"].cast("bigint").alias("msg_no"), F.get("messages", m["i"] - 1)["content"].alias("prompt"), m["content"].alias("response")))
     first = F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["content"]
-    b = examples.select(F.lit("data_example").alias("tab"), F.col("example_id").alias("rec_id"), first.alias("first"), F.inline(at)).select("tab", "rec_id", "msg_no", "prompt", "first", "response")
+    b = examples.select(F.lit("data_example").alias("tab"), F.col("example_id").alias("rec_id"), F.col("source_dataset").alias("source"), first.alias("first"), F.inline(at)).select("tab", "rec_id", "msg_no", "source", "prompt", "first", "response")
     return a.unionByName(b).where("rec_id is not null")
 
 
@@ -205,15 +205,16 @@ def defects(p: DataFrame) -> DataFrame:
                 got.append(g := judge(*x))
                 model.add(x[0], g[1:])
                 model.add(x[1], cutoff.inspect(x[1]))
-            out = pdf[["tab", "rec_id", "msg_no"]].copy()
+            out = pdf[["tab", "rec_id", "msg_no", "source", "response"]].copy()
             out["defect"], out["state"], out["last"], out["first"] = ([g[k] for g in got] for k in range(4))
-            yield out[(out["defect"] != "") | (out["state"] == cutoff.OPEN)].assign(kind="value", a=0, b=0)[cols]
-            yield model.rows().assign(tab=None, rec_id=None, msg_no=None, defect=None, state=None)[cols]
+            out = out[(out["defect"] != "") | out["state"].isin([cutoff.OPEN, cutoff.CUT])]
+            yield out.assign(kind="value", a=0, b=0, lengths=pd.Series([cutoff.lengths(t or "") for t in out["response"]], index=out.index, dtype=object))[cols]
+            yield model.rows().assign(tab=None, rec_id=None, msg_no=None, source=None, defect=None, state=None, lengths=None)[cols]
 
-    schema = "kind string, tab string, rec_id bigint, msg_no bigint, defect string, state string, last string, first string, a bigint, b bigint"
+    schema = "kind string, tab string, rec_id bigint, msg_no bigint, source string, defect string, state string, last string, first string, lengths array<int>, a bigint, b bigint"
     cols = [c.split()[0] for c in schema.split(", ")]
     x = cutoff.cut_lineage(p.mapInPandas(run, schema))
-    v = x.where("kind = 'value'").select("tab", "rec_id", "msg_no", "defect", "state", "last", "first").distinct()
-    open_ = v.where("defect = ''").select("tab", "rec_id", "msg_no", "state", "last", "first", F.lit(False).alias("at_limit"))
-    late = cutoff.settle(open_, cutoff.ending_model(x)).where(f"state = '{cutoff.CUT}'").select("tab", "rec_id", "msg_no", F.lit("truncated").alias("defect"))
+    v = x.where("kind = 'value'").select("tab", "rec_id", "msg_no", "source", "defect", "state", "last", "first", "lengths").distinct()
+    open_ = cutoff.with_limits(v.where(f"defect = '' and state = '{cutoff.OPEN}'"), cutoff.hidden_limits(v))
+    late = cutoff.settle(open_.select("tab", "rec_id", "msg_no", "state", "last", "first", "at_limit"), cutoff.ending_model(x)).where(f"state = '{cutoff.CUT}'").select("tab", "rec_id", "msg_no", F.lit("truncated").alias("defect"))
     return v.where("defect != ''").select("tab", "rec_id", "msg_no", "defect").unionByName(late)
