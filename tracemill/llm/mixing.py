@@ -61,8 +61,9 @@ def demands(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """
     t = targets.select("mix_id", source_key(F.col("source_dataset")).alias("src"), framework_key(F.col("framework")).alias("fw"), F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats")).dropDuplicates(["mix_id"])
     have = sizes.where("src is not null and fw is not null").groupBy("src", "fw").agg(F.sum("size").alias("have"))
-    total = have.join(t.select("src", "fw").distinct(), ["src", "fw"], "left_semi").agg(F.coalesce(F.sum("have"), F.lit(0)).alias("total"))
-    x = t.join(have, ["src", "fw"], "left").crossJoin(total)  # total is one row
+    whole = Window.partitionBy()  # over the listed sources: at most one row per target
+    listed = have.join(t.select("src", "fw").distinct(), ["src", "fw"], "left_semi").withColumn("total", F.sum("have").over(whole))
+    x = t.join(listed, ["src", "fw"], "left").withColumn("total", F.coalesce(F.max("total").over(whole), F.lit(0)))
     x = x.withColumn("have", F.coalesce("have", F.lit(0))).withColumn("demand", F.col("share") * F.col("total"))
     return x.withColumn("unmet", F.col("have") * F.col("max_repeats") < F.col("demand"))
 

@@ -307,10 +307,9 @@ def learn(docs: DataFrame, rounds: int = 4) -> DataFrame:
     big = counts.where("kind = 'b'").select("a", "c", "n")
     obs = counts.where("kind = 'u'").select("source", "unit", "a", "c", "n")
     # add-one smoothed log probabilities; one row per character or pair of characters
-    total = big.agg(F.sum("n").alias("total"))
     left = big.groupBy("a").agg(F.sum("n").alias("na"))
     right = big.groupBy("c").agg(F.sum("n").alias("nc"))
-    uni = right.crossJoin(total).select(F.col("c").alias("ch"), (F.col("nc") / F.col("total")).alias("p"))  # total is one row
+    uni = right.select(F.col("c").alias("ch"), (F.col("nc") / F.sum("nc").over(Window.partitionBy())).alias("p"))  # one row per character
     reads = obs.select("unit").distinct().mapInPandas(_readings, "unit string, key string, letter string, floor double")
     floor = FLOOR
     # log P(reading): its characters' own probabilities; genuine units have several, a letter one
