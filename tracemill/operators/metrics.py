@@ -87,9 +87,22 @@ def bleu4(df: DataFrame, pred: str, gold: str, group: list[str]) -> DataFrame:
 
 
 def running_accuracy(df: DataFrame, order: list[str], score: str, by: list[str]) -> DataFrame:
-    """Accuracy of the rows up to each one, within `by`."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.round(F.avg(score).over(w), 6))
+    """Accuracy of the rows up to each one in a total order, within `by`; null scores do not count.
+
+    Two levels, so a hot group is no single task: rows are range-partitioned by group and order, each partition's sums
+    per group are added up before the running sum is taken inside a partition.
+    """
+    from ..session import cut_lineage
+
+    s = cut_lineage(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))  # partition numbers must not change
+    per = s.groupBy(*by, "__part").agg(F.sum(score).alias("__s"), F.count(score).alias("__n"))
+    w = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*by, "__part", F.coalesce(F.sum("__s").over(w), F.lit(0.0)).alias("__s"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__n"))
+    inside = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "__part"]]
+    x = s.alias("l").join(per.alias("r"), same).select("l.*", "r.__s", "r.__n")
+    mean = F.try_divide(F.col("__s") + F.coalesce(F.sum(score).over(inside), F.lit(0.0)), F.col("__n") + F.count(score).over(inside))
+    return x.withColumn("running", F.round(mean, 6)).drop("__part", "__s", "__n")
 
 
 def majority(df: DataFrame, key: str, vote: str, first: str) -> DataFrame:

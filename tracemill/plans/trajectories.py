@@ -242,9 +242,8 @@ def r2_item_states(spark, d):
 def r7_live(spark, d):
     """Users seen in the last hour of the data."""
     e = table(spark, d, "events").select("user_id", "ts")
-    end = e.agg(F.max("ts").alias("t"))
-    x = e.groupBy("user_id").agg(F.max("ts").alias("last_seen")).crossJoin(end)  # one row
-    return x.where(F.col("last_seen") >= F.col("t") - F.expr("INTERVAL 3600 SECONDS")).select("user_id", "last_seen")
+    end = e.agg(F.max("ts").cast("timestamp_ntz")).first()[0]
+    return R.live_workers(e, "user_id", "ts", F.lit(end).cast("timestamp_ntz"), 3600)
 
 
 @query(
@@ -263,10 +262,11 @@ def r12_routing(spark, d):
     f"""with k as (select task_name, model, avg(score) as s from {S} group by task_name, model) select task_name, model, round(s, 6) as mean_score from k where s < (select avg(score) from {S})"""
 )
 def j11_below_average(spark, d):
-    """Groups under the overall mean, which is a one-row subquery."""
+    """Groups under the overall mean."""
     x = scores(spark, d)
-    k = x.groupBy("task_name", "model").agg(F.avg("score").alias("s")).crossJoin(x.agg(F.avg("score").alias("m")))  # one row
-    return k.where("s < m").select("task_name", "model", F.round("s", 6).alias("mean_score"))
+    mean = x.agg(F.avg("score")).first()[0]
+    k = x.groupBy("task_name", "model").agg(F.avg("score").alias("s"))
+    return k.where(F.col("s") < F.lit(mean)).select("task_name", "model", F.round("s", 6).alias("mean_score"))
 
 
 @query(
