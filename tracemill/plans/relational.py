@@ -87,12 +87,12 @@ def j5_scenario_images(spark, d):
     return p.join(s, "subject_id", "left").select("scenario_id", "subject_id", F.coalesce("images", F.lit(0)).alias("images"), F.coalesce("studies", F.lit(0)).alias("studies"))
 
 
-@query("select c_custkey, coalesce(n_name, 'nation ' || c_nationkey::varchar) as nation from customer left join (select n_nationkey, n_name from nation where n_nationkey < 20) on n_nationkey = c_nationkey")
+@query(f"select sample_id, coalesce(difficulty, 'unrated ' || idx) as difficulty from {S} s left join (select case_id, min(difficulty) as difficulty from {C} group by case_id) c on c.case_id::varchar = s.idx")
 def j6_lookup_fallback(spark, d):
-    """Dimension with a fallback for missing keys (a dimension without its last rows)."""
-    dim = table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    x = J.lookup(table(spark, d, "customer").select("c_custkey", "c_nationkey"), dim, ["c_nationkey"], {"n_name": F.concat(F.lit("nation "), F.col("c_nationkey").cast("string"))})
-    return x.select("c_custkey", F.col("n_name").alias("nation"))
+    """A score's case difficulty, with a fallback for unknown cases and cases without one."""
+    dim = cases(spark, d).select(F.col("case_id").cast("string").alias("idx"), "difficulty")
+    x = J.lookup(scores(spark, d).select("sample_id", "idx"), dim, ["idx"], {"difficulty": F.concat(F.lit("unrated "), F.col("idx"))})
+    return x.select("sample_id", "difficulty")
 
 
 @query("select o_orderkey, count(*) as n, sum(l_quantity) as qty from orders join lineitem on l_orderkey = o_orderkey where o_orderpriority = '1-URGENT' group by o_orderkey")

@@ -189,14 +189,15 @@ def x33_truncate(spark, d):
     return scores(spark, d).select("sample_id", X.truncate_sentence(F.col("question"), 60).alias("short"))
 
 
+_AFTER = "case when contains(a, 'Final Answer:') then trim(substr(a, instr(a, 'Final Answer:') + 13), ' ') else a end"
+
+
 @query(
-    f"""select case_id, case when regexp_matches(coalesce(model_answer, ''), '(?i)\\[FINAL\\]\\s*\\S') then trim(regexp_extract(model_answer, '(?is)\\[FINAL\\]\\s*([^\n]+)', 1)) when ends_with(trim(coalesce(model_answer, '')), '.') then left(trim(model_answer), -1) else trim(coalesce(model_answer, '')) end as answer from {C}
-where not contains(coalesce(model_answer, ''), chr(10)) and not contains(coalesce(model_answer, ''), chr(9)) and not contains(coalesce(model_answer, ''), 'Final Answer') and not contains(coalesce(model_answer, ''), chr(160)) and not regexp_matches(coalesce(model_answer, ''), '(?i)(\\[DECISION\\]|final answer)')"""
+    f"""with c as (select case_id, trim(coalesce(model_answer, ''), ' ') as a from {C}), t as (select case_id, {_AFTER} as t from c)
+select case_id, coalesce({", ".join(f"nullif(trim(regexp_extract(t, '(?ims){p}', 1), ' '), '')" for p in X.ANSWER_MARKERS)}, case when ends_with(t, '.') then left(t, -1) else t end) as answer from t"""
 )
 def x11_final_answers(spark, d):
-    a = X.text_or_empty(F.col("model_answer"))
-    x = cases(spark, d).where(~a.rlike(r"[\n\t\x{A0}]") & ~a.rlike(r"(?i)\[DECISION\]|final answer"))
-    return x.select("case_id", X.final_answer(F.col("model_answer")).alias("answer"))
+    return cases(spark, d).select("case_id", X.final_answer(F.col("model_answer")).alias("answer"))
 
 
 @query(f"select sample_id, split_part(image_path, '/', 2) as folder, md5(coalesce(image_path, '')) as h, list_filter(list_transform(string_split_regex(regexp_replace(trim(coalesce(question, '')), '^\\[|\\]$', '', 'g'), '[,;\\n]'), lambda x: trim(x)), lambda x: x != '') as items from {S}")
