@@ -115,10 +115,11 @@ def majority(df: DataFrame, key: str, vote: str, first: str) -> DataFrame:
 
 
 def nested_first(df: DataFrame, key: list[str], outer: str, inner: str, value: str, order: list[str]) -> DataFrame:
-    """Per key a map outer -> map inner -> value, the first value by order; null outer, inner and value left out."""
+    """Per key a map outer -> map inner -> value, the first value by order, keys sorted; null outer, inner and value left out."""
     first = df.where(F.col(outer).isNotNull() & F.col(inner).isNotNull() & F.col(value).isNotNull()).groupBy(*key, outer, inner).agg(F.min_by(value, F.struct(*order)).alias(value))
     per = first.groupBy(*key, outer).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(inner, value)))).alias("m"))
-    return per.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(outer, "m"))).alias("results"))
+    by_name = lambda a, b: F.when(a[outer] < b[outer], -1).when(a[outer] > b[outer], 1).otherwise(0)
+    return per.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(outer, "m")), by_name)).alias("results"))
 
 
 def text_by_key(items: Column, key: str, text: str, sep: str = "\n") -> Column:

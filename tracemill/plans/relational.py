@@ -238,7 +238,11 @@ def w7_buckets(spark, d):
     return W.best_of_buckets(x, ["idx"], ["task_name", "model"], "score", 5, 60, 11).select("sample_id", "task_name", "model")
 
 
-@query()
+@query(
+    f"""with c as (select case_id, case when image_file is not null then length(question) else -length(question) end as len, md5('0|' || case_id::varchar) as h from {C} where question is not null),
+n as (select *, (row_number() over (order by sign(len), h, case_id) - 1) // 32 as megabatch from c), r as (select *, row_number() over (partition by megabatch order by abs(len) desc, h) - 1 as i from n)
+select megabatch, (case when (i // 4) % 2 = 0 then i % 4 else 3 - i % 4 end)::int as rank, count(*) as n, sum(abs(len))::bigint as chars from r group by megabatch, rank"""
+)
 def w16_length_batches(spark, d):
     """Sums of lengths per megabatch and rank."""
     x = cases(spark, d).where("question is not null").select("case_id", F.when(F.col("image_file").isNotNull(), F.length("question")).otherwise(-F.length("question")).alias("len"))
@@ -275,7 +279,11 @@ def a18_rates(spark, d):
     return scores(spark, d).groupBy("task_name").agg(M.rate(F.col("pred").isNotNull()).alias("answered"), M.rate(F.coalesce("score", F.lit(0.0)) == 1).alias("right_share"))
 
 
-@query()
+@query(
+    """with t as (select distinct scenario_id, osce_examination.test_results as m from demo_scenario), o as (select scenario_id, unnest(map_entries(m)) as e from t), i as (select scenario_id, e.key as outer_key, unnest(map_entries(e.value)) as f from o),
+j as (select scenario_id, outer_key, '{' || string_agg('"' || f.key || '":"' || f.value || '"', ',' order by f.key) || '}' as inner_map from i where f.value is not null group by scenario_id, outer_key)
+select scenario_id, '{' || string_agg('"' || outer_key || '":' || inner_map, ',' order by outer_key) || '}' as results from j group by scenario_id"""
+)
 def a16_nested_results(spark, d):
     """Tests per scenario as a nested map again, the first value by text."""
     x = table(spark, d, "demo_scenario").select("scenario_id", F.explode("osce_examination.test_results").alias("category", "m")).select("scenario_id", "category", F.explode("m").alias("test", "value"))

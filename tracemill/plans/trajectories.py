@@ -120,7 +120,10 @@ def t23_image_first(spark, d):
     return x.select("example_id", F.col("turns.value").alias("texts"))
 
 
-@query()
+@query(
+    f"""with e as (select coalesce(len(images), 0) as n, len(list_filter(messages, lambda m: m.role = 'user')) as humans, len(list_filter(messages, lambda m: m.role = 'tool' and regexp_matches(lower(coalesce(m.content, '')), 'image|crop|zoom|img_round'))) as seen from {E}),
+r as (select case when n = 0 then 'rejected_no_images' when humans = 0 then 'rejected_no_human' when seen < n - 1 then 'rejected_not_enough_image_observations' end as reason from e) select reason, count(*) as n from r group by reason"""
+)
 def t3_image_tags(spark, d):
     """Reject reasons over all examples."""
     x = examples(spark, d).select(T.align_image_tags(T.from_messages(F.col("messages")), F.col("images"))["reason"].alias("reason"))
