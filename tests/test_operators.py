@@ -285,3 +285,24 @@ def test_streaming(spark, tmp_path):
     w = R.dispatch(spark.range(400), "id", [("a", 1.0, 4.0), ("b", 3.0, 3.0)], seed=2).groupBy("worker").count().collect()
     assert {r["worker"] for r in w} == {"a", "b"} and 240 < {r["worker"]: r["count"] for r in w}["b"] < 360
     assert R.dispatch(spark.range(1), "id", [("a", 1.0, 4.0), ("b", 3.0, 3.0)], "shortest_queue").first()["worker"] == "b"
+
+
+def test_boxes(spark):
+    from tracemill.operators import boxes as X
+
+    b = [(0.0, 0.0, 10.0, 10.0, 0.9), (0.0, 0.0, 10.0, 10.5, 0.8), (20.0, 20.0, 30.0, 30.0, 0.7), (None, 0.0, 1.0, 1.0, 0.5)]
+    df = spark.createDataFrame([(b,), (None,), ([],)], "b array<struct<x1:double,y1:double,x2:double,y2:double,score:double>>")
+    r = df.select(X.nms(F.col("b")).alias("n"), X.subplots(F.col("b")).alias("s")).collect()
+    assert [x["score"] for x in r[0]["n"]] == [0.9, 0.7] and [x["score"] for x in r[0]["s"]] == [0.8, 0.7] and r[1]["n"] == [] == r[2]["n"]
+    p = spark.createDataFrame([([0, 1, 0, 1], [5.0, 7.0, 5.0, 9.0]), ([0, 0, 0, 0], [1.0] * 4)], "m array<int>, v array<double>")
+    m = p.select(X.mask_statistics(F.col("m"), F.col("v"), F.lit(2)).alias("s"), X.window_level(F.col("v"), 7.0, 4.0).alias("w")).collect()
+    assert tuple(m[0]["s"]) == (2, 1.0, 0.5, 1, 0, 1, 1, 8.0) and m[1]["s"] is None and m[0]["w"] == [0.0, 127.5, 0.0, 255.0]
+
+
+def test_prompts_and_language(spark):
+    from tracemill.functions import text as X
+
+    df = spark.createDataFrame([("seen", "observation", "ask", "EN-us"), (" ", "image", "ask", None)], "o string, m string, q string, l string")
+    r = df.select(X.next_prompt(F.col("o"), F.col("m"), F.col("q")), P.in_language(F.col("l"))).collect()
+    assert [tuple(x) for x in r] == [("OBSERVATION:\nseen\n\nask", True), ("ask", False)]
+    assert P.existing(df.withColumnRenamed("o", "p"), spark.createDataFrame([("seen",)], "path string"), "p").count() == 1

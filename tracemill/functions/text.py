@@ -386,3 +386,10 @@ def drop_tags(c: Column) -> Column:
 def key_values(c: Column) -> Column:
     """X46: 'k=v,k=v' to a map; parts without = map to null."""
     return F.str_to_map(text_or_empty(c), F.lit(","), F.lit("="))
+
+
+def next_prompt(observation: Column, mode: Column, original: Column) -> Column:
+    """The next round's prompt: the observation's text by mode, the original prompt where the tool gave nothing."""
+    seen = truthy(F.trim(text_or_empty(observation)))
+    shown = F.when(mode == "observation", F.concat(F.lit("OBSERVATION:\n"), seen)).when(mode == "image", F.concat(F.lit("<image>\n"), seen)).otherwise(seen)
+    return F.when(seen.isNull(), text_or_empty(original)).otherwise(F.concat(shown, F.lit("\n\n"), text_or_empty(original)))

@@ -319,6 +319,16 @@ def valid_scenario(osce: Column) -> Column:
     return osce.isNotNull() & osce["objective_for_doctor"].isNotNull() & osce["patient_actor"].isNotNull() & osce["physical_examination_findings"].isNotNull() & osce["correct_diagnosis"].isNotNull()
 
 
+def in_language(lang: Column, wanted: str = "en") -> Column:
+    """the language code without region or case."""
+    return true(F.lower(F.substring_index(F.trim(lang), "-", 1)) == wanted)
+
+
+def existing(df: DataFrame, listing: DataFrame, path: str) -> DataFrame:
+    """rows whose file is in a listing (column path), as one semi-join instead of a look-up per row."""
+    return df.join(listing.select(F.col("path").alias(path)), path, "left_semi")
+
+
 def none_like(c: Column) -> Column:
     """null, or the text nan or none."""
     return c.isNull() | true(F.lower(F.trim(c.cast("string"))).isin("nan", "none"))
