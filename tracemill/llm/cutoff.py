@@ -31,6 +31,7 @@ SECTIONS = ('"thought', '"action', '"value')
 _SECTION = re.compile(r'"(thought|action|value)\W{0,4}"')
 _VALUE = re.compile(r'"value[^\w\s"]*"')
 _LEFT = re.compile(r"(?:\.{3,}|…|�|\[\.\.\.\]|\[…\]|[\s​‌‍﻿\xa0])+$")
+_LEFT_ENDS = ("...", "…", "�", "...]", "…]")
 _STOP = re.compile(r"(?:<\|?/?(?:stop|end|eos|s|im_end|endoftext|eot)\|?>\s*)+$", re.I)
 _IMAGE = re.compile(r"<image>\s*")
 _END = re.compile(r"[.!?。！？؟۔]$")
@@ -69,7 +70,7 @@ def strip_left(text: str) -> tuple[str, bool]:
     t, dots = text, False
     while True:
         u = _STOP.sub("", t) if t.endswith((">", "> ", ">\n")) else t
-        m = _LEFT.search(u, max(0, len(u) - 4096)) if u and (u[-1] in ".…�]" or not u[-1].isprintable() or u[-1].isspace()) else None
+        m = _LEFT.search(u, max(0, len(u) - 64)) if u.endswith(_LEFT_ENDS) or u and (u[-1].isspace() or not u[-1].isprintable()) else None
         if m:
             dots = dots or bool(m.group().strip(" \t\r\n\xa0​‌‍﻿"))
             u = u[: m.start()]

@@ -130,14 +130,15 @@ def questions(prompt: str) -> list[str]:
     return list(dict.fromkeys(x for x in out if x.strip()))
 
 
-_SPLIT = re.compile(r"[^\w]+")
-
-
 def is_copy(response: str, prompt: str) -> bool:
-    have, r = set(_SPLIT.split(response.lower())), None
+    have, r = None, None
     for q in questions(prompt):
-        want = set(_SPLIT.split(q.lower()))
-        if len(have & want) * 2 < len(want):  # a copy has far more of the question's words
+        if len(response) * 2 < len(q):  # a copy is nearly as long
+            continue
+        if have is None:
+            have = set(response.lower().split())
+        want = set(q.lower().split())
+        if len(q) > 60 and len(have & want) * 3 < len(want):  # a copy has far more of the question's words
             continue
         if r is None:
             r = [w.lower() for w in cutoff._WORD.findall(response)]
@@ -195,7 +196,7 @@ def judge(response: str | None, prompt: str | None, first: str | None) -> tuple[
 
 
 def defects(p: DataFrame) -> DataFrame:
-    """(tab, rec_id, msg_no, defect): defective pairs, each once. Terminal contexts are those of all responses and prompts."""
+    """(tab, rec_id, msg_no, defect): defective pairs, each once. Terminal contexts are those of all responses."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -204,7 +205,6 @@ def defects(p: DataFrame) -> DataFrame:
             for x in zip(pdf["response"], pdf["prompt"], pdf["first"]):
                 got.append(g := judge(*x))
                 model.add(x[0], g[1:])
-                model.add(x[1], cutoff.inspect(x[1]))
             out = pdf[["tab", "rec_id", "msg_no", "source", "response"]].copy()
             out["defect"], out["state"], out["last"], out["first"] = ([g[k] for g in got] for k in range(4))
             out = out[(out["defect"] != "") | out["state"].isin([cutoff.OPEN, cutoff.CUT])]
