@@ -101,24 +101,37 @@ class Transducer:
     def _build(self, sid: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Determinise one transition. A state is the last emitted token and, per live boundary, its trie node and its pending tokens."""
         anchor, live = self.states[sid]
+        edge, has_child = self.edge, self.has_child
         kept, found = [], None
         for node, chain in live:
-            nxt = self.edge.get(node << 8 | byte)
+            nxt = edge.get(node << 8 | byte)
             if nxt is None:
                 continue
             if found is None and (tok := self.ends.get(nxt)) is not None:
                 before = chain[-1] if chain else anchor
                 if before < 0 or self._fit(before, tok):
                     found = (*chain, tok)
-            if nxt in self.has_child:
+            if nxt in has_child:
                 kept.append((nxt, chain))
         kept.append((0, found))
-        chains = [c for _, c in kept]
-        n = 0
-        while all(len(c) > n for c in chains) and len({c[n] for c in chains}) == 1:
-            n += 1
-        out = chains[-1][:n]
-        state = (out[-1] if out else anchor, tuple((node, c[n:]) for node, c in kept))
+        if len(kept) == 1:
+            out, live = found, ((0, ()),)
+        else:
+            # the prefix all chains share is that of the smallest and the largest
+            lo = hi = found
+            for _, c in kept:
+                if c < lo:
+                    lo = c
+                elif c > hi:
+                    hi = c
+            n = 0
+            for a, b in zip(lo, hi):
+                if a != b:
+                    break
+                n += 1
+            out = found[:n]
+            live = tuple([(node, c[n:]) for node, c in kept]) if n else tuple(kept)
+        state = (out[-1] if out else anchor, live)
         nid = self.state_of.get(state)
         if nid is None:
             nid = self.state_of[state] = len(self.states)
