@@ -25,9 +25,9 @@ def query(sql: str | None = None):
     return add
 
 
-def cases(spark, d):
-    """demo_case once per row, scalar columns only."""
-    return table(spark, d, "demo_case").select("case_id", "source_dataset", "framework", "source_id", "split", "difficulty", "question", "ground_truth", "model_answer", "is_correct", "image_file", "created_at").distinct()
+def cases(spark, d, *columns):
+    """demo_case once per row with the columns asked for."""
+    return table(spark, d, "demo_case").select("case_id", *columns).distinct()
 
 
 C = "(select distinct case_id, source_dataset, framework, source_id, split, difficulty, question, ground_truth, model_answer, is_correct, image_file, created_at from demo_case)"
@@ -41,20 +41,20 @@ def studies(spark, d):
 @query(f"select case_id, split from {C} c where exists (select 1 from {S} s where s.idx = c.case_id::varchar and s.score = 1.0)")
 def j1_scored_cases(spark, d):
     """Cases with a full score."""
-    ok = scores(spark, d).where("score = 1.0").select(F.col("idx").try_cast("bigint").alias("case_id"))
-    return J.keep_matching(cases(spark, d), ok, "case_id").select("case_id", "split")
+    ok = table(spark, d, "per_sample").where("score = 1.0").select(F.col("idx").try_cast("bigint").alias("case_id"))
+    return J.keep_matching(cases(spark, d, "split"), ok, "case_id").select("case_id", "split")
 
 
 @query(f"select case_id from {C} c where not exists (select 1 from {S} s where s.idx = c.case_id::varchar)")
 def j12_resume(spark, d):
     """Cases nobody has scored yet."""
-    done = scores(spark, d).select(F.col("idx").try_cast("bigint").alias("case_id"))
+    done = table(spark, d, "per_sample").select(F.col("idx").try_cast("bigint").alias("case_id"))
     return J.resume(cases(spark, d).select("case_id"), done, "case_id")
 
 
 @query(f"select distinct case_id from {C} c where exists (select 1 from {S} s where s.idx = c.case_id::varchar and s.score = 0.0 and s.model = 'agent_4b')")
 def j13_rerun(spark, d):
-    bad = scores(spark, d).where("score = 0.0 and model = 'agent_4b'").select(F.col("idx").try_cast("bigint").alias("case_id"))
+    bad = table(spark, d, "per_sample").where("score = 0.0 and lower(model_name) = 'agent_4b'").select(F.col("idx").try_cast("bigint").alias("case_id"))
     return J.keep_matching(cases(spark, d).select("case_id"), bad, "case_id")
 
 
@@ -63,7 +63,7 @@ def j13_rerun(spark, d):
 select idx, sample_id, 'first' as origin from a union all select idx, sample_id, 'second' from b"""
 )
 def j14_escalation(spark, d):
-    x = scores(spark, d).select("idx", "sample_id", "model", "score")
+    x = scores(spark, d, "model", "idx", "score").select("idx", "sample_id", "model", "score")
     a, b = (x.where(F.col("model") == m).select("idx", "sample_id", "score") for m in ("agent_4b", "frontier_x"))
     return J.escalate(a, b, "idx", F.coalesce(F.col("score") == 1, F.lit(False))).select("idx", "sample_id", "origin")
 
@@ -90,8 +90,8 @@ def j5_scenario_images(spark, d):
 @query(f"select sample_id, coalesce(difficulty, 'unrated ' || idx) as difficulty from {S} s left join (select case_id, min(difficulty) as difficulty from {C} group by case_id) c on c.case_id::varchar = s.idx")
 def j6_lookup_fallback(spark, d):
     """A score's case difficulty, with a fallback for unknown cases and cases without one."""
-    dim = cases(spark, d).select(F.col("case_id").cast("string").alias("idx"), "difficulty")
-    x = J.lookup(scores(spark, d).select("sample_id", "idx"), dim, ["idx"], {"difficulty": F.concat(F.lit("unrated "), F.col("idx"))})
+    dim = cases(spark, d, "difficulty").select(F.col("case_id").cast("string").alias("idx"), "difficulty")
+    x = J.lookup(scores(spark, d, "idx").select("sample_id", "idx"), dim, ["idx"], {"difficulty": F.concat(F.lit("unrated "), F.col("idx"))})
     return x.select("sample_id", "difficulty")
 
 
@@ -117,7 +117,7 @@ def j17_zip(spark, d):
 @query(f"select a.case_id as case_a, b.case_id as case_b from {C} a join {C} b on a.image_file = b.image_file and lower(trim(a.question)) = lower(trim(b.question)) and a.case_id < b.case_id")
 def j18_text_key(spark, d):
     """Composite key of image and lower-case question."""
-    x = cases(spark, d).where("image_file is not null and question is not null").select("case_id", "image_file", F.lower(F.trim("question")).alias("q"))
+    x = cases(spark, d, "question", "image_file").where("image_file is not null and question is not null").select("case_id", "image_file", F.lower(F.trim("question")).alias("q"))
     y = x.select(F.col("case_id").alias("case_b"), "image_file", "q")
     return x.withColumnRenamed("case_id", "case_a").join(y, ["image_file", "q"]).where("case_a < case_b").select("case_a", "case_b")
 
@@ -131,7 +131,7 @@ from {_M.format("agent_4b")} a join {_M.format("frontier_x")} b using (idx, task
 )
 def j20_three_predictors(spark, d):
     """Two required predictors, an optional third, upper bound and fallback counts."""
-    x = scores(spark, d).where("idx is not null").groupBy("model", "idx", "task_name").agg(F.avg("score").alias("score")).withColumn("key", F.concat_ws("|", "idx", "task_name"))
+    x = scores(spark, d, "task_name", "model", "idx", "score").where("idx is not null").groupBy("model", "idx", "task_name").agg(F.avg("score").alias("score")).withColumn("key", F.concat_ws("|", "idx", "task_name"))
     a, b, c = (x.where(F.col("model") == m).select("key", "score") for m in ("agent_4b", "frontier_x", "baseline_s"))
     y = J.compare_predictors(a, b, c, "key")
     third = F.col("third").try_cast("double")
@@ -183,7 +183,7 @@ def k_linked_studies(spark, d):
 @query(f"select min(sample_id) as sample_id, count(*) as copies from {S} group by idx, image_path, left(question, 80)")
 def w5_composite_key(spark, d):
     """One row per (item, image, first 80 characters of the question); the 80 are the key's definition."""
-    x = scores(spark, d).groupBy("idx", "image_path", F.substring("question", 1, 80).alias("q80")).agg(F.min("sample_id").alias("sample_id"), F.count("*").alias("copies"))
+    x = scores(spark, d, "idx", "question", "image_path").groupBy("idx", "image_path", F.substring("question", 1, 80).alias("q80")).agg(F.min("sample_id").alias("sample_id"), F.count("*").alias("copies"))
     return x.select("sample_id", "copies")
 
 
@@ -193,7 +193,7 @@ select sample_id, task_name from k where rn <= 10 order by h, sample_id limit 40
 )
 def w9_capped(spark, d):
     """Ten per task, then forty in all, by luck."""
-    x = scores(spark, d).where("score = 0.0").select("sample_id", "task_name")
+    x = scores(spark, d, "task_name", "score").where("score = 0.0").select("sample_id", "task_name")
     return W.capped(x, ["task_name"], 10, [W.luck(7, F.col("sample_id")), F.col("sample_id")], 40)
 
 
@@ -203,7 +203,7 @@ k as (select c.*, row_number() over (partition by framework order by h, case_id)
 )
 def w10_ratio(spark, d):
     """Of each framework at most half as many as the largest has."""
-    x = cases(spark, d).where("framework is not null").select("case_id", "framework")
+    x = cases(spark, d, "framework").where("framework is not null").select("case_id", "framework")
     n = x.groupBy("framework").count()
     m = n.agg(F.max("count")).first()[0] or 0
     t = n.select("framework", F.floor(F.least(F.col("count").cast("double"), F.lit(0.5 * m))).alias("target"))
@@ -218,7 +218,7 @@ def w12_shuffled(spark, d):
 @query(f"select sample_id from {S} where not coalesce(pred = 'yes', false) or ('0x' || left(md5('1|' || sample_id::varchar), 8))::bigint / 4294967296.0 < 0.33")
 def w13_thinned(spark, d):
     """A third of the rows with the answer yes, all others."""
-    return W.thinned(scores(spark, d).select("sample_id", "pred"), F.col("pred") == "yes", 0.33, 1, ["sample_id"]).select("sample_id")
+    return W.thinned(scores(spark, d, "pred").select("sample_id", "pred"), F.col("pred") == "yes", 0.33, 1, ["sample_id"]).select("sample_id")
 
 
 @query(
@@ -234,7 +234,7 @@ def w14_chunks(spark, d):
 @query()
 def w7_buckets(spark, d):
     """Greedy choice over (task, model) buckets by score."""
-    x = scores(spark, d).where("score is not null").select("sample_id", "idx", "task_name", "model", "score")
+    x = scores(spark, d, "task_name", "model", "idx", "score").where("score is not null").select("sample_id", "idx", "task_name", "model", "score")
     return W.best_of_buckets(x, ["idx"], ["task_name", "model"], "score", 5, 60, 11).select("sample_id", "task_name", "model")
 
 
@@ -245,15 +245,15 @@ select megabatch, (case when (i // 4) % 2 = 0 then i % 4 else 3 - i % 4 end)::in
 )
 def w16_length_batches(spark, d):
     """Sums of lengths per megabatch and rank."""
-    x = cases(spark, d).where("question is not null").select("case_id", F.when(F.col("image_file").isNotNull(), F.length("question")).otherwise(-F.length("question")).alias("len"))
+    x = cases(spark, d, "question", "image_file").where("question is not null").select("case_id", F.when(F.col("image_file").isNotNull(), F.length("question")).otherwise(-F.length("question")).alias("len"))
     return W.length_batches(x, "case_id", "len", 8, 4).groupBy("megabatch", "rank").agg(F.count("*").alias("n"), F.sum(F.abs("len")).alias("chars"))
 
 
 @query(f"select 'case' as origin, case_id as id, question from {C} union all select 'sample', sample_id, question from {S}")
 def u1_union_tagged(spark, d):
     """U1, U2."""
-    a = cases(spark, d).select(F.col("case_id").alias("id"), "question")
-    b = scores(spark, d).select(F.col("sample_id").alias("id"), "question")
+    a = cases(spark, d, "question").select(F.col("case_id").alias("id"), "question")
+    b = scores(spark, d, "question").select(F.col("sample_id").alias("id"), "question")
     return W.union_tagged({"case": a, "sample": b}).select("origin", "id", "question")
 
 
@@ -276,7 +276,7 @@ def j19_multiway(spark, d):
     f"""select task_name, round(count(*) filter (pred is not null) / count(*), 6) as answered, round(count(*) filter (coalesce(score, 0) = 1) / count(*), 6) as right_share from {S} group by task_name"""
 )
 def a18_rates(spark, d):
-    return scores(spark, d).groupBy("task_name").agg(M.rate(F.col("pred").isNotNull()).alias("answered"), M.rate(F.coalesce("score", F.lit(0.0)) == 1).alias("right_share"))
+    return scores(spark, d, "task_name", "score", "pred").groupBy("task_name").agg(M.rate(F.col("pred").isNotNull()).alias("answered"), M.rate(F.coalesce("score", F.lit(0.0)) == 1).alias("right_share"))
 
 
 @query(

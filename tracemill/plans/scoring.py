@@ -25,10 +25,10 @@ def query(sql: str | None = None):
     return add
 
 
-def scores(spark: SparkSession, d: str) -> DataFrame:
-    """per_sample once per row, model names in one spelling."""
-    x = table(spark, d, "per_sample").select("sample_id", "task_name", F.lower("model_name").alias("model"), "idx", "score", "gold", "pred", "question", "image_path", "scored_at")
-    return x.distinct()
+def scores(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """per_sample once per row with the columns asked for, model names in one spelling."""
+    x = table(spark, d, "per_sample")
+    return x.select("sample_id", *(F.lower("model_name").alias("model") if c == "model" else c for c in columns)).distinct()
 
 
 S = "(select distinct sample_id, task_name, lower(model_name) as model, idx, score, gold, pred, question, image_path, scored_at from per_sample)"
@@ -54,13 +54,13 @@ select sample_id, reason, case when reason = 'yesno' then (gyn = pyn)::double wh
 def e1_rules(spark, d):
     """E1, E2 up to the fuzzy rule, with reasons."""
     v = E.pathology(F.col("pred"), F.col("gold"))
-    return scores(spark, d).select("sample_id", v["reason"].alias("reason"), v["score"].alias("score"))
+    return scores(spark, d, "gold", "pred").select("sample_id", v["reason"].alias("reason"), v["score"].alias("score"))
 
 
 @query()
 def e1_scored(spark, d):
     """E1 with its fuzzy tail."""
-    return E.score(scores(spark, d).drop("score"), "pathology", "pred", "gold").select("sample_id", "score", "reason")
+    return E.score(scores(spark, d, "gold", "pred"), "pathology", "pred", "gold").select("sample_id", "score", "reason")
 
 
 _FT = [("picc line", "picc"), ("peripherally inserted central catheter", "picc"), ("endotracheal tube", "ett"), ("enteric tube", "ng tube"), ("nasogastric tube", "ng tube"), ("orogastric tube", "og tube"), ("cardiac pacemaker", "pacemaker"), ("cardiac pacer", "pacemaker"), ("pacer", "pacemaker"), ("wires", "wire"), ("leads", "wire"), ("elevation", "elevated"), ("opacities", "opacity"), ("effusions", "effusion"), ("abnormalities", "abnormality"), ("structures", "structure")]
@@ -90,7 +90,7 @@ def e3_findings(spark, d):
     """E3 with the gold as a list of one; a null gold is the empty list."""
     g = F.when(F.col("gold").isNotNull(), F.array("gold"))
     v = E.findings(F.col("pred"), g)
-    return scores(spark, d).select("sample_id", v["reason"].alias("reason"), v["score"].alias("score"))
+    return scores(spark, d, "gold", "pred").select("sample_id", v["reason"].alias("reason"), v["score"].alias("score"))
 
 
 _SYN = sorted(E.SHORT_SYNONYMS, key=len, reverse=True)
@@ -108,12 +108,12 @@ select sample_id, case when p = g and p != '' then 'exact' when p = '' or g = ''
 )
 def e4_rules(spark, d):
     """E4 up to the fuzzy rules."""
-    return scores(spark, d).select("sample_id", E.short_answer(F.col("pred"), F.col("gold"))["reason"].alias("reason"))
+    return scores(spark, d, "gold", "pred").select("sample_id", E.short_answer(F.col("pred"), F.col("gold"))["reason"].alias("reason"))
 
 
 @query()
 def e4_scored(spark, d):
-    return E.score(scores(spark, d).drop("score"), "short_answer", "pred", "gold").select("sample_id", "score", "reason")
+    return E.score(scores(spark, d, "gold", "pred"), "short_answer", "pred", "gold").select("sample_id", "score", "reason")
 
 
 _CON = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in ({a: c for c, alts in E.CONCEPTS.items() for a in alts} | E.CONCEPT_NUMBERS).items()) + "}"
@@ -130,12 +130,12 @@ select sample_id, case when py = gy then 'yesno_match' when pc = gc then 'exact_
 )
 def e5_rules(spark, d):
     """E5 up to the fuzzy rule."""
-    return scores(spark, d).select("sample_id", E.radiology(F.col("pred"), F.col("gold"))["reason"].alias("reason"))
+    return scores(spark, d, "gold", "pred").select("sample_id", E.radiology(F.col("pred"), F.col("gold"))["reason"].alias("reason"))
 
 
 @query()
 def e5_scored(spark, d):
-    return E.score(scores(spark, d).drop("score"), "radiology", "pred", "gold").select("sample_id", "score", "reason")
+    return E.score(scores(spark, d, "gold", "pred"), "radiology", "pred", "gold").select("sample_id", "score", "reason")
 
 
 def _options(gold: str, question: str):
@@ -151,12 +151,12 @@ select sample_id, case when regexp_extract(p, '\\b([A-E])\\b', 1) != '' then 'le
 )
 def e7_letter(spark, d):
     v = E.letter_choice(F.col("pred"), F.col("gold"), F.create_map(F.lit("A"), F.lit("no such option")))
-    return scores(spark, d).select("sample_id", v["reason"].alias("reason"), v["score"].alias("score"))
+    return scores(spark, d, "gold", "pred").select("sample_id", v["reason"].alias("reason"), v["score"].alias("score"))
 
 
 @query()
 def e6_scored(spark, d):
-    x = scores(spark, d).drop("score").withColumn("options", _options("gold", "question"))
+    x = scores(spark, d, "gold", "pred", "question").withColumn("options", _options("gold", "question"))
     return E.score(x, "multiple_choice", "pred", "gold", "options").select("sample_id", "score", "reason")
 
 
@@ -165,7 +165,7 @@ def e6_scored(spark, d):
 select sample_id, case when p = g then 'equal' when (contains(p, '%') or contains(p, '.')) and split_part(replace(p, '%', ''), '.', 1) = g then 'truncated' else 'mismatch' end as reason from s"""
 )
 def e8_chart(spark, d):
-    return scores(spark, d).select("sample_id", E.chart_value(F.col("pred"), F.col("gold"))["reason"].alias("reason"))
+    return scores(spark, d, "gold", "pred").select("sample_id", E.chart_value(F.col("pred"), F.col("gold"))["reason"].alias("reason"))
 
 
 _PATS = [p.replace("\\*", "[*]") for p in E.LETTER_PATTERNS]
@@ -196,7 +196,7 @@ def e10_labels(spark, d):
 
 @query(f"select sample_id, (gold is not null and contains({_BN.format('pred')}, {_BN.format('gold')}))::double as score from {S}")
 def e11_containment(spark, d):
-    return scores(spark, d).select("sample_id", E.contains_any(F.col("pred"), F.when(F.col("gold").isNotNull(), F.array("gold"))).alias("score"))
+    return scores(spark, d, "gold", "pred").select("sample_id", E.contains_any(F.col("pred"), F.when(F.col("gold").isNotNull(), F.array("gold"))).alias("score"))
 
 
 @query(
@@ -207,7 +207,7 @@ select task_name, round(avg(v), 6) as accuracy from j group by task_name"""
 def e12_dispatch(spark, d):
     """E12 by task: accuracy per task."""
     name = F.replace(F.col("task_name"), F.lit("_"), F.lit("-"))
-    x = scores(spark, d).select("task_name", E.dispatch(name, F.col("pred"), F.col("gold")).alias("s"))
+    x = scores(spark, d, "task_name", "gold", "pred").select("task_name", E.dispatch(name, F.col("pred"), F.col("gold")).alias("s"))
     return x.groupBy("task_name").agg(M.accuracy(F.col("s")).alias("accuracy"))
 
 
@@ -215,7 +215,7 @@ def e12_dispatch(spark, d):
     f"""select sample_id, case when len(list_intersect(string_split(replace(split_part(coalesce(pred, ''), '.', 1), ',', ''), ' '), ['No', 'not', 'no'])) > 0 then 'no' else 'yes' end as answer from {S}"""
 )
 def e14_presence(spark, d):
-    return scores(spark, d).select("sample_id", E.object_presence(F.col("pred")).alias("answer"))
+    return scores(spark, d, "pred").select("sample_id", E.object_presence(F.col("pred")).alias("answer"))
 
 
 @query(
@@ -225,7 +225,7 @@ select task_name, tp, fp, tn, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6)
  round((tp + tn) / (tp + fp + tn + fn), 6) as accuracy, round((tp + fp) / (tp + fp + tn + fn), 6) as yes_ratio from c"""
 )
 def a8_confusion(spark, d):
-    x = scores(spark, d).where("gold in ('yes', 'no')")
+    x = scores(spark, d, "task_name", "gold", "pred").where("gold in ('yes', 'no')")
     return x.groupBy("task_name").agg(*(c.alias(k) for k, c in M.confusion(F.col("pred"), F.col("gold")).items()))
 
 
@@ -234,12 +234,12 @@ def a8_confusion(spark, d):
  round(coalesce(avg(coalesce(score, 0)), 0), 6) as accuracy from {S} group by rollup (task_name)"""
 )
 def a5_totals(spark, d):
-    return M.totals_and_groups(scores(spark, d), "task_name", {"n": F.count("*"), "correct": F.count_if(F.col("score") == 1), "yes_no": F.count_if(F.col("gold").isin("yes", "no")), "accuracy": M.accuracy(F.coalesce("score", F.lit(0.0)))})
+    return M.totals_and_groups(scores(spark, d, "task_name", "score", "gold"), "task_name", {"n": F.count("*"), "correct": F.count_if(F.col("score") == 1), "yes_no": F.count_if(F.col("gold").isin("yes", "no")), "accuracy": M.accuracy(F.coalesce("score", F.lit(0.0)))})
 
 
 @query(f"select pred as value, count(*) as n from {S} where pred is not null group by pred order by n desc, pred limit 20")
 def a2_most_common(spark, d):
-    return M.most_common(scores(spark, d).where("pred is not null"), F.col("pred"), 20)
+    return M.most_common(scores(spark, d, "pred").where("pred is not null"), F.col("pred"), 20)
 
 
 @query(
@@ -255,24 +255,24 @@ def a3_tool_patterns(spark, d):
 select idx, arg_max(pred, n::double * 1e12 - first_at) as majority, max(n) as votes from v group by idx"""
 )
 def a15_majority(spark, d):
-    return M.majority(scores(spark, d), "idx", "pred", "sample_id")
+    return M.majority(scores(spark, d, "idx", "pred"), "idx", "pred", "sample_id")
 
 
 @query(
     f"""select sample_id, round(greatest(0, case when v >= 0.5 then v else 0 end), 6) as anls from (select sample_id, coalesce(1 - levenshtein(lower(trim(pred)), lower(trim(gold))) / nullif(greatest(length(lower(trim(pred))), length(lower(trim(gold)))), 0), 0) as v from {S} where gold is not null and pred is not null)"""
 )
 def a11_anls(spark, d):
-    return scores(spark, d).where("gold is not null and pred is not null").select("sample_id", F.round(M.anls(F.col("pred"), F.array("gold")), 6).alias("anls"))
+    return scores(spark, d, "gold", "pred").where("gold is not null and pred is not null").select("sample_id", F.round(M.anls(F.col("pred"), F.array("gold")), 6).alias("anls"))
 
 
 @query(f"select sample_id, model, round(avg(score) over (partition by model order by scored_at, sample_id rows unbounded preceding), 6) as running from {S}")
 def a14_running(spark, d):
-    return M.running_accuracy(scores(spark, d), ["scored_at", "sample_id"], "score", ["model"]).select("sample_id", "model", "running")
+    return M.running_accuracy(scores(spark, d, "model", "score", "scored_at"), ["scored_at", "sample_id"], "score", ["model"]).select("sample_id", "model", "running")
 
 
 @query()
 def a12_bleu(spark, d):
-    return M.bleu4(scores(spark, d), "pred", "gold", ["task_name"])
+    return M.bleu4(scores(spark, d, "task_name", "gold", "pred"), "pred", "gold", ["task_name"])
 
 
 @query(
@@ -282,7 +282,7 @@ select case_id, coalesce(pred, '') as pred from c left join r on idx = case_id::
 def j10_missing_predictions(spark, d):
     from ..operators.joins import with_predictions
 
-    res = scores(spark, d).where("model = 'frontier_x'").groupBy("idx").agg(F.min_by(F.coalesce("pred", F.lit("")), F.struct("scored_at", "sample_id")).alias("pred"))
+    res = scores(spark, d, "model", "idx", "pred", "scored_at").where("model = 'frontier_x'").groupBy("idx").agg(F.min_by(F.coalesce("pred", F.lit("")), F.struct("scored_at", "sample_id")).alias("pred"))
     meta = table(spark, d, "demo_case").select("case_id", F.col("case_id").cast("string").alias("idx")).distinct()
     return with_predictions(meta, res, "idx").select("case_id", "pred")
 
@@ -292,16 +292,16 @@ def j10_missing_predictions(spark, d):
 )
 def x_normalisers(spark, d):
     q = F.col("question")
-    return scores(spark, d).select("sample_id", X.norm_text(q).alias("norm"), X.strip_explanations(q).alias("stripped"), X.basic_norm(q).alias("basic"), X.finding_norm(q).alias("finding"))
+    return scores(spark, d, "question").select("sample_id", X.norm_text(q).alias("norm"), X.strip_explanations(q).alias("stripped"), X.basic_norm(q).alias("basic"), X.finding_norm(q).alias("finding"))
 
 
 @query(f"select task_name, model, round(avg(score), 6) as mean_score, count(*) as n from {S} group by task_name, model")
 def a1_score_means(spark, d):
-    return scores(spark, d).groupBy("task_name", "model").agg(F.round(F.avg("score"), 6).alias("mean_score"), F.count("*").alias("n"))
+    return scores(spark, d, "task_name", "model", "score").groupBy("task_name", "model").agg(F.round(F.avg("score"), 6).alias("mean_score"), F.count("*").alias("n"))
 
 
 @query(f"select idx, task_name, min_by(sample_id, coalesce(score, -1) * -1e12 + sample_id) as sample_id from {S} where idx is not null group by idx, task_name")
 def w4_first_per_item(spark, d):
     """Per item and task the best-scored row, the lowest id on ties; null scores last."""
-    x = scores(spark, d).where("idx is not null").select("idx", "task_name", "sample_id", "score")
+    x = scores(spark, d, "task_name", "idx", "score").where("idx is not null").select("idx", "task_name", "sample_id", "score")
     return W.first_per(x, ["idx", "task_name"], [-F.coalesce("score", F.lit(-1.0)), F.col("sample_id")]).select("idx", "task_name", "sample_id")

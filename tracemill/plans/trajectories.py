@@ -29,9 +29,9 @@ def query(sql: str | None = None):
     return add
 
 
-def examples(spark, d):
-    """data_example once per row: id, source, messages, images."""
-    return table(spark, d, "data_example").select("example_id", "source_dataset", "messages", "images").distinct()
+def examples(spark, d, *columns):
+    """data_example once per row with the columns asked for."""
+    return table(spark, d, "data_example").select("example_id", *columns).distinct()
 
 
 E = "(select distinct example_id, source_dataset, messages, images from data_example)"
@@ -50,7 +50,7 @@ def f7_cascade(spark, d):
         ("too_long", F.length(X.text_or_empty(F.col("question"))) > 600),
         ("no_image", X.text_or_empty(F.col("image_file")) == ""),
     ]
-    return cases(spark, d).select("case_id", P.reject(rules).alias("drop_reason"))
+    return cases(spark, d, "question", "ground_truth", "is_correct", "image_file").select("case_id", P.reject(rules).alias("drop_reason"))
 
 
 _SYM = " or ".join(f"(contains(lower(coalesce(model_answer, '')), '{s}') and not contains(lower(coalesce(question, '')), '{s}'))" for s in P.SYMPTOMS)
@@ -58,14 +58,14 @@ _SYM = " or ".join(f"(contains(lower(coalesce(model_answer, '')), '{s}') and not
 
 @query(f"select case_id, ({_SYM}) as unasked from {C}")
 def f8_unasked_symptoms(spark, d):
-    return cases(spark, d).select("case_id", P.unasked_symptom(F.col("model_answer"), F.col("question")).alias("unasked"))
+    return cases(spark, d, "question", "model_answer").select("case_id", P.unasked_symptom(F.col("model_answer"), F.col("question")).alias("unasked"))
 
 
 @query(f"""select case_id, (coalesce(list_contains(['none'], lower(ground_truth)), false) and (contains(lower(coalesce(question, '')), 'point out') or contains(lower(coalesce(question, '')), 'locate') or contains(lower(coalesce(question, '')), 'where is') or contains(lower(coalesce(question, '')), 'show me'))) or ground_truth is null as toxic from {C}""")
 def f1_toxic(spark, d):
     """F1 with the ground truth as a list; null is the empty list."""
     gold = F.when(F.col("ground_truth").isNotNull(), F.array("ground_truth")).otherwise(F.array().cast("array<string>"))
-    return cases(spark, d).select("case_id", P.toxic(F.col("question"), gold, gold).alias("toxic"))
+    return cases(spark, d, "question", "ground_truth").select("case_id", P.toxic(F.col("question"), gold, gold).alias("toxic"))
 
 
 _LEN = "list_transform(messages, lambda m: length(m.content) % 3)"
@@ -79,7 +79,7 @@ def f9_repeats(spark, d):
     """F9, F10, F12 with length modulo 3 as signature."""
     sig = lambda ms: F.transform(ms, lambda m: (F.length(m["content"]) % 3).cast("string"))
     calls = sig(F.filter("messages", lambda m: m["role"] == "assistant"))
-    return examples(spark, d).select("example_id", P.repeats_previous_call(calls).alias("repeats_previous"), P.repeats_adjacent(sig(F.col("messages"))).alias("repeats_adjacent"), P.total_length(F.col("messages.content")).cast("bigint").alias("chars"))
+    return examples(spark, d, "messages").select("example_id", P.repeats_previous_call(calls).alias("repeats_previous"), P.repeats_adjacent(sig(F.col("messages"))).alias("repeats_adjacent"), P.total_length(F.col("messages.content")).cast("bigint").alias("chars"))
 
 
 @query(
@@ -98,7 +98,7 @@ def f11_runs(spark, d):
     tests = F.transform("messages", lambda m: (F.length(m["content"]) % 3).cast("string"))
     is_call = F.transform("messages", lambda m: m["role"] == "assistant")
     text = F.array_join(F.transform("messages", lambda m: X.text_or_empty(m["content"])), ". ")
-    return examples(spark, d).select("example_id", P.longest_run(tests, is_call).alias("run"), P.thinks_in_circles(text, 500, 4, 0.9).alias("circles"))
+    return examples(spark, d, "messages").select("example_id", P.longest_run(tests, is_call).alias("run"), P.thinks_in_circles(text, 500, 4, 0.9).alias("circles"))
 
 
 @query(
@@ -107,7 +107,7 @@ select example_id, i::int as pair, coalesce(ms[2 * i + 1].content, '') as questi
 )
 def t22_pairs(spark, d):
     """Messages to turns, turns to question/answer rows."""
-    x = examples(spark, d).select("example_id", T.from_messages(F.col("messages")).alias("turns"))
+    x = examples(spark, d, "messages").select("example_id", T.from_messages(F.col("messages")).alias("turns"))
     return T.unroll_pairs(x, ["example_id"], F.col("turns"))
 
 
@@ -116,7 +116,7 @@ def t22_pairs(spark, d):
 select example_id, list_transform(vs, lambda v: case when contains(v, '<image>') then '<image>' || chr(10) || trim(replace(v, '<image>', ''), ' ') else v end) as texts from t"""
 )
 def t23_image_first(spark, d):
-    x = examples(spark, d).select("example_id", T.image_token_first(T.from_messages(F.col("messages"))).alias("turns"))
+    x = examples(spark, d, "messages").select("example_id", T.image_token_first(T.from_messages(F.col("messages"))).alias("turns"))
     return x.select("example_id", F.col("turns.value").alias("texts"))
 
 
@@ -126,7 +126,7 @@ r as (select case when n = 0 then 'rejected_no_images' when humans = 0 then 'rej
 )
 def t3_image_tags(spark, d):
     """Reject reasons over all examples."""
-    x = examples(spark, d).select(T.align_image_tags(T.from_messages(F.col("messages")), F.col("images"))["reason"].alias("reason"))
+    x = examples(spark, d, "messages", "images").select(T.align_image_tags(T.from_messages(F.col("messages")), F.col("images"))["reason"].alias("reason"))
     return M.frequencies(x, F.col("reason"))
 
 
@@ -151,7 +151,7 @@ def t11_fan_out(spark, d):
     """One case to rows of up to three types in one pass."""
     none = F.array().cast("array<struct<agent_role:string,instruction:string,messages:array<struct<role:string,content:string>>>>")
     kinds = {"direct": T.direct_answer(F.col("question"), F.col("model_answer")), "difficulty": T.difficulty_row(F.col("question"), none, F.col("difficulty")), "truth": T.direct_answer(F.col("question"), F.col("ground_truth"))}
-    x = T.fan_out(cases(spark, d), kinds, ["case_id"])
+    x = T.fan_out(cases(spark, d, "difficulty", "question", "ground_truth", "model_answer"), kinds, ["case_id"])
     return x.select("case_id", "sft_type", F.element_at("turns", -1)["value"].alias("answer"))
 
 
@@ -180,7 +180,7 @@ h as (select case_id, list_sort(list_transform(t[1:4], lambda x: md5('0|' || cas
 select case_id, chr((64 + list_position(list_transform(p, lambda x: x[33:]), g))::int) as letter, list_aggregate(list_transform(p, lambda x: x[33:]), 'string_agg', '|') as options from h"""
 )
 def t21_distractors(spark, d):
-    x = cases(spark, d).where("ground_truth is not null")
+    x = cases(spark, d, "ground_truth").where("ground_truth is not null")
     s = T.with_distractors(F.col("ground_truth"), F.array(F.lit("renal colic"), F.lit("stable angina"), F.lit("lipoma")), F.col("case_id"))
     return x.select("case_id", s["letter"].alias("letter"), F.array_join(F.map_values(s["options"]), "|").alias("options"))
 
@@ -189,7 +189,7 @@ def t21_distractors(spark, d):
     f"""with p as (select sample_id, question from {S}) select sample_id, case when length(question) <= 60 then question else (case when contains(left(question, 60), '.') and length(left(question, 60)) - instr(reverse(left(question, 60)), '.') + 1 > 30 then left(left(question, 60), length(left(question, 60)) - instr(reverse(left(question, 60)), '.') + 1) else left(question, 60) end) || ' ...' end as short from p"""
 )
 def x33_truncate(spark, d):
-    return scores(spark, d).select("sample_id", X.truncate_sentence(F.col("question"), 60).alias("short"))
+    return scores(spark, d, "question").select("sample_id", X.truncate_sentence(F.col("question"), 60).alias("short"))
 
 
 _AFTER = "case when contains(a, 'Final Answer:') then trim(substr(a, instr(a, 'Final Answer:') + 13), ' ') else a end"
@@ -200,13 +200,13 @@ _AFTER = "case when contains(a, 'Final Answer:') then trim(substr(a, instr(a, 'F
 select case_id, coalesce({", ".join(f"nullif(trim(regexp_extract(t, '(?ims){p}', 1), ' '), '')" for p in X.ANSWER_MARKERS)}, case when ends_with(t, '.') then left(t, -1) else t end) as answer from t"""
 )
 def x11_final_answers(spark, d):
-    return cases(spark, d).select("case_id", X.final_answer(F.col("model_answer")).alias("answer"))
+    return cases(spark, d, "model_answer").select("case_id", X.final_answer(F.col("model_answer")).alias("answer"))
 
 
 @query(f"select sample_id, split_part(image_path, '/', 2) as folder, md5(coalesce(image_path, '')) as h, list_filter(list_transform(string_split_regex(regexp_replace(trim(coalesce(question, '')), '^\\[|\\]$', '', 'g'), '[,;\\n]'), lambda x: trim(x)), lambda x: x != '') as items from {S}")
 def x28_lists(spark, d):
     """List items of the question, folder and md5 of the path."""
-    x = scores(spark, d)
+    x = scores(spark, d, "question", "image_path")
     return x.select("sample_id", F.split_part("image_path", F.lit("/"), F.lit(2)).alias("folder"), F.md5(X.text_or_empty(F.col("image_path"))).alias("h"), X.list_items(F.col("question")).alias("items"))
 
 
@@ -222,7 +222,7 @@ def x30_boxes(spark, d):
 @query()
 def x15_tool_calls(spark, d):
     """Calls in the action sections, their signatures and validity."""
-    x = examples(spark, d).select("example_id", F.posexplode("messages").alias("no", "m")).where("m.content is not null").select("example_id", "no", F.regexp_extract("m.content", r'(?s)"action[^"]*"\s*(\[.*?\])\s*(?:\n"value|$)', 1).alias("a")).where("a != ''")
+    x = examples(spark, d, "messages").select("example_id", F.posexplode("messages").alias("no", "m")).where("m.content is not null").select("example_id", "no", F.regexp_extract("m.content", r'(?s)"action[^"]*"\s*(\[.*?\])\s*(?:\n"value|$)', 1).alias("a")).where("a != ''")
     calls = J.tool_calls_col(F.col("a"))
     return x.select("example_id", "no", F.size(calls).alias("calls"), J.signature_col(F.get(calls, F.lit(0))["name"], F.get(calls, F.lit(0))["arguments"]).alias("signature"), J.valid_call_col(F.col("a")).alias("valid"))
 
@@ -259,7 +259,7 @@ def r8_dispatch(spark, d):
 
 @query(f"select case_id, case coalesce(lower(trim(difficulty)), '') when 'basic' then 'basic' else 'intermediate' end as level from {C}")
 def r12_routing(spark, d):
-    return cases(spark, d).select("case_id", R.route(F.col("difficulty"), "intermediate").alias("level"))
+    return cases(spark, d, "difficulty").select("case_id", R.route(F.col("difficulty"), "intermediate").alias("level"))
 
 
 @query(
@@ -267,7 +267,7 @@ def r12_routing(spark, d):
 )
 def j11_below_average(spark, d):
     """Groups under the overall mean."""
-    x = scores(spark, d)
+    x = scores(spark, d, "task_name", "model", "score")
     mean = x.agg(F.avg("score")).first()[0]
     k = x.groupBy("task_name", "model").agg(F.avg("score").alias("s"))
     return k.where(F.col("s") < F.lit(mean)).select("task_name", "model", F.round("s", 6).alias("mean_score"))
@@ -279,7 +279,7 @@ select case_id, letter from o"""
 )
 def j22_option_letters(spark, d):
     opts = F.create_map(F.lit("A"), F.lit("stable angina"), F.lit("B"), F.lit("lipoma"), F.lit("C"), F.lit("renal colic"))
-    return cases(spark, d).select("case_id", joins.letter_by_text(opts, F.col("ground_truth")).alias("letter")).where("letter is not null")
+    return cases(spark, d, "ground_truth").select("case_id", joins.letter_by_text(opts, F.col("ground_truth")).alias("letter")).where("letter is not null")
 
 
 _SQ = "osce_examination"
