@@ -59,12 +59,18 @@ def item_states(events: DataFrame, max_rounds: int, timeout: str = "10 minutes")
 
 
 def replay_states(events: DataFrame, item: str, order: list[str], text: Column, max_rounds: int) -> DataFrame:
-    """R2, R11 on recorded events: (item, rounds, status) of every item, without state: an ordered fold per item."""
-    done = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.coalesce(text, F.lit("")).alias("__t")))), lambda s: s["__t"].contains("Terminate"))
-    x = events.groupBy(item).agg(done.alias("__d"))
-    first = F.array_position("__d", True).cast("int")
-    rounds = F.when(first > 0, F.least(first, F.lit(max_rounds))).otherwise(F.least(F.size("__d"), F.lit(max_rounds)))
-    return x.select(item, rounds.alias("rounds"), F.when((first > 0) | (F.size("__d") >= max_rounds), "finished").otherwise("processing").alias("status"))
+    """R2, R11 on recorded events: (item, rounds, status) of every item, without state. Null items are left out.
+
+    The first Terminate of an item is an aggregate, and events up to it are counted by another, so no item's events are
+    gathered. The order must be total within an item.
+    """
+    at = F.struct(*order)
+    x = events.where(F.col(item).isNotNull()).select(item, at.alias("__at"), F.coalesce(text.contains("Terminate"), F.lit(False)).alias("__end"))
+    ends = x.where("__end").groupBy(item).agg(F.min("__at").alias("__first"))
+    n = x.join(ends, item, "left").groupBy(item).agg(F.count("*").alias("__all"), F.count_if(F.col("__at") <= F.col("__first")).alias("__upto"))
+    done = F.col("__upto") > 0
+    rounds = F.least(F.when(done, F.col("__upto")).otherwise(F.col("__all")), F.lit(max_rounds)).cast("int")
+    return n.select(item, rounds.alias("rounds"), F.when(done | (F.col("__all") >= max_rounds), "finished").otherwise("processing").alias("status"))
 
 
 def live_workers(beats: DataFrame, worker: str, at: str, now: Column, seconds: int = 90) -> DataFrame:
