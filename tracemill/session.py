@@ -33,9 +33,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "tracemill-checkpoints")
+        # one machine: its temporary folder; a cluster: beside the warehouse, which executors share
+        folder = os.path.join(tempfile.gettempdir(), "tracemill-checkpoints") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     sc.setCheckpointDir(folder)
 
 
