@@ -79,6 +79,20 @@ def test_hidden_limits_and_open_endings(spark):
     assert C.verdicts(C.values(cases.where("false"), ex.where("false"))).count() == 0
 
 
+def test_endings_without_a_full_stop_are_reviewed(spark):
+    say = "The patient was seen again in the clinic. "
+    whole = ["Final answer: septic arthritis", "the cardiac silhouette is normal", "\n- gout\n- heart failure", "so far so good. — agreed by all"]
+    rows = [(i, "A", {"Moderator": say + whole[i % 4] if i % 4 != 1 else whole[1]}, None, None, "") for i in range(400)]
+    cut = [say + "Final answer: septic arthr", "the cardiac silh", "the cardiac", say + "\n- gout\n- heart", say + "so far so good. — agr"]
+    rows += [(1000 + i, "A", {"Moderator": t}, None, None, "") for i, t in enumerate(cut)]
+    # a length that holds far more unpunctuated endings than its neighbours cuts at known words too, whatever the source's spelling
+    rows += [(2000 + i, ("B", "b ", "B v1.0")[i % 3], {"Moderator": "x" * 92 + " " + w + ". " + "[ANSWER] " + "no"}, None, None, "") for i, w in enumerate(["ab"] * 12)]
+    rows += [(3000 + i, ("B", "b ", "B v1.0")[i % 3], {"Moderator": (say * 9)[:108]}, None, None, "") for i in range(12)]
+    got = {r["rec_id"] for r in C.cut_values(C.verdicts(C.values(spark.createDataFrame(rows, CASES), spark.createDataFrame([], EXAMPLES)))).collect()}
+    assert len("x" * 92 + " ab. [ANSWER] no") == 108
+    assert got == {1000 + i for i in range(5)} | {2000 + i for i in range(12)} | {3000 + i for i in range(12)}
+
+
 Q = "Which drug most probably caused the stable focal consolidation in the left upper lobe of this patient?"
 
 

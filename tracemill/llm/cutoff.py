@@ -9,7 +9,10 @@ taken off before. An ending that reads as finished stays finished at any length,
 have a limit's length. An ending that alone decides nothing (a short capitalised phrase without a full stop) is settled
 by the corpus: it is finished if values that open with the same two words mostly go without a full stop and others end
 in its last word too, and it is a cut otherwise, or if its opening is the beginning of a far more frequent one, or if the
-value has a hidden limit's length.
+value has a hidden limit's length. An ending that reads as finished only because labels, list entries, dashed tails and
+short phrases need no full stop is reviewed too: it is a cut if its last word never ends anything but goes on within such
+endings or is the beginning of far more frequent words, or at a hidden limit that holds far more such endings than its
+neighbours (as many as there come by chance are complete).
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .mixing import source_key
 
 #: Abbreviations with a full stop after which a sentence goes on.
 ABBREVIATIONS = frozenset("e.g i.e approx incl max min vs esp fig figs dr mr mrs prof st ca cf resp excl al z.b bzw ggf inkl usw.u d.h p.ex env n° núm aprox pág dra sra".split())
@@ -40,7 +44,8 @@ _LABEL = r"(?:final |closing )?(?:answer|decision|verdict|diagnosis|conclusion|c
 _MARK = re.compile(rf"(?:^|[\s*_(—-])(?:\[{_LABEL}\]|{_LABEL}\s*:)[*_ ]*(?P<rest>[^\n]*)$", re.I)
 _BARE = re.compile(rf"(?:^|\s)[*_]*(?:\[{_LABEL}\]|{_LABEL}\s*:)[*_ ]*$", re.I)
 _LIST = re.compile(r"^\s*(?:[-*•·]|\d{1,2}[.)]|\(?[A-Za-z][.)])\s+\S")
-_DASHED = re.compile(r"[.!?”\"')\]]\s+[—–-]\s+\S[^.!?]{0,40}$")
+_MARKER = re.compile(r"^\s*(?:[-*•·]|\d{1,2}[.)]|\(?[A-Za-z][.)])\s+")
+_DASHED = re.compile(r"[.!?”\"')\]]\s+[—–-]\s+(\S[^.!?]{0,40})$")
 _SENTENCE = re.compile(r"(?:[.!?。！？][\"'”’»)\]*]*(?:\s+|(?<=[。！？]))|\n+)(?=\S)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*")
 DONE, CUT, OPEN, EMPTY = "done", "cut", "open", "empty"
@@ -111,19 +116,24 @@ def opening(text: str) -> str:
     return " ".join(w) if len(w) > 1 else f"{w[0]} |" if w else "|"
 
 
-def inspect(text: str | None) -> tuple[str, str, str]:
-    """(state, last word, opening) of a whole value: done, cut, empty, or open where the ending alone decides nothing."""
+def inspect(text: str | None) -> tuple[str, str, str, str]:
+    """(state, last word, opening, part) of a whole value: done, cut, empty, or open where the ending alone decides nothing.
+
+    part is the label's answer, list entry, dashed tail or short phrase that a done or open value without a full stop ends in.
+    """
     if text is None:
-        return EMPTY, "", ""
+        return EMPTY, "", "", ""
     v = value_of(text)
     if v is None:
-        return CUT, "", ""
+        return CUT, "", "", ""
     v = _bare(v)
     if nothing_in(v):
-        return EMPTY, "", ""
+        return EMPTY, "", "", ""
     t, left = strip_left(v)
-    state = _state(t, left, t[t.rfind("\n") + 1 :]) if t else CUT
-    return CUT if "�" in v[len(t) :] else state, _last_word(t), opening(t)
+    state, part = _state(t, left, t[t.rfind("\n") + 1 :]) if t else (CUT, "")
+    if "�" in v[len(t) :]:
+        state, part = CUT, ""
+    return state, _last_word(t), opening(t), part
 
 
 def _bare(value: str) -> str:
@@ -136,39 +146,41 @@ def _last_word(t: str) -> str:
     return words[-1].lower() if words else ""
 
 
-def _state(t: str, left: bool, line: str) -> str:
+def _state(t: str, left: bool, line: str) -> tuple[str, str]:
     end = line if len(line) <= 160 else "x" + line[-160:]  # markers stand at the end
     if len(t) > 40 and t[-1] in ":]*_" and _BARE.search(end) or line.count("**") % 2 or _open_bracket(line):
-        return CUT
+        return CUT, ""
     if t[0] in "[{" and not left:
         try:
             json.loads(t)
-            return DONE
+            return DONE, ""
         except (ValueError, RecursionError):
             pass
     bare = t.rstrip(_CLOSERS)
     if _END.search(bare):
         token = re.search(r"\s(\S+)\.$", bare)
-        return CUT if token and token.group(1).lstrip("(\"'“[") in ABBREVIATIONS else DONE
+        return CUT if token and token.group(1).lstrip("(\"'“[") in ABBREVIATIONS else DONE, ""
     if not left:
         m = _MARK.search(end)
         if m:
             rest = m.group("rest").strip(" *_")
-            return DONE if rest and len(rest.split()) <= 8 else CUT
-        if _LIST.match(line) and "\n" in t or _DASHED.search(end):
-            return DONE
+            return (DONE, rest) if rest and len(rest.split()) <= 8 else (CUT, "")
+        if _LIST.match(line) and "\n" in t:
+            return DONE, _MARKER.sub("", end)
+        if m := _DASHED.search(end):
+            return DONE, m.group(1)
     at = 0
     for m in _SENTENCE.finditer(t, max(0, len(t) - 400)):
         at = m.end()
     if not at and len(t) > 400:
-        return CUT  # a long last sentence without its end
+        return CUT, ""  # a long last sentence without its end
     fragment = t[at:].strip()
     n = len(_WORD.findall(fragment))
     han = sum("㐀" <= c <= "鿿" for c in fragment)
     whole = fragment == t.strip()
     if left or han > 8 or n > 8 or t[-1] in ",;:-–—/&+=<(" and n > 0 or not whole and n > 0 and not _phrase_after(t, fragment):
-        return CUT
-    return DONE if not any(c.isupper() for c in fragment[:1]) or len(fragment) == 1 else OPEN
+        return CUT, ""
+    return DONE if not any(c.isupper() for c in fragment[:1]) or len(fragment) == 1 else OPEN, fragment
 
 
 def _phrase_after(text: str, fragment: str) -> bool:
@@ -206,25 +218,38 @@ def lengths(t: str) -> tuple[int, ...]:
 def hidden_limits(looked: DataFrame, ratio: float = 6.0, least: int = 5, reach: int = 8) -> DataFrame:
     """(tab, source, variant, length, values, cuts, around): lengths at which far more values look cut than at those nearby.
 
-    Every variant is grouped by table and source (and by all sources together, source null). A length is a limit if at
-    least `least` values of it look cut and `ratio` times as many as the mean of the lengths within `reach`. Counts are
+    Every variant is grouped by table and source, whatever its spelling (and by all sources together, source null). A length is a limit if at
+    least `least` values of it look cut, `ratio` times as many as the mean of the lengths within `reach` and more than chance
+    gives at one of many lengths. Counts are
     taken over all values; the table has one row per distinct length. Lengths under 64 are no limits of free text.
     """
-    x = looked.select("tab", "source", "state", F.posexplode("lengths").alias("no", "length")).where("length >= 64")
-    x = x.select("tab", "source", "state", F.get(F.array(*map(F.lit, VARIANTS)), F.col("no")).alias("variant"), "length").groupBy("tab", "source", "variant", "length").agg(F.count("*").alias("values"), F.count_if(F.col("state") == CUT).alias("cuts"))
-    x = x.where("source is not null").unionByName(x.groupBy("tab", "variant", "length").agg(F.sum("values").alias("values"), F.sum("cuts").alias("cuts")).withColumn("source", F.lit(None).cast("string")))
+    return _limits(looked, ratio, least, reach).drop("review")
+
+
+def _limits(looked: DataFrame, ratio: float = 6.0, least: int = 5, reach: int = 8) -> DataFrame:
+    """hidden_limits with review: whether endings that are done without a full stop are as far in excess as cut ones."""
+    x = looked.select("tab", F.col("source_key").alias("source"), "state", "loose", F.posexplode("lengths").alias("no", "length")).where("length >= 64")
+    x = x.select("tab", "source", "state", "loose", F.get(F.array(*map(F.lit, VARIANTS)), F.col("no")).alias("variant"), "length").groupBy("tab", "source", "variant", "length").agg(F.count("*").alias("values"), F.count_if(F.col("state") == CUT).alias("cuts"), F.count_if("loose").alias("bare"))
+    x = x.where("source is not null").unionByName(x.groupBy("tab", "variant", "length").agg(F.sum("values").alias("values"), F.sum("cuts").alias("cuts"), F.sum("bare").alias("bare")).withColumn("source", F.lit(None).cast("string")))
     w = Window.partitionBy("tab", "source", "variant").orderBy("length").rangeBetween(-reach, reach)
-    x = x.withColumn("around", (F.sum("cuts").over(w) - F.col("cuts")) / (2 * reach))
-    return x.where((F.col("cuts") >= least) & (F.col("cuts") >= ratio * F.greatest("around", F.lit(0.1))))
+    x = x.withColumn("around", (F.sum("cuts").over(w) - F.col("cuts")) / (2 * reach)).withColumn("bare_around", (F.sum("bare").over(w) - F.col("bare")) / (2 * reach))
+
+    def excess(n: str, around: str) -> Column:
+        usual = F.greatest(around, F.lit(0.1))
+        by_chance = F.col(n) * F.log(F.col(n) / usual) - F.col(n) + usual < 12  # Poisson; there are many lengths and sources
+        return (F.col(n) >= least) & (F.col(n) >= ratio * usual) & ~by_chance
+
+    return x.where(excess("cuts", "around")).withColumn("review", excess("bare", "bare_around")).drop("bare", "bare_around")
 
 
-LOOKED = "kind string, tab string, rec_id bigint, msg_no bigint, source string, state string, last string, first string, lengths array<int>, a bigint, b bigint"
+LOOKED = "kind string, tab string, rec_id bigint, msg_no bigint, source string, source_key string, state string, last string, first string, loose boolean, lengths array<int>, a bigint, b bigint, c bigint, d bigint"
 
 
 def looked_at(vals: DataFrame) -> DataFrame:
     """One pass over all texts. kind 'value': the state of each value with its last word, opening and lengths. Kinds
     'last' and 'first': terminal contexts, counted per batch: how often the word `last` ends a finished sentence (a) or a
-    value without a full stop (b), and how many values have the opening `first` (a) and end in a full stop (b)."""
+    value without a full stop (b), how often the latter is done by its ending (c, part of a), and how often the word goes on
+    within such an ending (d); how many values have the opening `first` (a) and end in a full stop (b)."""
 
     def look(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -234,12 +259,12 @@ def looked_at(vals: DataFrame) -> DataFrame:
                 seen.append(r := inspect(t))
                 sizes.append(lengths(t) if t else (0,) * len(VARIANTS))
                 model.add(t, r)
-            out = pdf[["tab", "rec_id", "msg_no", "source"]].assign(kind="value", lengths=pd.Series(sizes, index=pdf.index, dtype=object), a=0, b=0)
+            out = pdf[["tab", "rec_id", "msg_no", "source", "source_key"]].assign(kind="value", lengths=pd.Series(sizes, index=pdf.index, dtype=object), loose=[r[0] == DONE and r[3] != "" for r in seen], a=0, b=0, c=0, d=0)
             out["state"], out["last"], out["first"] = ([r[k] for r in seen] for k in range(3))
             yield out[_COLS]
-            yield model.rows().assign(tab=None, rec_id=None, msg_no=None, source=None, state=None, lengths=None)[_COLS]
+            yield model.rows().assign(tab=None, rec_id=None, msg_no=None, source=None, source_key=None, state=None, loose=None, lengths=None)[_COLS]
 
-    return vals.select("tab", "rec_id", "msg_no", "source", "text").mapInPandas(look, LOOKED)
+    return vals.select("tab", "rec_id", "msg_no", "source", source_key(F.col("source")).alias("source_key"), "text").mapInPandas(look, LOOKED)
 
 
 _COLS = [c.split()[0] for c in LOOKED.split(", ")]
@@ -261,57 +286,64 @@ class Contexts:
         self.last: dict[str, list[int]] = {}
         self.first: dict[str, list[int]] = {}
 
-    def add(self, text: str | None, seen: tuple[str, str, str]) -> None:
-        state, word, opens = seen
+    def add(self, text: str | None, seen: tuple[str, str, str, str]) -> None:
+        state, word, opens, part = seen
         if state == EMPTY or not text:
             return
         ends, stop = sentence_ends(value_of(text) or "")
         if state == DONE and word:
             ends.append(word)
         for w in ends:
-            self.last.setdefault(w, [0, 0])[0] += 1
+            self.last.setdefault(w, [0, 0, 0, 0])[0] += 1
         c = self.first.setdefault(opens, [0, 0])
         c[0] += 1
         c[1] += stop
         if not stop:
-            self.last.setdefault(word, [0, 0])[1] += 1
+            self.last.setdefault(word, [0, 0, 0, 0])[1] += 1
+        if part:
+            if state == DONE and word:
+                self.last.setdefault(word, [0, 0, 0, 0])[2] += 1
+            for w in _WORD.findall(part)[:-1]:
+                self.last.setdefault(w.lower(), [0, 0, 0, 0])[3] += 1
 
     def rows(self) -> pd.DataFrame:
-        return pd.DataFrame([("last", w, None, a, b) for w, (a, b) in self.last.items()] + [("first", None, w, a, b) for w, (a, b) in self.first.items()], columns=["kind", "last", "first", "a", "b"])
+        return pd.DataFrame([("last", w, None, *n) for w, n in self.last.items()] + [("first", None, w, *n, 0, 0) for w, n in self.first.items()], columns=["kind", "last", "first", "a", "b", "c", "d"])
 
 
 def ending_model(looked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(last, n_last, n_bare) and (first, n_first, stops) over all values."""
+    """(last, n_last, n_bare, n_loose, n_inner) and (first, n_first, stops) over all values."""
     x = looked.where("kind != 'value'")
-    last = x.where("kind = 'last'").groupBy("last").agg(F.sum("a").alias("n_last"), F.sum("b").alias("n_bare"))
+    last = x.where("kind = 'last'").groupBy("last").agg(F.sum("a").alias("n_last"), F.sum("b").alias("n_bare"), F.sum("c").alias("n_loose"), F.sum("d").alias("n_inner"))
     return last, x.where("kind = 'first'").groupBy("first").agg(F.sum("a").alias("n_first"), F.sum("b").alias("stops"))
 
 
 def verdicts(vals: DataFrame) -> DataFrame:
-    """(tab, rec_id, msg_no, source, state, last, first, at_limit) of every value that is not empty. `open` endings are settled here.
+    """(tab, rec_id, msg_no, source, state, last, first, at_limit) of every value that is not empty. `open` endings, and done
+    ones without a full stop, are settled here.
 
     Values that come again under the same key count once. A null source has no limits of its own.
     """
     looked = cut_lineage(looked_at(vals))
-    x = looked.where(f"kind = 'value' and state != '{EMPTY}'").select("tab", "rec_id", "msg_no", "source", "state", "last", "first", "lengths").dropDuplicates(["tab", "rec_id", "msg_no"])
-    open_ = with_limits(x.where(f"state = '{OPEN}'"), hidden_limits(x))
+    x = looked.where(f"kind = 'value' and state != '{EMPTY}'").select("tab", "rec_id", "msg_no", "source", "source_key", "state", "last", "first", "loose", "lengths").dropDuplicates(["tab", "rec_id", "msg_no"])
+    unsure = F.col("loose") | (F.col("state") == OPEN)
+    x_ = with_limits(x.where(unsure), _limits(x))
     keep = ["tab", "rec_id", "msg_no", "source", "state", "last", "first"]
-    done = x.where(f"state != '{OPEN}'").select(*keep, F.lit(False).alias("at_limit"))
-    return done.unionByName(settle(open_.select(*keep, "at_limit"), ending_model(looked)))
+    done = x.where(~unsure).select(*keep, F.lit(False).alias("at_limit"))
+    return done.unionByName(settle(x_.select(*keep, "loose", "at_limit", "review"), ending_model(looked)).drop("loose", "review"))
 
 
 def with_limits(x: DataFrame, limits: DataFrame) -> DataFrame:
-    """Adds at_limit: whether one of a value's lengths is a hidden limit of its source or of its table."""
-    lim = limits.select("tab", F.coalesce("source", F.lit("")).alias("source"), "variant", "length")
-    hits = x.select("tab", "rec_id", "msg_no", F.explode(F.array(F.lit(""), F.coalesce("source", F.lit("")))).alias("source"), "lengths")
+    """Adds at_limit: whether one of a value's lengths is a hidden limit of its source or of its table, and review of such a limit."""
+    lim = limits.select("tab", F.coalesce("source", F.lit("")).alias("source"), "variant", "length", "review")
+    hits = x.select("tab", "rec_id", "msg_no", F.explode(F.array(F.lit(""), F.coalesce("source_key", F.lit("")))).alias("source"), "lengths")
     hits = hits.select("tab", "rec_id", "msg_no", "source", F.posexplode("lengths").alias("no", "length"))
     hits = hits.select("tab", "rec_id", "msg_no", "source", F.get(F.array(*map(F.lit, VARIANTS)), F.col("no")).alias("variant"), "length")
-    hits = hits.join(lim, ["tab", "source", "variant", "length"], "left_semi").select("tab", "rec_id", "msg_no").distinct().withColumn("at_limit", F.lit(True))
-    return x.join(hits, ["tab", "rec_id", "msg_no"], "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
+    hits = hits.join(lim, ["tab", "source", "variant", "length"], "inner").groupBy("tab", "rec_id", "msg_no").agg(F.max("review").alias("review")).withColumn("at_limit", F.lit(True))
+    return x.join(hits, ["tab", "rec_id", "msg_no"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("at_limit", "review")})
 
 
 def settle(x: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """States of open endings (last, first, at_limit) by the terminal contexts of all values."""
+    """States of open endings and of loose ones, done without a full stop (last, first, loose, at_limit, review), by the terminal contexts of all values."""
     last, first = model
     # openings that mostly go without a full stop, by their beginnings: a rare opening that is the beginning of a frequent
     # one is a cut of it
@@ -322,7 +354,23 @@ def settle(x: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
     bare = n - F.coalesce("stops", F.lit(0))  # the value itself is one of them
     known = (F.coalesce("n_last", F.lit(0)) > 0) | (F.coalesce("n_bare", F.lit(0)) > 2) & (F.coalesce("n_bare", F.lit(0)) * 20 >= n)
     fits = (bare * 2 > n) & known & ~(F.coalesce("n_longer", F.lit(0)) >= 20 * n)
-    return y.withColumn("state", F.when(fits & ~F.col("at_limit"), DONE).otherwise(CUT)).select(x.columns)
+    # a loose ending's last word, by longer words of the corpus it is the beginning of; `ended` are uses that no loose ending proves
+    y = y.join(longer_words(y.where("loose").select("last"), last), "last", "left")
+    count = {c: F.coalesce(c, F.lit(0)) for c in ("n_loose", "n_inner", "n_word")}
+    ended = F.coalesce("n_last", F.lit(0)) - count["n_loose"]
+    uses = F.coalesce("n_bare", F.lit(0)) + 20 * ended
+    lost = (count["n_inner"] >= 5 * uses) | (count["n_word"] >= 20 * uses) | F.col("at_limit") & (ended == 0) & (count["n_loose"] <= 2)
+    lost = lost & (F.col("last") != "") & ~F.col("last").rlike("[0-9]") | F.col("review")
+    state = F.when(F.col("loose"), F.when(lost, CUT).otherwise(DONE)).when(fits & ~F.col("at_limit"), DONE).otherwise(CUT)
+    return y.withColumn("state", state).select(x.columns)
+
+
+def longer_words(words: DataFrame, last: DataFrame) -> DataFrame:
+    """(last, n_word): the count of the most frequent word that begins with `last` and goes on. Digits are no words."""
+    n = F.col("n_last") + F.col("n_bare") + F.col("n_inner")
+    known = last.where((n >= 20) & (F.length("last") > 1) & ~F.col("last").rlike("[0-9]")).select(F.col("last").alias("w"), n.alias("n"))
+    begin = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("w") - 1, F.lit(40))), lambda i: F.col("w").substr(F.lit(1), i)))
+    return known.select(begin.alias("last"), "n").groupBy("last").agg(F.max("n").alias("n_word")).join(words.distinct(), "last", "left_semi")
 
 
 def cut_values(v: DataFrame) -> DataFrame:

@@ -174,25 +174,25 @@ def pairs(cases: DataFrame, examples: DataFrame) -> DataFrame:
     return a.unionByName(b).where("rec_id is not null")
 
 
-def judge(response: str | None, prompt: str | None, first: str | None) -> tuple[str, str, str, str]:
-    """(defect or '', state, last, first words): truncation by an open ending is settled later."""
-    state, last, opening = cutoff.inspect(response)
+def judge(response: str | None, prompt: str | None, first: str | None) -> tuple[str, str, str, str, str]:
+    """(defect or '', state, last, first words, part): truncation by an open or loose ending is settled later."""
+    state, last, opening, part = cutoff.inspect(response)
     if state == cutoff.EMPTY:
-        return "empty", state, last, opening
+        return "empty", state, last, opening, part
     v = cutoff.value_of(response)
     if v is None:
-        return "truncated", state, last, opening
+        return "truncated", state, last, opening, part
     text = strip_markup(v)
     if is_refusal(text):
-        return "refusal", state, last, opening
+        return "refusal", state, last, opening, part
     if prompt and is_copy(text, prompt):
-        return "copy", state, last, opening
+        return "copy", state, last, opening, part
     mine = language(text)
     if mine:
         asked = next((x for q in (*(questions(prompt)[::-1] if prompt else ()), first) if (x := language(q, 2.5))), None)
         if asked and asked != mine:
-            return "other_language", state, last, opening
-    return "truncated" if state == cutoff.CUT else "", state, last, opening
+            return "other_language", state, last, opening, part
+    return "truncated" if state == cutoff.CUT else "", state, last, opening, part
 
 
 def defects(p: DataFrame) -> DataFrame:
@@ -205,16 +205,17 @@ def defects(p: DataFrame) -> DataFrame:
             for x in zip(pdf["response"], pdf["prompt"], pdf["first"]):
                 got.append(g := judge(*x))
                 model.add(x[0], g[1:])
-            out = pdf[["tab", "rec_id", "msg_no", "source", "response"]].copy()
+            out = pdf[["tab", "rec_id", "msg_no", "source_key", "response"]].copy()
             out["defect"], out["state"], out["last"], out["first"] = ([g[k] for g in got] for k in range(4))
-            out = out[(out["defect"] != "") | out["state"].isin([cutoff.OPEN, cutoff.CUT])]
-            yield out.assign(kind="value", a=0, b=0, lengths=pd.Series([cutoff.lengths(t or "") for t in out["response"]], index=out.index, dtype=object))[cols]
-            yield model.rows().assign(tab=None, rec_id=None, msg_no=None, source=None, defect=None, state=None, lengths=None)[cols]
+            out["loose"] = [g[1] == cutoff.DONE and g[4] != "" for g in got]
+            out = out[(out["defect"] != "") | out["loose"] | out["state"].isin([cutoff.OPEN, cutoff.CUT])]
+            yield out.assign(kind="value", a=0, b=0, c=0, d=0, lengths=pd.Series([cutoff.lengths(t or "") for t in out["response"]], index=out.index, dtype=object))[cols]
+            yield model.rows().assign(tab=None, rec_id=None, msg_no=None, source_key=None, defect=None, state=None, loose=None, lengths=None)[cols]
 
-    schema = "kind string, tab string, rec_id bigint, msg_no bigint, source string, defect string, state string, last string, first string, lengths array<int>, a bigint, b bigint"
+    schema = "kind string, tab string, rec_id bigint, msg_no bigint, source_key string, defect string, state string, last string, first string, loose boolean, lengths array<int>, a bigint, b bigint, c bigint, d bigint"
     cols = [c.split()[0] for c in schema.split(", ")]
-    x = cutoff.cut_lineage(p.mapInPandas(run, schema))
-    v = x.where("kind = 'value'").select("tab", "rec_id", "msg_no", "source", "defect", "state", "last", "first", "lengths").distinct()
-    open_ = cutoff.with_limits(v.where(f"defect = '' and state = '{cutoff.OPEN}'"), cutoff.hidden_limits(v))
-    late = cutoff.settle(open_.select("tab", "rec_id", "msg_no", "state", "last", "first", "at_limit"), cutoff.ending_model(x)).where(f"state = '{cutoff.CUT}'").select("tab", "rec_id", "msg_no", F.lit("truncated").alias("defect"))
+    x = cutoff.cut_lineage(p.withColumn("source_key", cutoff.source_key(F.col("source"))).mapInPandas(run, schema))
+    v = x.where("kind = 'value'").select("tab", "rec_id", "msg_no", "source_key", "defect", "state", "last", "first", "loose", "lengths").distinct()
+    open_ = cutoff.with_limits(v.where(f"defect = '' and (loose or state = '{cutoff.OPEN}')"), cutoff._limits(v))
+    late = cutoff.settle(open_.select("tab", "rec_id", "msg_no", "state", "last", "first", "loose", "at_limit", "review"), cutoff.ending_model(x)).where(f"state = '{cutoff.CUT}'").select("tab", "rec_id", "msg_no", F.lit("truncated").alias("defect"))
     return v.where("defect != ''").select("tab", "rec_id", "msg_no", "defect").unionByName(late)

@@ -38,7 +38,7 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_limits(spark: SparkSession, d: str) -> DataFrame:
-    x = cutoff.looked_at(_values(spark, d)).where("kind = 'value'").select("tab", "rec_id", "msg_no", "source", "state", "lengths").dropDuplicates(["tab", "rec_id", "msg_no"])
+    x = cutoff.looked_at(_values(spark, d)).where("kind = 'value'").select("tab", "rec_id", "msg_no", "source_key", "state", "loose", "lengths").dropDuplicates(["tab", "rec_id", "msg_no"])
     return cutoff.hidden_limits(cut_lineage(x))
 
 
