@@ -138,6 +138,18 @@ def test_pairs(spark):
     assert P.defects(P.pairs(cases.where("false"), ex.where("false"))).count() == 0
 
 
+def test_endings_of_pairs_are_settled_as_values_are(spark):
+    # "Gout" never ends a response; prompts and the Moderator's texts show that values end in it, after any terminator
+    cases = spark.createDataFrame([(i, "A", {"Moderator": "We all think of gout! It is likely."}, Q, "It is likely.", "") for i in range(30)], CASES)
+    ex = spark.createDataFrame([(i, "A", [("user", "Name the cause"), ("assistant", "It is gou" if i == 1 else "Severe gout")]) for i in range(3)] + [(9 + i, "A", [("user", "Severe gout")]) for i in range(30)], EXAMPLES)
+    vals = C.all_values(cases, ex)
+    cut = {(r["tab"], r["rec_id"], r["msg_no"]) for r in C.cut_values(C.verdicts(vals)).collect()}
+    got = {tuple(r) for r in P.defects(P.pairs(cases, ex), vals).collect()}
+    assert got == {("data_example", 1, 1, "truncated")}
+    assert {r[:3] for r in got} == {r for r in cut if r[2] == 1}
+    assert C.sentence_ends("Is it gout! Yes (at last?) Not at\nall.\nNo。然后 x")[0] == ["gout", "last", "all", "no"]
+
+
 CLEAN = ["Les effets indésirables, plutôt légers, ont touché l’équipe à Orléans.", "Größere Übungen wären möglich für ältere Ärzte.", "La lesión mide 3 mm y el niño está aquí; ¿cuál será?", "NÃO HÁ LESÃO ÓSSEA; A OBSERVAÇÃO", "L’ÉTÉ… “CAFÉ” à 5 °C — naïve ≥ 3", "专家组认为该病变为良性，无需手术。结果一致。"]
 
 

@@ -47,6 +47,7 @@ _LIST = re.compile(r"^\s*(?:[-*•·]|\d{1,2}[.)]|\(?[A-Za-z][.)])\s+\S")
 _MARKER = re.compile(r"^\s*(?:[-*•·]|\d{1,2}[.)]|\(?[A-Za-z][.)])\s+")
 _DASHED = re.compile(r"[.!?”\"')\]]\s+[—–-]\s+(\S[^.!?]{0,40})$")
 _SENTENCE = re.compile(r"(?:[.!?。！？][\"'”’»)\]*]*(?:\s+|(?<=[。！？]))|\n+)(?=\S)")
+_SENTENCE_END = re.compile(r"[.!?؟۔][\"'”’»)\]*]*(?=\s+\S)|[。！？](?=[\"'”’»)\]*」』）】]*\s*[^\s\"'”’»)\]*」』）】])")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*")
 DONE, CUT, OPEN, EMPTY = "done", "cut", "open", "empty"
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "（": "）", "「": "」", "【": "】"}
@@ -189,6 +190,16 @@ def _phrase_after(text: str, fragment: str) -> bool:
     return at > 0 and text[at - 1] == "\n" and len(fragment.split()) <= 5
 
 
+#: The tab under which model answers are looked at with the values, which have no such tab.
+ANSWERS = "model_answer"
+
+
+def all_values(cases: DataFrame, examples: DataFrame) -> DataFrame:
+    """values() and all model answers, whose tab is ANSWERS: the corpus of terminal contexts."""
+    a = cases.where("model_answer is not null and case_id is not null").select(F.lit(ANSWERS).alias("tab"), F.col("case_id").alias("rec_id"), F.lit(-1).cast("bigint").alias("msg_no"), F.col("source_dataset").alias("source"), F.col("model_answer").alias("text"))
+    return values(cases, examples).unionByName(a)
+
+
 def values(cases: DataFrame, examples: DataFrame, role: str = "Moderator") -> DataFrame:
     """(tab, rec_id, msg_no, source, text): every message content and every text of the role; null texts and ids are left out."""
     a = cases.select(F.lit("demo_case").alias("tab"), F.col("case_id").alias("rec_id"), F.lit(-1).cast("bigint").alias("msg_no"), "source_dataset", F.element_at("example_reasoning", role).alias("text"))
@@ -248,7 +259,7 @@ LOOKED = "kind string, tab string, rec_id bigint, msg_no bigint, source string,
 def looked_at(vals: DataFrame) -> DataFrame:
     """One pass over all texts. kind 'value': the state of each value with its last word, opening and lengths. Kinds
     'last' and 'first': terminal contexts, counted per batch: how often the word `last` ends a finished sentence (a) or a
-    value without a full stop (b), how often the latter is done by its ending (c, part of a), and how often the word goes on
+    value without a full stop that is not cut outright (b), how often the latter is done by its ending (c, part of a), and how often the word goes on
     within such an ending (d); how many values have the opening `first` (a) and end in a full stop (b)."""
 
     def look(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,15 +281,14 @@ def looked_at(vals: DataFrame) -> DataFrame:
 _COLS = [c.split()[0] for c in LOOKED.split(", ")]
 def sentence_ends(value: str) -> tuple[list[str], bool]:
     """Last words of the sentences that another one follows, and whether the value ends in a full stop."""
-    ends = [p[-40:].rsplit(None, 1)[-1].strip(_AROUND).lower() for p in value.split(". ")[:-1] if p.strip()]
-    if "? " in value:
-        ends += [p[-40:].rsplit(None, 1)[-1].strip(_AROUND).lower() for p in value.split("? ")[:-1] if p.strip()]
+    ends = []
+    for m in _SENTENCE_END.finditer(value):
+        before = value[max(0, m.start() - 40) : m.start()].rsplit(None, 1)
+        if before and (w := before[-1] if before[-1].isalpha() else (_WORD.findall(before[-1]) or [""])[-1]):
+            ends.append(w.lower())
     return ends, bool(_END.search(strip_left(value[-200:])[0].rstrip(_CLOSERS)))
 
 
-_AROUND = "()[]{}*_\"'“”‘’«»,;:"
-
-
 class Contexts:
     """Terminal contexts of a batch of texts."""
 
@@ -298,7 +308,7 @@ class Contexts:
         c = self.first.setdefault(opens, [0, 0])
         c[0] += 1
         c[1] += stop
-        if not stop:
+        if not stop and state != CUT:
             self.last.setdefault(word, [0, 0, 0, 0])[1] += 1
         if part:
             if state == DONE and word:

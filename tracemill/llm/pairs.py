@@ -195,27 +195,23 @@ def judge(response: str | None, prompt: str | None, first: str | None) -> tuple[
     return "truncated" if state == cutoff.CUT else "", state, last, opening, part
 
 
-def defects(p: DataFrame) -> DataFrame:
-    """(tab, rec_id, msg_no, defect): defective pairs, each once. Terminal contexts are those of all responses."""
+def defects(p: DataFrame, vals: DataFrame | None = None) -> DataFrame:
+    """(tab, rec_id, msg_no, defect): defective pairs, each once.
+
+    Endings that a response alone does not decide are settled by cutoff.verdicts over `vals` (cutoff.all_values; the
+    responses themselves if None), so that a text is as cut here as there.
+    """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            model = cutoff.Contexts()
-            got = []
-            for x in zip(pdf["response"], pdf["prompt"], pdf["first"]):
-                got.append(g := judge(*x))
-                model.add(x[0], g[1:])
-            out = pdf[["tab", "rec_id", "msg_no", "source_key", "response"]].copy()
-            out["defect"], out["state"], out["last"], out["first"] = ([g[k] for g in got] for k in range(4))
-            out["loose"] = [g[1] == cutoff.DONE and g[4] != "" for g in got]
-            out = out[(out["defect"] != "") | out["loose"] | out["state"].isin([cutoff.OPEN, cutoff.CUT])]
-            yield out.assign(kind="value", a=0, b=0, c=0, d=0, lengths=pd.Series([cutoff.lengths(t or "") for t in out["response"]], index=out.index, dtype=object))[cols]
-            yield model.rows().assign(tab=None, rec_id=None, msg_no=None, source_key=None, defect=None, state=None, loose=None, lengths=None)[cols]
-
-    schema = "kind string, tab string, rec_id bigint, msg_no bigint, source_key string, defect string, state string, last string, first string, loose boolean, lengths array<int>, a bigint, b bigint, c bigint, d bigint"
-    cols = [c.split()[0] for c in schema.split(", ")]
-    x = cutoff.cut_lineage(p.withColumn("source_key", cutoff.source_key(F.col("source"))).mapInPandas(run, schema))
-    v = x.where("kind = 'value'").select("tab", "rec_id", "msg_no", "source_key", "defect", "state", "last", "first", "loose", "lengths").distinct()
-    open_ = cutoff.with_limits(v.where(f"defect = '' and (loose or state = '{cutoff.OPEN}')"), cutoff._limits(v))
-    late = cutoff.settle(open_.select("tab", "rec_id", "msg_no", "state", "last", "first", "loose", "at_limit", "review"), cutoff.ending_model(x)).where(f"state = '{cutoff.CUT}'").select("tab", "rec_id", "msg_no", F.lit("truncated").alias("defect"))
-    return v.where("defect != ''").select("tab", "rec_id", "msg_no", "defect").unionByName(late)
+            out = pdf[["tab", "rec_id", "msg_no"]].copy()
+            got = [judge(*x) for x in zip(pdf["response"], pdf["prompt"], pdf["first"])]
+            out["defect"] = [g[0] for g in got]
+            yield out[[g[0] != "" or g[1] == cutoff.OPEN or g[4] != "" for g in got]]
+
+    if vals is None:
+        vals = p.where("response is not null").select(F.when(F.col("tab") == "demo_case", cutoff.ANSWERS).otherwise(F.col("tab")).alias("tab"), "rec_id", "msg_no", "source", F.col("response").alias("text"))
+    x = cutoff.cut_lineage(p.mapInPandas(run, "tab string, rec_id bigint, msg_no bigint, defect string").distinct())
+    cut = cutoff.cut_values(cutoff.verdicts(vals)).where("tab != 'demo_case'").withColumn("tab", F.when(F.col("tab") == cutoff.ANSWERS, "demo_case").otherwise(F.col("tab")))
+    late = x.where("defect = ''").join(cut, ["tab", "rec_id", "msg_no"], "left_semi").withColumn("defect", F.lit("truncated"))
+    return x.where("defect != ''").unionByName(late)

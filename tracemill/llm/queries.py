@@ -29,12 +29,20 @@ def _values(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.values(table(spark, d, "demo_case"), table(spark, d, "data_example"))
 
 
+def _all_values(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.all_values(table(spark, d, "demo_case"), table(spark, d, "data_example"))
+
+
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.verdicts(_all_values(spark, d)).where(F.col("tab") != cutoff.ANSWERS)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return cutoff.cut_values(cutoff.verdicts(_values(spark, d)))
+    return cutoff.cut_values(_verdicts(spark, d))
 
 
 def p2_rates(spark: SparkSession, d: str) -> DataFrame:
-    return cutoff.cut_rates(cutoff.verdicts(_values(spark, d)), mixing.source_key(F.col("source")))
+    return cutoff.cut_rates(_verdicts(spark, d), mixing.source_key(F.col("source")))
 
 
 def p2_limits(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +60,7 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _defects(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.defects(pairs.pairs(table(spark, d, "demo_case"), table(spark, d, "data_example")))
+    return pairs.defects(pairs.pairs(table(spark, d, "demo_case"), table(spark, d, "data_example")), _all_values(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
