@@ -50,6 +50,13 @@ def test_behaviour_tags(spark):
     assert kept["c"] == ([], 1)
 
 
+def test_tree_paths_reach_every_leaf_or_fail(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(30)], "parent string, child string")
+    assert {r["node"] for r in T.tree_paths(edges, "0").collect()} == {str(i + 1) for i in range(30)}
+    with pytest.raises(Exception, match="RECURSION"):
+        T.tree_paths(edges, "0", depth=10).collect()
+
+
 def test_repeat_filters(spark):
     df = spark.createDataFrame([(["a", None, "a"], ["a", "a"], ["t"] * 3, ["t"] * 4, [True] * 3, [True] * 4)], "x array<string>, y array<string>, r3 array<string>, r4 array<string>, c3 array<boolean>, c4 array<boolean>")
     r = df.select(P.repeats_adjacent(F.col("x")), P.repeats_previous_call(F.col("y")), P.repeated_test(F.col("r3"), F.col("c3")), P.repeated_test(F.col("r4"), F.col("c4")), P.repeats_previous_call(F.array().cast("array<string>"))).first()

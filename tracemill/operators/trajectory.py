@@ -204,14 +204,15 @@ def align_system(system: Column, turns: Column, instruction: str) -> Column:
     return F.when(F.coalesce(thinks, F.lit(False)), system).otherwise(F.trim(F.replace(text_or_empty(system), F.lit(instruction), F.lit(""))))
 
 
-def tree_paths(edges: DataFrame, root: str, depth: int = 20) -> DataFrame:
-    """(node, path) of every node below a root, by a recursive query over (parent, child); at most `depth` levels."""
+def tree_paths(edges: DataFrame, root: str, depth: int = 1000) -> DataFrame:
+    """(node, path) of every node below a root, by a recursive query over (parent, child). A tree of `depth` levels
+    or more, or a cycle, is an error; no node is left out."""
     spark = edges.sparkSession
     edges.select(F.col("parent").cast("string").alias("parent"), F.col("child").cast("string").alias("child")).createOrReplaceTempView("__edges")
     return spark.sql(
         f"""WITH RECURSIVE walk(node, path, level) MAX RECURSION LEVEL {depth} AS (
  SELECT child, concat('{root}', ' > ', child), 1 FROM __edges WHERE parent = '{root}'
- UNION ALL SELECT e.child, concat(w.path, ' > ', e.child), w.level + 1 FROM walk w JOIN __edges e ON e.parent = w.node WHERE w.level < {depth})
+ UNION ALL SELECT e.child, concat(w.path, ' > ', e.child), w.level + 1 FROM walk w JOIN __edges e ON e.parent = w.node)
  SELECT node, path, level FROM walk"""
     )
 
