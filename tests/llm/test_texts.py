@@ -51,6 +51,12 @@ def test_endings(text, want):
     assert C.inspect(text)[0] == want
 
 
+@pytest.mark.parametrize("text", ['{"a": [\n{"x": 1},\n{"y": 2}', "See the list (as agreed\nby all of the panel.", "It is **most\nlikely gout."])
+def test_brackets_and_marks_of_earlier_lines(text):
+    assert C.inspect(text)[0] == "cut"
+    assert C.inspect('{"a": [\n{"x": 1},\n{"y": 2}\n]}')[0] == C.inspect("See (as agreed\nby all).\nIt is **most\nlikely** gout.")[0] == "done"
+
+
 def test_lengths():
     assert C.lengths('a&b"\n') == (5, 5, 5, 14, 7, 7, 6)
     n, utf8, utf16, *_ , ascii_, crlf = C.lengths("é🧪")

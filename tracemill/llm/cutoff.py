@@ -85,10 +85,10 @@ def strip_left(text: str) -> tuple[str, bool]:
         t = u
 
 
-def _open_bracket(line: str) -> bool:
-    """Whether the last line opens a bracket or quotation it does not close."""
+def _open_bracket(text: str) -> bool:
+    """Whether a text opens a bracket or quotation it does not close."""
     stack: list[str] = []
-    for c in _BRACKETS.findall(line):
+    for c in _BRACKETS.findall(text):
         if c in _PAIRS:
             stack.append(c)
         elif c in _CLOSE and stack and stack[-1] == _CLOSE[c]:
@@ -149,7 +149,7 @@ def _last_word(t: str) -> str:
 
 def _state(t: str, left: bool, line: str) -> tuple[str, str]:
     end = line if len(line) <= 160 else "x" + line[-160:]  # markers stand at the end
-    if len(t) > 40 and t[-1] in ":]*_" and _BARE.search(end) or line.count("**") % 2 or _open_bracket(line):
+    if len(t) > 40 and t[-1] in ":]*_" and _BARE.search(end) or t.count("**") % 2 or _open_bracket(t):
         return CUT, ""
     if t[0] in "[{" and not left:
         try:
