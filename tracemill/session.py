@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tracemill", cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -71,6 +72,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys that attach() joins by broadcast.
+HOT_KEYS = 1_000
+
+
+def attach(x: DataFrame, values: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    """x with the columns of `values` (one row per key, keys not null), which every key of x has.
+
+    The HOT_KEYS most frequent keys, by `counts` (keys and count), are joined by broadcast of so many rows; what is left has
+    no key with more than a thousandth of the rows and is joined by shuffle. x and counts are read more than once.
+    """
+    hot = counts.orderBy(F.desc("count"), *keys).limit(HOT_KEYS).select(*keys)
+    hot = cut_lineage(hot)
+    few = F.broadcast(values.join(F.broadcast(hot), keys, "left_semi"))
+    rest = x.join(F.broadcast(hot), keys, "left_anti")
+    return x.join(few, keys).unionByName(rest.join(values, keys))
+
+
 def fits_broadcast(df: DataFrame, limit: int = 100_000) -> bool:
     """True if df has at most `limit` rows. Counting stops at limit + 1, so the check is cheap on large tables."""
     return len(df.select(*([df.columns[0]] if df.columns else [])).limit(limit + 1).take(limit + 1)) <= limit
