@@ -63,20 +63,26 @@ def test_lengths():
     assert (n, utf8, utf16, ascii_, crlf) == (2, 6, 3, 2 + 10 + 6, 2)
 
 
+def test_lengths_as_expression(spark):
+    texts = ["", 'a&b"\n', "é🧪 ab\\c", "<b>\r\n\t'x'", "没有🫁🫁", "plain"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", C.length_columns(F.col("t")).alias("n")).collect()
+    assert {r["t"]: tuple(r["n"]) for r in got} == {t: C.lengths(t) for t in texts}
+
+
 CASES = "case_id long, source_dataset string, example_reasoning map<string,string>, question string, model_answer string, state string"
 EXAMPLES = "example_id long, source_dataset string, messages array<struct<role:string,content:string>>"
 
 
 def test_hidden_limits_and_open_endings(spark):
     full = [(i, "A", {"Moderator": "Words of any kind stand here" + " and more" * (i % 40) + "."}, None, None, "") for i in range(400)]
-    cut = [(1000 + i, "A", {"Moderator": ("There is much to say on this matter, which " * 9)[:200]}, None, None, "") for i in range(30)]
+    cut = [(1000 + i, "A", {"Moderator": (f"Of case {i} there is" + " much to say on this matter, which" * 9)[:200]}, None, None, "") for i in range(30)]
     cases = spark.createDataFrame(full + cut + cut[:3] + [(5000, None, None, None, None, ""), (5001, "A", {"Moderator": None}, None, None, ""), (None, "A", {"Moderator": "Cut he"}, None, None, "")], CASES)
     ask = [(i, "A", [("user", "Point out any fracture"), ("assistant", "There is no fracture."), ("user", "Point ou" if i < 2 else "Go on"), ("assistant", None)]) for i in range(50)]
     ex = spark.createDataFrame(ask + [(9, "A", None), (10, "A", [])], EXAMPLES)
     vals = C.values(cases, ex)
-    looked = C.looked_at(vals).where("kind = 'value'")
-    limits = {(r["variant"], r["length"]) for r in C.hidden_limits(looked).collect()}
-    assert ("chars", 200) in limits
+    looked = C.value_rows(C.looked_at(vals))
+    assert [(r["source"], r["variant"], r["length"], r["values"]) for r in C.exposed_lengths(looked).where("tab = 'demo_case'").collect()] == [("a", "chars", 200, 31)]
+    assert [(r["source"], r["variant"], r["length"], r["cuts"]) for r in C.hidden_limits(looked).where("tab = 'demo_case'").collect()] == [("a", "chars", 200, 30)]
     v = C.verdicts(vals)
     got = {(r["tab"], r["rec_id"], r["msg_no"]) for r in C.cut_values(v).collect()}
     assert got == {("demo_case", 1000 + i, -1) for i in range(30)} | {("data_example", i, 2) for i in range(2)}
@@ -92,8 +98,8 @@ def test_endings_without_a_full_stop_are_reviewed(spark):
     cut = [say + "Final answer: septic arthr", "the cardiac silh", "the cardiac", say + "\n- gout\n- heart", say + "so far so good. — agr"]
     rows += [(1000 + i, "A", {"Moderator": t}, None, None, "") for i, t in enumerate(cut)]
     # a length that holds far more unpunctuated endings than its neighbours cuts at known words too, whatever the source's spelling
-    rows += [(2000 + i, ("B", "b ", "B v1.0")[i % 3], {"Moderator": "x" * 92 + " " + w + ". " + "[ANSWER] " + "no"}, None, None, "") for i, w in enumerate(["ab"] * 12)]
-    rows += [(3000 + i, ("B", "b ", "B v1.0")[i % 3], {"Moderator": (say * 9)[:108]}, None, None, "") for i in range(12)]
+    rows += [(2000 + i, ("B", "b ", "B v1.0")[i % 3], {"Moderator": f"{i:02d}" + "x" * 90 + " " + w + ". " + "[ANSWER] " + "no"}, None, None, "") for i, w in enumerate(["ab"] * 12)]
+    rows += [(3000 + i, ("B", "b ", "B v1.0")[i % 3], {"Moderator": (f"{i:02d} " + say * 9)[:108]}, None, None, "") for i in range(12)]
     got = {r["rec_id"] for r in C.cut_values(C.verdicts(C.values(spark.createDataFrame(rows, CASES), spark.createDataFrame([], EXAMPLES)))).collect()}
     assert len("x" * 92 + " ab. [ANSWER] no") == 108
     assert got == {1000 + i for i in range(5)} | {2000 + i for i in range(12)} | {3000 + i for i in range(12)}
@@ -121,6 +127,9 @@ Q = "Which drug most probably caused the stable focal consolidation in the left
         (Q + " " + Q, Q, "copy"),
         ("Nein, es gibt bei dieser Patientin keinen Hinweis auf eine Embolie.", Q, "other_language"),
         ("没有发现骨折，建议9天后复查。", Q, "other_language"),
+        ("Frage: 病变在哪里？病变在哪里？", "病变在哪里？", "copy"),
+        ("Das kann ich leider nicht beurteilen.", Q, "refusal"),
+        ("No estoy autorizado a responder.", Q, "refusal"),
         ("cystic lesion", "Auf der Aufnahme, welche Ursache ist am wahrscheinlichsten?", ""),
         ("D-dimer 6.3 mmol/l", Q, ""),
         ('"thought💭" x\n"action🔧" []', Q, "truncated"),
@@ -129,7 +138,23 @@ Q = "Which drug most probably caused the stable focal consolidation in the left
     ],
 )
 def test_judge(answer, prompt, want):
-    assert P.judge(answer, prompt, prompt)[0] == want
+    assert P.judge(answer, prompt, prompt) == want
+
+
+@pytest.mark.parametrize("size", [100, 399, 401, 2_000, 100_000])
+@pytest.mark.parametrize("end, want", [("a fracture.", "done"), ("a frac", "cut"), ("a fracture...", "cut"), ("good.\n- gout", "done"), ("good. **Verdict: maybe**", "done"), ("good. Answer:", "cut"), ("good. — agreed by all", "done"), ("good. Yes", "cut"), ("seen, e.g.", "cut")])
+def test_an_ending_counts_the_same_at_any_length(size, end, want):
+    assert C.inspect("The lungs are clear. " * (size // 21) + LONG + end)[0] == want
+    assert C.inspect("no stop " * (size // 8) + end)[0] == want
+    assert C._last_word("x " + "y" * size) == "y" * size and C.sentence_ends("a " + "y" * size + ". B")[0] == ["y" * size]
+
+
+@pytest.mark.parametrize("n", [3, 8, 15, 16, 60, 700])
+def test_a_copy_is_one_at_any_length(n):
+    q = " ".join(f"word{i * 37 % 101}" for i in range(n)) + "?"
+    near = " ".join(f"word{i * 37 % 101}" if i % 9 != 4 or n < 15 else "other" for i in range(n))
+    assert P.is_copy(q, q) and P.is_copy("Question: " + q, q) and P.is_copy(near, q) and P.is_copy(near + " " + near, q)
+    assert not P.is_copy(" ".join(f"sense{i * 37 % 101}" for i in range(n)), q)
 
 
 def test_zstandard_savings():
@@ -139,9 +164,9 @@ def test_zstandard_savings():
 def test_pairs(spark):
     cases = spark.createDataFrame([(1, "A", None, Q, None, ""), (1, "A", None, Q, None, ""), (2, "A", None, Q, "Fine, it was the third drug.", ""), (None, "A", None, Q, None, ""), (3, None, None, None, None, "")], CASES)
     ex = spark.createDataFrame([(1, "A", [("assistant", None), ("user", Q), ("assistant", Q), ("user", None)]), (2, None, None)], EXAMPLES)
-    got = sorted(tuple(r) for r in P.defects(P.pairs(cases, ex)).collect())
+    got = sorted(tuple(r) for r in P.defects(P.pairs_and_values(cases, ex)).collect())
     assert got == [("data_example", 1, 2, "copy"), ("demo_case", 1, -1, "empty"), ("demo_case", 3, -1, "empty")]
-    assert P.defects(P.pairs(cases.where("false"), ex.where("false"))).count() == 0
+    assert P.defects(P.pairs_and_values(cases.where("false"), ex.where("false"))).count() == 0
 
 
 def test_endings_of_pairs_are_settled_as_values_are(spark):
@@ -150,7 +175,7 @@ def test_endings_of_pairs_are_settled_as_values_are(spark):
     ex = spark.createDataFrame([(i, "A", [("user", "Name the cause"), ("assistant", "It is gou" if i == 1 else "Severe gout")]) for i in range(3)] + [(9 + i, "A", [("user", "Severe gout")]) for i in range(30)], EXAMPLES)
     vals = C.all_values(cases, ex)
     cut = {(r["tab"], r["rec_id"], r["msg_no"]) for r in C.cut_values(C.verdicts(vals)).collect()}
-    got = {tuple(r) for r in P.defects(P.pairs(cases, ex), vals).collect()}
+    got = {tuple(r) for r in P.defects(P.pairs_and_values(cases, ex)).collect()}
     assert got == {("data_example", 1, 1, "truncated")}
     assert {r[:3] for r in got} == {r for r in cut if r[2] == 1}
     assert C.sentence_ends("Is it gout! Yes (at last?) Not at\nall.\nNo。然后 x")[0] == ["gout", "last", "all", "no"]

@@ -1,31 +1,39 @@
 """Text cut off by field limits or mid-transfer.
 
-Two kinds of evidence. First, lengths: each value's length is recomputed as it would have been counted by different
-stores (characters, UTF-8 bytes, UTF-16 units, with entities escaped, as JSON with and without non-ASCII escapes, with
-CRLF line ends). Grouped by each, lengths that hold far more values than their neighbours expose hidden limits. Second,
-endings: the end of every value is inspected for what must still come (the rest of a word or sentence, a closing bracket
-or marker, a required section). What a transfer leaves behind after a cut (dots, a replacement character, blanks) is
-taken off before. An ending that reads as finished stays finished at any length, since complete values may happen to
-have a limit's length. An ending that alone decides nothing (a short capitalised phrase without a full stop) is settled
-by the corpus: it is finished if values that open with the same two words mostly go without a full stop and others end
-in its last word too, and it is a cut otherwise, or if its opening is the beginning of a far more frequent one, or if the
-value has a hidden limit's length. An ending that reads as finished only because labels, list entries, dashed tails and
-short phrases need no full stop is reviewed too: it is a cut if its last word never ends anything but goes on within such
-endings or is the beginning of far more frequent words, or at a hidden limit that holds far more such endings than its
-neighbours (as many as there come by chance are complete).
+First, lengths: each value's length is recomputed as it would have been counted by different stores (characters, UTF-8
+bytes, UTF-16 units, with entities escaped, as JSON with and without non-ASCII escapes, with CRLF line ends). All values
+are grouped by each, per table and source, before any ending is looked at: lengths that hold far more different texts
+than their neighbours are exposed. The same spike shows under several encodings and beside the true one (its echoes), so
+every value votes for the exposed length that stands out most among its own, and lengths that keep no excess of votes
+are dropped: of each limit the one encoding remains that explains it.
+
+Then, endings: the end of every value is inspected for what must still come (the rest of a word or sentence, a closing
+bracket or marker, a required section). What a transfer leaves behind after a cut (dots, a replacement character,
+blanks) is taken off before. An exposed length at which endings are cut in excess too is a hidden limit, any other a
+habit of the source's texts. An ending that reads as finished stays finished at any length, since complete values may
+happen to have a limit's length. An ending that alone decides nothing (a short capitalised phrase without a full stop)
+is a cut at a hidden limit; elsewhere the corpus settles it: it is finished if values that open with the same two words
+mostly go without a full stop and others end in its last word too, and it is a cut otherwise, or if its opening is the
+beginning of a far more frequent one. An ending that reads as finished only because labels, list entries, dashed tails
+and short phrases need no full stop is reviewed too: it is a cut if its last word never ends anything but goes on within
+such endings or is the beginning of far more frequent words, or at a hidden limit that holds far more such endings than
+its neighbours (as many as there come by chance are complete).
+
+No rule depends on a text's length: what is counted is words, and every scan goes on until it has its answer.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import attach, cut_lineage
 from .mixing import source_key
 
 #: Abbreviations with a full stop after which a sentence goes on.
@@ -41,16 +49,20 @@ _IMAGE = re.compile(r"<image>\s*")
 _END = re.compile(r"[.!?。！？؟۔]$")
 _CLOSERS = "\"'”’»)]}*_`>」』）】"
 _LABEL = r"(?:final |closing )?(?:answer|decision|verdict|diagnosis|conclusion|confidence|votes?|signed|score|result|option|choice|status|réponse|antwort|respuesta)"
-_MARK = re.compile(rf"(?:^|[\s*_(—-])(?:\[{_LABEL}\]|{_LABEL}\s*:)[*_ ]*(?P<rest>[^\n]*)$", re.I)
-_BARE = re.compile(rf"(?:^|\s)[*_]*(?:\[{_LABEL}\]|{_LABEL}\s*:)[*_ ]*$", re.I)
+_MARK = re.compile(rf"(?:^|(?<=[\s*_(—-]))(?:\[{_LABEL}\]|{_LABEL}\s*:)[*_ ]*", re.I)
 _LIST = re.compile(r"^\s*(?:[-*•·]|\d{1,2}[.)]|\(?[A-Za-z][.)])\s+\S")
 _MARKER = re.compile(r"^\s*(?:[-*•·]|\d{1,2}[.)]|\(?[A-Za-z][.)])\s+")
-_DASHED = re.compile(r"[.!?”\"')\]]\s+[—–-]\s+(\S[^.!?]{0,40})$")
+_DASHED = re.compile(r"[.!?”\"')\]]\s+[—–-]\s+(\S[^.!?]*)$")
+_ABBREVIATED = re.compile(r"(\S+)\.$")
 _SENTENCE = re.compile(r"(?:[.!?。！？][\"'”’»)\]*]*(?:\s+|(?<=[。！？]))|\n+)(?=\S)")
 _SENTENCE_END = re.compile(r"[.!?؟۔][\"'”’»)\]*]*(?=\s+\S)|[。！？](?=[\"'”’»)\]*」』）】]*\s*[^\s\"'”’»)\]*」』）】])")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*")
 DONE, CUT, OPEN, EMPTY = "done", "cut", "open", "empty"
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "（": "）", "「": "」", "【": "】"}
+#: Words that a label's answer, a dashed tail or a phrase may have without a full stop, and a line of its own after another.
+PHRASE_WORDS, LINE_WORDS = 8, 5
+#: Words of a lead-in before a colon that an opening leaves out.
+LEAD_IN = re.compile(r"\s*(?:\S+\s+){0,3}\S+:\s+")
 _CLOSE = {v: k for k, v in _PAIRS.items()}
 _BRACKETS = re.compile("[" + re.escape("".join(_PAIRS) + "".join(_PAIRS.values())) + "]")
 
@@ -96,27 +108,36 @@ def _open_bracket(text: str) -> bool:
     return bool(stack)
 
 
-def nothing_in(value: str) -> bool:
-    """Whether a value is blank but for invisible characters, quotes, tags and answer markers without an answer."""
-    body = value[: value.find("<")] if "<" in value else value
-    if len(body) > 80 and any(c.isalnum() for c in body[40:80]):
-        return False  # more letters than any marker has
-    x = _LABELS.sub(" ", _TAGS.sub(" ", _STOP.sub("", value)))
-    return not any(c.isalnum() or c in "�…" for c in x) and "..." not in x
-
-
 _TAGS = re.compile(r"<[^<>]*>")
 _LABELS = re.compile(rf"\[{_LABEL}\]|\[final\]|{_LABEL}\s*:", re.I)
 
 
+#: What leaves a value blank: tags, labels and all that is no letter or digit, but for dots of a cut.
+_NOTHING = re.compile(rf"(?:<[^<>]*>|\[{_LABEL}\]|\[final\]|{_LABEL}\s*:|(?!\.\.\.)(?:[^\w�…]|_))*+", re.I)
+
+
+def nothing_in(value: str) -> bool:
+    """Whether a value is blank but for invisible characters, quotes, tags and answer markers without an answer."""
+    return _NOTHING.match(value).end() == len(value)
+
+
 def opening(text: str) -> str:
-    """The first two words in lower case with digits as 9, or the one word and a mark. A short lead-in before a colon is left out."""
-    at = text.find(": ", 0, 30)
-    text = text[at + 2 :] if at > 0 else text
-    w = [re.sub(r"\d+", "9", x.lower()) for x in _WORD.findall(text[:120])[:2]]
+    """The first two words in lower case with digits as 9, or the one word and a mark. A lead-in of up to four words before a colon is left out."""
+    m = LEAD_IN.match(text)
+    w = [re.sub(r"\d+", "9", x.group().lower()) for x in islice(_WORD.finditer(text, m.end() if m else 0), 2)]
     return " ".join(w) if len(w) > 1 else f"{w[0]} |" if w else "|"
 
 
+def _window(text: str, ready: Callable[[str], bool], step: int = 128) -> str:
+    """The shortest tail of text, of step times a power of two, that satisfies ready; else the whole text."""
+    while step < len(text):
+        tail = text[-step:]
+        if ready(tail):
+            return tail
+        step *= 4
+    return text
+
+
 def inspect(text: str | None) -> tuple[str, str, str, str]:
     """(state, last word, opening, part) of a whole value: done, cut, empty, or open where the ending alone decides nothing.
 
@@ -142,14 +163,28 @@ def _bare(value: str) -> str:
 
 
 def _last_word(t: str) -> str:
-    """Of the last line; a longer last word than the tail looked at is taken from its last part."""
-    words = _WORD.findall(t[max(t.rfind("\n") + 1, len(t) - 80) :])
+    """The last word of the last line."""
+    line = t[t.rfind("\n") + 1 :]
+    # a second word in the tail shows that the last one is whole
+    words = _WORD.findall(_window(line, lambda x: len(x.split()) > 2 and len(_WORD.findall(x)) > 1))
     return words[-1].lower() if words else ""
 
 
+def _last_break(t: str) -> int:
+    """Where the last sentence or line of t begins, 0 if it has only one."""
+    at = 0
+    for m in _SENTENCE.finditer(t, len(t) - len(_window(t, lambda x: _SENTENCE.search(x) is not None, 256))):
+        at = m.end()
+    return at
+
+
 def _state(t: str, left: bool, line: str) -> tuple[str, str]:
-    end = line if len(line) <= 160 else "x" + line[-160:]  # markers stand at the end
-    if len(t) > 40 and t[-1] in ":]*_" and _BARE.search(end) or t.count("**") % 2 or _open_bracket(t):
+    mark = None
+    if "]" in line or ":" in line:
+        for mark in _MARK.finditer(line):
+            pass  # the last one counts
+    answer = line[mark.end() :].strip(" *_") if mark else ""
+    if mark and not answer or t.count("**") % 2 or _open_bracket(t):
         return CUT, ""
     if t[0] in "[{" and not left:
         try:
@@ -159,27 +194,20 @@ def _state(t: str, left: bool, line: str) -> tuple[str, str]:
             pass
     bare = t.rstrip(_CLOSERS)
     if _END.search(bare):
-        token = re.search(r"\s(\S+)\.$", bare)
-        return CUT if token and token.group(1).lstrip("(\"'“[") in ABBREVIATIONS else DONE, ""
+        token = _ABBREVIATED.search(bare, len(bare) - len(_window(bare, lambda x: len(x.split()) > 1, 32)))
+        return CUT if token and token.group(1).lstrip("(\"'“[") in ABBREVIATIONS and token.start() else DONE, ""
     if not left:
-        m = _MARK.search(end)
-        if m:
-            rest = m.group("rest").strip(" *_")
-            return (DONE, rest) if rest and len(rest.split()) <= 8 else (CUT, "")
+        if mark:
+            return (DONE, answer) if len(answer.split()) <= PHRASE_WORDS else (CUT, "")
         if _LIST.match(line) and "\n" in t:
-            return DONE, _MARKER.sub("", end)
-        if m := _DASHED.search(end):
+            return DONE, _MARKER.sub("", line)
+        if (m := _DASHED.search(line)) and len(m.group(1).split()) <= PHRASE_WORDS:
             return DONE, m.group(1)
-    at = 0
-    for m in _SENTENCE.finditer(t, max(0, len(t) - 400)):
-        at = m.end()
-    if not at and len(t) > 400:
-        return CUT, ""  # a long last sentence without its end
-    fragment = t[at:].strip()
+    fragment = t[_last_break(t) :].strip()
     n = len(_WORD.findall(fragment))
     han = sum("㐀" <= c <= "鿿" for c in fragment)
     whole = fragment == t.strip()
-    if left or han > 8 or n > 8 or t[-1] in ",;:-–—/&+=<(" and n > 0 or not whole and n > 0 and not _phrase_after(t, fragment):
+    if left or han > PHRASE_WORDS or n > PHRASE_WORDS or t[-1] in ",;:-–—/&+=<(" and n > 0 or not whole and n > 0 and not _phrase_after(t, fragment):
         return CUT, ""
     return DONE if not any(c.isupper() for c in fragment[:1]) or len(fragment) == 1 else OPEN, fragment
 
@@ -187,7 +215,7 @@ def _state(t: str, left: bool, line: str) -> tuple[str, str]:
 def _phrase_after(text: str, fragment: str) -> bool:
     """A last line of its own after a line break may be a label or an entry; a fragment after a sentence may not."""
     at = text.rstrip().rfind(fragment)
-    return at > 0 and text[at - 1] == "\n" and len(fragment.split()) <= 5
+    return at > 0 and text[at - 1] == "\n" and len(fragment.split()) <= LINE_WORDS
 
 
 #: The tab under which model answers are looked at with the values, which have no such tab.
@@ -226,41 +254,93 @@ def lengths(t: str) -> tuple[int, ...]:
     return n, utf8, n + wide, n + 4 * t.count("&") + 3 * (t.count("<") + t.count(">")) + 5 * (quotes + t.count("'")), json_, json_ + 5 * other + 6 * wide, n + lines
 
 
-def hidden_limits(looked: DataFrame, ratio: float = 6.0, least: int = 5, reach: int = 8) -> DataFrame:
-    """(tab, source, variant, length, values, cuts, around): lengths at which far more values look cut than at those nearby.
+def length_columns(c: Column) -> Column:
+    """lengths() as a built-in expression."""
+
+    def count(of: str) -> Column:
+        return F.length(c) - F.length(F.translate(c, of, ""))
+
+    n, lines = F.length(c), count("\n")
+    utf8 = F.octet_length(c)
+    wide = F.length(F.regexp_replace(c, "[^\\x{10000}-\\x{10FFFF}]", ""))
+    other = F.length(F.regexp_replace(c, "[\\x00-\\x7F]", ""))
+    json_ = n + count('"') + count("\\") + count("\t") + count("\r") + lines
+    return F.array(n, utf8, n + wide, n + 4 * count("&") + 3 * count("<>") + 5 * count("\"'"), json_, json_ + 5 * other + 6 * wide, n + lines)
+
+
+#: A length stands out if at least LEAST texts have it, RATIO times as many as the mean of the lengths within REACH, and
+#: more than chance gives at one of many lengths (a Poisson deviance of CHANCE).
+LEAST, RATIO, REACH, CHANCE = 5, 3.0, 8, 12.0
 
-    Every variant is grouped by table and source, whatever its spelling (and by all sources together, source null). A length is a limit if at
-    least `least` values of it look cut, `ratio` times as many as the mean of the lengths within `reach` and more than chance
-    gives at one of many lengths. Counts are
-    taken over all values; the table has one row per distinct length. Lengths under 64 are no limits of free text.
-    """
-    return _limits(looked, ratio, least, reach).drop("review")
 
+def _deviance(n: Column, usual: Column) -> Column:
+    return n * F.log(n / usual) - n + usual
 
-def _limits(looked: DataFrame, ratio: float = 6.0, least: int = 5, reach: int = 8) -> DataFrame:
-    """hidden_limits with review: whether endings that are done without a full stop are as far in excess as cut ones."""
-    x = looked.select("tab", F.col("source_key").alias("source"), "state", "loose", F.posexplode("lengths").alias("no", "length")).where("length >= 64")
-    x = x.select("tab", "source", "state", "loose", F.get(F.array(*map(F.lit, VARIANTS)), F.col("no")).alias("variant"), "length").groupBy("tab", "source", "variant", "length").agg(F.count("*").alias("values"), F.count_if(F.col("state") == CUT).alias("cuts"), F.count_if("loose").alias("bare"))
-    x = x.where("source is not null").unionByName(x.groupBy("tab", "variant", "length").agg(F.sum("values").alias("values"), F.sum("cuts").alias("cuts"), F.sum("bare").alias("bare")).withColumn("source", F.lit(None).cast("string")))
-    w = Window.partitionBy("tab", "source", "variant").orderBy("length").rangeBetween(-reach, reach)
-    x = x.withColumn("around", (F.sum("cuts").over(w) - F.col("cuts")) / (2 * reach)).withColumn("bare_around", (F.sum("bare").over(w) - F.col("bare")) / (2 * reach))
 
-    def excess(n: str, around: str) -> Column:
-        usual = F.greatest(around, F.lit(0.1))
-        by_chance = F.col(n) * F.log(F.col(n) / usual) - F.col(n) + usual < 12  # Poisson; there are many lengths and sources
-        return (F.col(n) >= least) & (F.col(n) >= ratio * usual) & ~by_chance
+def _stands_out(n: Column, usual: Column) -> Column:
+    return (n >= LEAST) & (n >= RATIO * usual) & (_deviance(n, usual) >= CHANCE)
 
-    return x.where(excess("cuts", "around")).withColumn("review", excess("bare", "bare_around")).drop("bare", "bare_around")
 
+def _usual(n: str, w: Window) -> Column:
+    """The mean of n at the lengths within REACH of this one, without it, and 0.1 at least."""
+    return F.greatest((F.sum(n).over(w) - F.col(n)) / (2 * REACH), F.lit(0.1))
 
-LOOKED = "kind string, tab string, rec_id bigint, msg_no bigint, source string, source_key string, state string, last string, first string, loose boolean, lengths array<int>, a bigint, b bigint, c bigint, d bigint"
 
+def _by_variant(x: DataFrame) -> DataFrame:
+    """One row per value's length and source, and one more for the whole table, whose source is ''. Adds lsource, variant, length."""
+    x = x.select("*", F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("source_key", F.lit(""))))).alias("lsource")).select("*", F.posexplode("lengths").alias("no", "length"))
+    return x.withColumn("variant", F.get(F.array(*map(F.lit, VARIANTS)), F.col("no"))).drop("no", "lengths")
 
-def looked_at(vals: DataFrame) -> DataFrame:
+
+def exposed_lengths(looked: DataFrame) -> DataFrame:
+    """(tab, source, variant, length, values, usual): lengths that stand out among all values, echoes dropped.
+
+    From lengths alone: of (tab, source_key, h, lengths) equal texts (h) of a source count once. Every variant is grouped by
+    table and source, and by table alone (source ''). Each text votes for the one of its standing-out lengths with the largest
+    deviance (the plainer variant of equal ones, the source before the table); lengths whose votes still stand out remain. The
+    tables have one row per distinct length.
+    """
+    texts = looked.select("tab", "source_key", "h", "lengths").distinct()
+    rows = _by_variant(texts)
+    n = rows.groupBy("tab", "lsource", "variant", "length").agg(F.count("*").alias("values"))
+    w = Window.partitionBy("tab", "lsource", "variant").orderBy("length").rangeBetween(-REACH, REACH)
+    n = n.withColumn("usual", _usual("values", w)).where(_stands_out(F.col("values"), F.col("usual")))
+    plain = F.array_position(F.array(*map(F.lit, VARIANTS)), F.col("variant"))
+    rank = F.struct(F.round(_deviance(F.col("values"), F.col("usual")), 6), (F.col("lsource") != ""), -plain, -F.col("length")).alias("rank")
+    n = n.withColumn("rank", rank)
+    votes = rows.join(n, ["tab", "lsource", "variant", "length"]).groupBy("tab", "source_key", "h").agg(F.max_by(F.struct("lsource", "variant", "length", "usual"), "rank").alias("v"))
+    votes = votes.groupBy("tab", "v").agg(F.count("*").alias("values")).select("tab", F.col("v.lsource").alias("source"), "v.variant", "v.length", "values", "v.usual")
+    return votes.where(_stands_out(F.col("values"), F.col("usual"))).withColumn("usual", F.round("usual", 4))
+
+
+def hidden_limits(looked: DataFrame, exposed: DataFrame | None = None) -> DataFrame:
+    """(tab, source, variant, length, values, usual, cuts, cuts_around, review): exposed lengths at which cut endings stand out too.
+
+    Of (tab, source_key, h, lengths, state, loose). review: endings that are done without a full stop stand out as well.
+    """
+    exposed = cut_lineage(exposed_lengths(looked) if exposed is None else exposed)
+    near = exposed.select("tab", F.col("source").alias("lsource"), "variant", F.col("length").alias("limit"), F.explode(F.sequence(F.col("length") - REACH, F.col("length") + REACH)).alias("length"))
+    x = _by_variant(looked.where((F.col("state") == CUT) | F.col("loose")).select("tab", "source_key", "lengths", "state", "loose")).join(near, ["tab", "lsource", "variant", "length"])
+    at = F.col("length") == F.col("limit")
+    cut, bare = F.col("state") == CUT, F.col("loose")
+    x = x.groupBy("tab", F.col("lsource").alias("source"), "variant", F.col("limit").alias("length")).agg(F.count_if(at & cut).alias("cuts"), F.count_if(~at & cut).alias("c"), F.count_if(at & bare).alias("bare"), F.count_if(~at & bare).alias("b"))
+    around = {c: F.greatest(F.col(c) / (2 * REACH), F.lit(0.1)) for c in ("c", "b")}
+    x = x.where(_stands_out(F.col("cuts"), around["c"])).withColumn("cuts_around", F.round(around["c"], 4)).withColumn("review", _stands_out(F.col("bare"), around["b"]))
+    return exposed.join(x.drop("c", "b", "bare"), ["tab", "source", "variant", "length"])
+
+
+LOOKED = "kind string, tab string, rec_id bigint, msg_no bigint, source string, source_key string, h bigint, defect string, state string, last string, first string, loose boolean, lengths array<int>, a bigint, b bigint, c bigint, d bigint"
+
+
+def looked_at(vals: DataFrame, judge: Callable[..., str] | None = None) -> DataFrame:
     """One pass over all texts. kind 'value': the state of each value with its last word, opening and lengths. Kinds
     'last' and 'first': terminal contexts, counted per batch: how often the word `last` ends a finished sentence (a) or a
     value without a full stop that is not cut outright (b), how often the latter is done by its ending (c, part of a), and how often the word goes on
-    within such an ending (d); how many values have the opening `first` (a) and end in a full stop (b)."""
+    within such an ending (d); how many values have the opening `first` (a) and end in a full stop (b).
+
+    judge: gives the defect of a response from (text, what inspect says of it, prompt, first); vals then has prompt, first
+    and pair, and only rows with pair are judged.
+    """
 
     def look(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -270,23 +350,29 @@ def looked_at(vals: DataFrame) -> DataFrame:
                 seen.append(r := inspect(t))
                 sizes.append(lengths(t) if t else (0,) * len(VARIANTS))
                 model.add(t, r)
-            out = pdf[["tab", "rec_id", "msg_no", "source", "source_key"]].assign(kind="value", lengths=pd.Series(sizes, index=pdf.index, dtype=object), loose=[r[0] == DONE and r[3] != "" for r in seen], a=0, b=0, c=0, d=0)
+            out = pdf[["tab", "rec_id", "msg_no", "source", "source_key", "h"]].assign(kind="value", lengths=pd.Series(sizes, index=pdf.index, dtype=object), loose=[r[0] == DONE and r[3] != "" for r in seen], a=0, b=0, c=0, d=0)
+            out["defect"] = None if judge is None else [judge(t, r, p, f) if is_pair else None for t, r, p, f, is_pair in zip(pdf["text"], seen, pdf["prompt"], pdf["first"], pdf["pair"])]
             out["state"], out["last"], out["first"] = ([r[k] for r in seen] for k in range(3))
             yield out[_COLS]
-            yield model.rows().assign(tab=None, rec_id=None, msg_no=None, source=None, source_key=None, state=None, loose=None, lengths=None)[_COLS]
+            yield model.rows().assign(tab=None, rec_id=None, msg_no=None, source=None, source_key=None, h=None, defect=None, state=None, loose=None, lengths=None)[_COLS]
 
-    return vals.select("tab", "rec_id", "msg_no", "source", source_key(F.col("source")).alias("source_key"), "text").mapInPandas(look, LOOKED)
+    asked = [] if judge is None else ["prompt", "first", "pair"]
+    return vals.select("tab", "rec_id", "msg_no", "source", source_key(F.col("source")).alias("source_key"), F.xxhash64("text").alias("h"), "text", *asked).mapInPandas(look, LOOKED)
 
 
 _COLS = [c.split()[0] for c in LOOKED.split(", ")]
+
+
 def sentence_ends(value: str) -> tuple[list[str], bool]:
     """Last words of the sentences that another one follows, and whether the value ends in a full stop."""
     ends = []
     for m in _SENTENCE_END.finditer(value):
-        before = value[max(0, m.start() - 40) : m.start()].rsplit(None, 1)
+        at, step = m.start(), 40
+        while len(before := value[max(0, at - step) : at].split()) < 2 and step < at:
+            step *= 4  # the last word is whole once another part stands before it
         if before and (w := before[-1] if before[-1].isalpha() else (_WORD.findall(before[-1]) or [""])[-1]):
             ends.append(w.lower())
-    return ends, bool(_END.search(strip_left(value[-200:])[0].rstrip(_CLOSERS)))
+    return ends, bool(_END.search(strip_left(value)[0].rstrip(_CLOSERS)))
 
 
 class Contexts:
@@ -327,39 +413,70 @@ def ending_model(looked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return last, x.where("kind = 'first'").groupBy("first").agg(F.sum("a").alias("n_first"), F.sum("b").alias("stops"))
 
 
-def verdicts(vals: DataFrame) -> DataFrame:
-    """(tab, rec_id, msg_no, source, state, last, first, at_limit) of every value that is not empty. `open` endings, and done
-    ones without a full stop, are settled here.
+VALUE = ["tab", "rec_id", "msg_no", "source", "source_key", "h", "defect", "state", "last", "first", "loose", "lengths"]
+
 
-    Values that come again under the same key count once. A null source has no limits of its own.
+def value_rows(looked: DataFrame) -> DataFrame:
+    """Every value that is not empty once per key."""
+    return looked.where(f"kind = 'value' and state != '{EMPTY}'").select(*VALUE).dropDuplicates(["tab", "rec_id", "msg_no"])
+
+
+def verdicts(vals: DataFrame, mark_all: bool = False) -> DataFrame:
+    """settled_values of a pass over vals."""
+    return settled_values(cut_lineage(looked_at(vals)), mark_all)
+
+
+def settled_values(looked: DataFrame, mark_all: bool = False) -> DataFrame:
+    """(tab, rec_id, msg_no, source, defect, state, last, first, evidence) of every value that is not empty, from looked_at.
+
+    `open` endings, and done ones without a full stop, are settled here. evidence: ending, limit or context, whichever
+    decided; with mark_all, 'ending at limit' for values of a limit's length that their ending decides. Values that come
+    again under the same key count once. A null source has no limits of its own.
     """
-    looked = cut_lineage(looked_at(vals))
-    x = looked.where(f"kind = 'value' and state != '{EMPTY}'").select("tab", "rec_id", "msg_no", "source", "source_key", "state", "last", "first", "loose", "lengths").dropDuplicates(["tab", "rec_id", "msg_no"])
+    x = value_rows(looked)
+    limits = cut_lineage(hidden_limits(x))  # a few rows a source
     unsure = F.col("loose") | (F.col("state") == OPEN)
-    x_ = with_limits(x.where(unsure), _limits(x))
-    keep = ["tab", "rec_id", "msg_no", "source", "state", "last", "first"]
-    done = x.where(~unsure).select(*keep, F.lit(False).alias("at_limit"))
-    return done.unionByName(settle(x_.select(*keep, "loose", "at_limit", "review"), ending_model(looked)).drop("loose", "review"))
+    x_ = cut_lineage(with_limits(x.where(unsure), limits))
+    keep = ["tab", "rec_id", "msg_no", "source", "defect", "state", "last", "first"]
+    sure = x.where(~unsure)
+    if mark_all:
+        sure = with_limits(sure, limits).withColumn("evidence", F.when(F.col("at_limit"), "ending at limit").otherwise("ending"))
+    else:
+        sure = sure.withColumn("evidence", F.lit("ending"))
+    return sure.select(*keep, "evidence").unionByName(settle(x_.select(*keep, "loose", "at_limit", "review"), ending_model(looked)).select(*keep, "evidence"))
 
 
 def with_limits(x: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds at_limit: whether one of a value's lengths is a hidden limit of its source or of its table, and review of such a limit."""
-    lim = limits.select("tab", F.coalesce("source", F.lit("")).alias("source"), "variant", "length", "review")
-    hits = x.select("tab", "rec_id", "msg_no", F.explode(F.array(F.lit(""), F.coalesce("source_key", F.lit("")))).alias("source"), "lengths")
-    hits = hits.select("tab", "rec_id", "msg_no", "source", F.posexplode("lengths").alias("no", "length"))
-    hits = hits.select("tab", "rec_id", "msg_no", "source", F.get(F.array(*map(F.lit, VARIANTS)), F.col("no")).alias("variant"), "length")
-    hits = hits.join(lim, ["tab", "source", "variant", "length"], "inner").groupBy("tab", "rec_id", "msg_no").agg(F.max("review").alias("review")).withColumn("at_limit", F.lit(True))
+    lim = limits.select("tab", F.col("source").alias("lsource"), "variant", "length", "review")
+    hits = _by_variant(x.select("tab", "rec_id", "msg_no", "source_key", "lengths"))
+    hits = hits.join(lim, ["tab", "lsource", "variant", "length"]).groupBy("tab", "rec_id", "msg_no").agg(F.max("review").alias("review")).withColumn("at_limit", F.lit(True))
     return x.join(hits, ["tab", "rec_id", "msg_no"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("at_limit", "review")})
 
 
+def evidence(v: DataFrame) -> DataFrame:
+    """(tab, evidence, values, cut) of verdicts with mark_all: what decided how many."""
+    return v.groupBy("tab", "evidence").agg(F.count("*").alias("values"), F.count_if(F.col("state") == CUT).alias("cut"))
+
+
 def settle(x: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """States of open endings and of loose ones, done without a full stop (last, first, loose, at_limit, review), by the terminal contexts of all values."""
+    """States of open endings and of loose ones, done without a full stop (last, first, loose, at_limit, review), by the terminal contexts of all values.
+
+    Decided once for each combination of what decides; a frequent one is brought back to its values by broadcast.
+    """
+    keys = ["last", "first", "loose", "at_limit", "review"]
+    combos = cut_lineage(x.groupBy(*keys).count())
+    return attach(x.drop("state"), settled(combos, model), keys, combos)
+
+
+def settled(combos: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(last, first, loose, at_limit, review, state, evidence)."""
     last, first = model
     # openings that mostly go without a full stop, by their beginnings: a rare opening that is the beginning of a frequent
     # one is a cut of it
     frequent = first.where((F.col("n_first") >= 20) & (F.col("stops") * 2 < F.col("n_first"))).select(F.regexp_replace("first", r" \|$", "").alias("w"), "n_first")
     cut_of = frequent.where("length(w) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.col("w").substr(F.lit(1), i))).alias("begin"), "n_first").groupBy("begin").agg(F.max("n_first").alias("n_longer"))
-    y = x.join(last, "last", "left").join(first, "first", "left").withColumn("begin", F.regexp_replace("first", r" \|$", "")).join(cut_of, "begin", "left")
+    y = combos.join(last, "last", "left").join(first, "first", "left").withColumn("begin", F.regexp_replace("first", r" \|$", "")).join(cut_of, "begin", "left")
     n = F.coalesce("n_first", F.lit(0))
     bare = n - F.coalesce("stops", F.lit(0))  # the value itself is one of them
     known = (F.coalesce("n_last", F.lit(0)) > 0) | (F.coalesce("n_bare", F.lit(0)) > 2) & (F.coalesce("n_bare", F.lit(0)) * 20 >= n)
@@ -372,14 +489,15 @@ def settle(x: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
     lost = (count["n_inner"] >= 5 * uses) | (count["n_word"] >= 20 * uses) | F.col("at_limit") & (ended == 0) & (count["n_loose"] <= 2)
     lost = lost & (F.col("last") != "") & ~F.col("last").rlike("[0-9]") | F.col("review")
     state = F.when(F.col("loose"), F.when(lost, CUT).otherwise(DONE)).when(fits & ~F.col("at_limit"), DONE).otherwise(CUT)
-    return y.withColumn("state", state).select(x.columns)
+    by_limit = F.col("at_limit") & (~F.col("loose") | F.col("review") | lost)
+    return y.select("last", "first", "loose", "at_limit", "review", state.alias("state"), F.when(by_limit, "limit").otherwise("context").alias("evidence"))
 
 
 def longer_words(words: DataFrame, last: DataFrame) -> DataFrame:
     """(last, n_word): the count of the most frequent word that begins with `last` and goes on. Digits are no words."""
     n = F.col("n_last") + F.col("n_bare") + F.col("n_inner")
     known = last.where((n >= 20) & (F.length("last") > 1) & ~F.col("last").rlike("[0-9]")).select(F.col("last").alias("w"), n.alias("n"))
-    begin = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("w") - 1, F.lit(40))), lambda i: F.col("w").substr(F.lit(1), i)))
+    begin = F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.col("w").substr(F.lit(1), i)))
     return known.select(begin.alias("last"), "n").groupBy("last").agg(F.max("n").alias("n_word")).join(words.distinct(), "last", "left_semi")
 
 

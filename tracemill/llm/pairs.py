@@ -13,10 +13,8 @@ value is judged; an absent value section means truncated, a blank one empty.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +33,7 @@ FUNCTION_WORDS = {
 _WORDS = re.compile(r"[^\W\d_]+")
 _ELISION = re.compile(r"\b(?:[dlnscj]|qu)['’](?=[^\W\d_])", re.I)
 _HAN = re.compile("[㐀-鿿]")
+_BY_IDEOGRAPH = re.compile("[㐀-鿿]|[^㐀-鿿]+")
 _LANGS = {}
 for _l, _ws in FUNCTION_WORDS.items():
     for _w in set(_ws.split()):
@@ -52,6 +51,10 @@ _REFUSALS = [
     r"\bagainst (?:the |our |my )?(?:\w+ )?polic(?:y|ies)\b|\b(?:not (?:permitted|allowed)|prohibited|forbidden)\b[^.]{0,30}\b(?:polic(?:y|ies)|guidelines|rules)\b",
     r"^\W*(?:declined|refused)\b\s*[:.—-]|\bno (?:answer|response|reply) (?:will|can|could|is|was|has|generated|given|may)\b",
     r"\b(?:answering|responding|that|this|it)\b[^.]{0,40}\bwould not be appropriate\b|\bnot something (?:the model|i|we) (?:is|am|are) (?:allowed|able|permitted)\b",
+    r"\bje (?:dois|préfère) (?:décliner|ne pas répondre)|\b(?:pas en mesure|pas autorisée?|dans l['’]impossibilité) de (?:répondre|vous|fournir|commenter)",
+    r"\b(?:muss|möchte) (?:die |diese |ihre )?(?:antwort|anfrage|frage)?\s*(?:leider )?ablehnen|\bnicht (?:in der lage|befugt|berechtigt)\b[^.]{0,60}\bzu (?:beantworten|antworten|helfen|geben)",
+    r"\b(?:no estoy|não estou) (?:autorizad[oa]|en condiciones|em condições|capacitad[oa])\b|\b(?:debo|tengo que) (?:negarme|rechazar|declinar)|\b(?:tenho que|devo) recusar",
+    r"(?:很?抱歉|对不起)[^。]*(?:无法|不能)",
     r"\bne (?:peux|puis|pouvons|saurais)\s+(?:pas\s+|malheureusement\s+)*(?:vous\s+|y\s+)?(?:répondre|aider|donner|fournir|commenter|interpréter)|\b(?:refuse|refusons) de répondre",
     r"\b(?:kann|darf|können|möchte|werde)\b[^.]{0,80}\bnicht\s+(?:beantworten|helfen|geben|kommentieren|antworten|beurteilen|weiterhelfen)",
     r"\bno (?:puedo|podemos|debo)\s+(?:responder|ayudar|dar|ofrecer|comentar|contestar|proporcionar|interpretar)",
@@ -60,9 +63,11 @@ _REFUSALS = [
 ]
 REFUSAL = re.compile("|".join(f"(?:{r})" for r in _REFUSALS), re.I)
 #: Every phrase above has one of these; texts without any need no closer look.
-_CUES = "sorry|can't|can’t|cannot|can not|could not|won't|won’t|will not|must|have to|decline|refuse|unable|not able|not allowed|not permitted|may not|as a|blocked|denied|rejected|outside|polic|prohibited|forbidden|no answer|no response|no reply|appropriate|allowed|permitted|comfortable|qualified|feel able|prefer not|peux|puis|pouvons|saurais|refus|kann|darf|können|möchte|werde|puedo|podemos|debo|posso|devo|无法|不能|不可以|不便|拒绝".split("|")
-#: A lead-in before a copy, and other words it may add.
-LEAD_WORDS = 10
+_CUES = "sorry|can't|can’t|cannot|can not|could not|won't|won’t|will not|must|have to|decline|refuse|unable|not able|not allowed|not permitted|may not|as a|blocked|denied|rejected|outside|polic|prohibited|forbidden|no answer|no response|no reply|appropriate|allowed|permitted|comfortable|qualified|feel able|prefer not|décliner|préfère|en mesure|autoris|impossibilité|ablehnen|in der lage|befugt|berechtigt|autoriza|condiciones|condições|capacita|negarme|rechazar|declinar|recusar|抱歉|对不起|peux|puis|pouvons|saurais|refus|kann|darf|können|möchte|werde|puedo|podemos|debo|posso|devo|无法|不能|不可以|不便|拒绝".split("|")
+#: A lead-in before a copy may have so many words, and a share CHANGED of the response's words may be foreign besides.
+LEAD_WORDS, CHANGED = 10, 0.1
+#: Of the question's words a copy keeps 17 of 20; the prompt saves it this share of the prompt's own size at least.
+AGREE, SAVED = (17, 20), 0.35
 
 
 @lru_cache(50_000)
@@ -106,17 +111,19 @@ def strip_markup(value: str) -> str:
 
 
 def compressed(data: bytes, dictionary: bytes | None = None) -> int:
-    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
-    return len(zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(data))
+    """Compressed size beyond that of nothing. Dictionaries have eight bytes at least, so shorter ones are padded."""
+    d = zstandard.ZstdCompressionDict(dictionary.rjust(8, b"\0"), dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
+    return len(zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(data)) - FRAME
+
+
+#: Bytes of a frame with one empty block.
+FRAME = len(zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False).compress(b""))
 
 
 def saved(response: str, prompt: str) -> float:
-    """Share of the response's compressed size that the prompt as dictionary saves."""
-    if len(prompt) < 8:
-        return 0.0
-    data = response.encode("utf-8", "replace")
-    alone = compressed(data)
-    return 1 - compressed(data, prompt.encode("utf-8", "replace")) / alone
+    """How much the prompt as a dictionary saves of the response's compressed size, relative to the prompt's own."""
+    data, p = response.encode("utf-8", "replace"), prompt.encode("utf-8", "replace")
+    return (compressed(data) - compressed(data, p)) / max(1, compressed(p))
 
 
 def questions(prompt: str) -> list[str]:
@@ -130,88 +137,81 @@ def questions(prompt: str) -> list[str]:
     return list(dict.fromkeys(x for x in out if x.strip()))
 
 
+def words(text: str) -> list[str]:
+    """Words in lower case; each ideograph is one."""
+    out = [w.lower() for w in cutoff._WORD.findall(text)]
+    if not text.isascii() and _HAN.search(text):
+        out = [x for w in out for x in _BY_IDEOGRAPH.findall(w)]
+    return out
+
+
 def is_copy(response: str, prompt: str) -> bool:
-    have, r = None, None
+    """Whether the response is the question again: it holds AGREE of its words in order, the prompt as a dictionary
+    saves enough of its compressed size, and words foreign to the question are a short lead-in and a few changed ones. A question of
+    one word is no copy in an answer."""
+    r = None
     for q in questions(prompt):
-        if len(response) * 2 < len(q):  # a copy is nearly as long
-            continue
-        if have is None:
-            have = set(response.lower().split())
-        want = set(q.lower().split())
-        if len(q) > 60 and len(have & want) * 3 < len(want):  # a copy has far more of the question's words
+        p = words(q)
+        if len(p) < 2:
             continue
         if r is None:
-            r = [w.lower() for w in cutoff._WORD.findall(response)]
-            low = " ".join(r)
-        if not r:
-            return False
-        p = [w.lower() for w in cutoff._WORD.findall(q)]
-        if not p or len(r) < 0.8 * len(p) or len(p) < 2:
-            continue
-        pl = " ".join(p)
-        # short texts compress to their frame, so they go to the exact check at once
-        if len(low) > 120 and saved(low, pl) < 0.5:
+            r = words(response)
+            have = set(r)
+        need = -(-len(p) * AGREE[0] // AGREE[1])
+        if len(r) < need or sum(w in have for w in p) < need:  # no common subsequence can be longer
             continue
         vocab = set(p)
         strange = sum(w not in vocab for w in r)
-        extra = len(r) - len(p)
-        if strange > min(LEAD_WORDS, 2 + len(p)) or extra > LEAD_WORDS and strange > 0.25 * len(r) + 2:
+        if strange > min(LEAD_WORDS, 2 + len(p)) + CHANGED * len(r):
             continue
-        if lcs_at_least(p, r, -(-len(p) * 17 // 20)):
+        if saved(" ".join(r), " ".join(p)) >= SAVED and lcs_at_least(p, r, need):
             return True
     return False
 
 
-def pairs(cases: DataFrame, examples: DataFrame) -> DataFrame:
-    """(tab, rec_id, msg_no, source, prompt, first, response): first is the conversation's first user message.
+def pairs_and_values(cases: DataFrame, examples: DataFrame) -> DataFrame:
+    """cutoff.all_values with the pairs among them: adds prompt, first and pair. Null texts are kept where they are responses."""
+    blank = [F.lit(None).cast("string").alias("prompt"), F.lit(None).cast("string").alias("first"), F.lit(False).alias("pair")]
+    moderator = cutoff.values(cases, examples.where("false")).select("*", *blank)
+    x = examples.where("example_id is not null").select(F.lit("data_example").alias("tab"), F.col("example_id").alias("rec_id"), F.col("source_dataset").alias("source"), F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["content"].alias("first"), "messages", F.posexplode("messages").alias("no", "m"))
+    pair = F.coalesce((F.col("m.role") == "assistant") & (F.col("no") > 0), F.lit(False))
+    x = x.select("tab", "rec_id", F.col("no").cast("bigint").alias("msg_no"), "source", F.col("m.content").alias("text"), F.when(pair, F.get("messages", F.col("no") - 1)["content"]).alias("prompt"), F.when(pair, F.col("first")).alias("first"), pair.alias("pair"))
+    a = cases.where("case_id is not null").select(F.lit(cutoff.ANSWERS).alias("tab"), F.col("case_id").alias("rec_id"), F.lit(-1).cast("bigint").alias("msg_no"), F.col("source_dataset").alias("source"), F.col("model_answer").alias("text"), F.col("question").alias("prompt"), F.col("question").alias("first"), F.lit(True).alias("pair"))
+    return moderator.unionByName(x).unionByName(a).where("text is not null or pair")
 
-    An assistant message that nothing precedes is no pair. Null ids are left out.
-    """
-    a = cases.select(F.lit("demo_case").alias("tab"), F.col("case_id").alias("rec_id"), F.lit(-1).cast("bigint").alias("msg_no"), F.col("source_dataset").alias("source"), F.col("question").alias("prompt"), F.col("question").alias("first"), F.col("model_answer").alias("response"))
-    at = F.transform(F.filter(F.transform("messages", lambda m, i: F.struct(m["role"].alias("role"), m["content"].alias("content"), i.alias("i"))), lambda m: (m["role"] == "assistant") & (m["i"] > 0)), lambda m: F.struct(m["i"].cast("bigint").alias("msg_no"), F.get("messages", m["i"] - 1)["content"].alias("prompt"), m["content"].alias("response")))
-    first = F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["content"]
-    b = examples.select(F.lit("data_example").alias("tab"), F.col("example_id").alias("rec_id"), F.col("source_dataset").alias("source"), first.alias("first"), F.inline(at)).select("tab", "rec_id", "msg_no", "source", "prompt", "first", "response")
-    return a.unionByName(b).where("rec_id is not null")
-
-
-def judge(response: str | None, prompt: str | None, first: str | None) -> tuple[str, str, str, str, str]:
-    """(defect or '', state, last, first words, part): truncation by an open or loose ending is settled later."""
-    state, last, opening, part = cutoff.inspect(response)
-    if state == cutoff.EMPTY:
-        return "empty", state, last, opening, part
+
+def judge(response: str | None, prompt: str | None, first: str | None) -> str:
+    """The defect of a response, or ''. Truncation by an open or loose ending is settled later."""
+    return defect_of(response, cutoff.inspect(response), prompt, first)
+
+
+def defect_of(response: str | None, seen: tuple[str, ...], prompt: str | None, first: str | None) -> str:
+    """The same, given what cutoff.inspect says of the response."""
+    if seen[0] == cutoff.EMPTY:
+        return "empty"
     v = cutoff.value_of(response)
     if v is None:
-        return "truncated", state, last, opening, part
+        return "truncated"
     text = strip_markup(v)
     if is_refusal(text):
-        return "refusal", state, last, opening, part
+        return "refusal"
     if prompt and is_copy(text, prompt):
-        return "copy", state, last, opening, part
+        return "copy"
     mine = language(text)
     if mine:
         asked = next((x for q in (*(questions(prompt)[::-1] if prompt else ()), first) if (x := language(q, 2.5))), None)
         if asked and asked != mine:
-            return "other_language", state, last, opening, part
-    return "truncated" if state == cutoff.CUT else "", state, last, opening, part
+            return "other_language"
+    return "truncated" if seen[0] == cutoff.CUT else ""
 
 
-def defects(p: DataFrame, vals: DataFrame | None = None) -> DataFrame:
-    """(tab, rec_id, msg_no, defect): defective pairs, each once.
+def defects(vals: DataFrame) -> DataFrame:
+    """(tab, rec_id, msg_no, defect) of vals (pairs_and_values): defective pairs, each once.
 
-    Endings that a response alone does not decide are settled by cutoff.verdicts over `vals` (cutoff.all_values; the
-    responses themselves if None), so that a text is as cut here as there.
+    Every text is looked at once, for its defect and for the endings of the whole corpus, by which endings that a response
+    alone does not decide are settled, so that a text is as cut here as by cutoff.verdicts.
     """
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = pdf[["tab", "rec_id", "msg_no"]].copy()
-            got = [judge(*x) for x in zip(pdf["response"], pdf["prompt"], pdf["first"])]
-            out["defect"] = [g[0] for g in got]
-            yield out[[g[0] != "" or g[1] == cutoff.OPEN or g[4] != "" for g in got]]
-
-    if vals is None:
-        vals = p.where("response is not null").select(F.when(F.col("tab") == "demo_case", cutoff.ANSWERS).otherwise(F.col("tab")).alias("tab"), "rec_id", "msg_no", "source", F.col("response").alias("text"))
-    x = cutoff.cut_lineage(p.mapInPandas(run, "tab string, rec_id bigint, msg_no bigint, defect string").distinct())
-    cut = cutoff.cut_values(cutoff.verdicts(vals)).where("tab != 'demo_case'").withColumn("tab", F.when(F.col("tab") == cutoff.ANSWERS, "demo_case").otherwise(F.col("tab")))
-    late = x.where("defect = ''").join(cut, ["tab", "rec_id", "msg_no"], "left_semi").withColumn("defect", F.lit("truncated"))
-    return x.where("defect != ''").unionByName(late)
+    looked = cutoff.cut_lineage(cutoff.looked_at(vals, defect_of))
+    now = looked.where("kind = 'value' and defect != ''").select("tab", "rec_id", "msg_no", "defect")
+    late = cutoff.settled_values(looked).where(f"defect = '' and state = '{cutoff.CUT}'").select("tab", "rec_id", "msg_no", F.lit("truncated").alias("defect"))
+    return now.unionByName(late).distinct().withColumn("tab", F.when(F.col("tab") == cutoff.ANSWERS, "demo_case").otherwise(F.col("tab")))

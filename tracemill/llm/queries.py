@@ -45,9 +45,18 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cut_rates(_verdicts(spark, d), mixing.source_key(F.col("source")))
 
 
+def p2_lengths(spark: SparkSession, d: str) -> DataFrame:
+    v = _values(spark, d).where("text != ''")
+    lengths = v.select("tab", mixing.source_key(F.col("source")).alias("source_key"), F.xxhash64("text").alias("h"), cutoff.length_columns(F.col("text")).alias("lengths"))
+    return cutoff.exposed_lengths(cut_lineage(lengths))
+
+
 def p2_limits(spark: SparkSession, d: str) -> DataFrame:
-    x = cutoff.looked_at(_values(spark, d)).where("kind = 'value'").select("tab", "rec_id", "msg_no", "source_key", "state", "loose", "lengths").dropDuplicates(["tab", "rec_id", "msg_no"])
-    return cutoff.hidden_limits(cut_lineage(x))
+    return cutoff.hidden_limits(cutoff.value_rows(cut_lineage(cutoff.looked_at(_values(spark, d)))))
+
+
+def p2_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.evidence(cutoff.verdicts(_all_values(spark, d), mark_all=True).where(F.col("tab") != cutoff.ANSWERS))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +69,7 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _defects(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.defects(pairs.pairs(table(spark, d, "demo_case"), table(spark, d, "data_example")), _all_values(spark, d))
+    return pairs.defects(pairs.pairs_and_values(table(spark, d, "demo_case"), table(spark, d, "data_example")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -111,9 +120,23 @@ def p8_key(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.learn(mojibake.prepared(table(spark, d, "documents")).select("source", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p2_found, p2_rates, p2_limits, p4_found, p4_report, p5_found, p5_counts, p6_ids, p6_roundtrip, p7_found, p7_containers, p7_report, p8_found, p8_restored, p8_key)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p2_found, p2_rates, p2_lengths, p2_limits, p2_evidence, p4_found, p4_report, p5_found, p5_counts, p6_ids, p6_roundtrip, p7_found, p7_containers, p7_report, p8_found, p8_restored, p8_key)}
 
 _SRC = r"nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^.*[/\\]', ''), '[(\[]?\s*\bv(er(sion)?)?\.?\s*\d+(\.\d+)*\s*[)\]]?\s*$', ''), '[^\p{{L}}\p{{N}}]', '', 'g'), '')"
+_LENGTHS = """with v as (select distinct 'demo_case' as tab, case_id, -1 as no, source_dataset as source, example_reasoning['Moderator'] as t from demo_case where case_id is not null
+ union all select distinct 'data_example', example_id, i - 1, source_dataset, messages[i].content from (select *, unnest(range(1, len(messages) + 1)) as i from data_example where example_id is not null)),
+texts as (select distinct tab, coalesce({src}, '') as src, t from v where t != ''),
+c as (select tab, src, t, length(t) as n, strlen(t) as utf8, length(regexp_replace(t, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) as wide, length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g')) as other,
+ length(t) - length(replace(t, '"', '')) as quotes, length(t) - length(replace(t, chr(10), '')) as lines, length(t) - length(regexp_replace(t, '[\\\\\t\r]', '', 'g')) as esc,
+ length(t) - length(replace(t, '&', '')) as amp, length(t) - length(regexp_replace(t, '[<>]', '', 'g')) as angle, length(t) - length(replace(t, chr(39), '')) as apos from texts),
+l as (select tab, src, t, [n, utf8, n + wide, n + 4 * amp + 3 * angle + 5 * (quotes + apos), n + quotes + esc + lines, n + quotes + esc + lines + 5 * other + 6 * wide, n + lines] as ls from c),
+r as (select tab, src, t, lsource, no, ls[no] as length from (select *, unnest(list_distinct(['', src])) as lsource from l), (select unnest(range(1, 8)) as no)),
+counts as (select tab, lsource, no, length, count(*) as values from r group by all),
+near as (select *, greatest((sum(values) over (partition by tab, lsource, no order by length range between 8 preceding and 8 following) - values) / 16, 0.1) as usual from counts),
+cand as (select *, round(values * ln(values / usual) - values + usual, 6) as dev from near where values >= 5 and values >= 3 * usual and values * ln(values / usual) - values + usual >= 12),
+votes as (select r.tab, r.src, r.t, arg_max({{'s': cand.lsource, 'no': cand.no, 'l': cand.length, 'u': cand.usual}}, row(dev, cand.lsource != '', -cand.no, -cand.length)) as v from r join cand using (tab, lsource, no, length) group by all),
+kept as (select tab, v.s as source, v.no as no, v.l as length, v.u as u, count(*) as values from votes group by all)
+select tab, source, ['chars', 'utf8', 'utf16', 'entities', 'json', 'json_ascii', 'crlf'][no] as variant, length, values, round(u, 4) as usual from kept where values >= 5 and values >= 3 * u and values * ln(values / u) - values + u >= 12"""
 _FW = """case when regexp_matches(regexp_replace({0}, '^framework ?', ''), '^(i|1)( |$)') then 'I'
  when regexp_matches(regexp_replace({0}, '^framework ?', ''), '^(ii|2)( |$)') then 'II'
  when regexp_matches(regexp_replace({0}, '^framework ?', ''), '^(iii|3)( |$)') then 'III'
@@ -123,6 +146,7 @@ _FW = """case when regexp_matches(regexp_replace({0}, '^framework ?', ''), '^(i|
 _FW = _FW.format("trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))")
 
 ORACLE: dict[str, str] = {
+    "p2_lengths": _LENGTHS.format(src=_SRC.format("source")),
     "p1_found": f"""
 with c as (select distinct case_id, {_SRC.format("source_dataset")} as src, {_FW.format("framework")} as fw, coalesce(length(question), 0) as size from demo_case),
 have as (select src, fw, sum(size) as have from c where src is not null and fw is not null group by src, fw),
