@@ -63,9 +63,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.pair_rows(overlap.overlaps(table(spark, d, "demo_case")))
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.link_counts(overlap.links(table(spark, d, "demo_case")))
+
+
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "demo_case")
-    return overlap.overlap_report(c, overlap.overlaps(c))
+    return overlap.overlap_report(overlap.link_counts(overlap.links(table(spark, d, "demo_case"))))
 
 
 def _defects(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +123,7 @@ def p8_key(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.learn(mojibake.prepared(table(spark, d, "documents")).select("source", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p2_found, p2_rates, p2_lengths, p2_limits, p2_evidence, p4_found, p4_report, p5_found, p5_counts, p6_ids, p6_roundtrip, p7_found, p7_containers, p7_report, p8_found, p8_restored, p8_key)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p2_found, p2_rates, p2_lengths, p2_limits, p2_evidence, p4_found, p4_links, p4_report, p5_found, p5_counts, p6_ids, p6_roundtrip, p7_found, p7_containers, p7_report, p8_found, p8_restored, p8_key)}
 
 _SRC = r"nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^.*[/\\]', ''), '[(\[]?\s*\bv(er(sion)?)?\.?\s*\d+(\.\d+)*\s*[)\]]?\s*$', ''), '[^\p{{L}}\p{{N}}]', '', 'g'), '')"
 _LENGTHS = """with v as (select distinct 'demo_case' as tab, case_id, -1 as no, source_dataset as source, example_reasoning['Moderator'] as t from demo_case where case_id is not null
