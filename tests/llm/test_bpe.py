@@ -39,7 +39,17 @@ def test_equals_the_public_encoder_and_decodes_back(text):
     t = _cached()
     ids = t.encode(text)
     assert t.decode(ids) == text
-    assert ids == [i for p in t.split(text) for i in t.merge(p.encode())]
+    assert ids == [t.ranks[x] for p in t.split(text) for x in t.merge(p.encode())]
+    blank = sum(not t.by_id[i].strip() for i in ids)
+    assert t.count(text) == (len(ids), blank)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.integers(0, 50_255), st.integers(0, 50_255))
+def test_tokens_fit_exactly_if_merging_them_gives_them_back(a, b):
+    t = _cached()
+    for x, y in ((a, b), (a, a), (b % 700, a), (a, b % 700), (a % 300, b % 300)):
+        assert t._fit(x, y) == (t.merge(t.by_id[x] + t.by_id[y]) == [t.by_id[x], t.by_id[y]])
 
 
 _T = []

@@ -1,11 +1,16 @@
 """Byte-level BPE as a lazily determinised finite-state transducer.
 
 The merges are compiled into a trie over token bytes. While bytes are read, the transducer keeps every boundary from
-which a longer token could still arise, each with the tokens that lead to it. Of the tokens that end at a byte exactly
-one continues the BPE segmentation of the prefix (a token fits behind another if merging their joined bytes gives the
-two back), so the set of boundaries is a deterministic state. States and transitions are built the first time they are
-met and kept; a token is emitted as soon as all live boundaries agree on it, which is after at most the longest token's
-length. Results equal repeated lowest-rank merging.
+which a longer token could still arise, each with the token before it. Of the tokens that end at a byte exactly one
+continues the BPE segmentation of the prefix: the one that fits behind the token before it. So the set of live boundaries
+is a deterministic state, and each transition puts out the token that ends the segmentation up to its byte. States and
+transitions are built the first time they are met and kept. Tokens are final as soon as no earlier boundary is live, which
+is after at most the longest token's length of lookahead; they are then read off backwards. Results equal repeated
+lowest-rank merging.
+
+Two tokens fit if no merge crosses their border. The pieces at the border over time are the right spine of the first
+token's merge tree and the left spine of the second's; a crossing merge takes place if its rank comes while both its
+pieces stand, so both spines are walked down by falling rank, without merging anything.
 
 Text is first split by the vocabulary's pattern; each piece is run through the transducer once and its output kept.
 """
@@ -16,6 +21,7 @@ import base64
 import importlib.util
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -26,7 +32,9 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Entries kept per worker before a memo is emptied; bounds memory, never results.
-MAX_PIECES, MAX_TRANSITIONS = 150_000, 150_000
+MAX_PIECES, MAX_TRANSITIONS = 150_000, 300_000
+#: Both counts of a text are summed in one number; no text has 2^40 tokens.
+BLANK_SHIFT = 40
 
 
 def tokenizer_dir(spark: SparkSession | None = None) -> str:
@@ -44,12 +52,28 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
+class Memo(dict):
+    """Outputs by piece, computed when missing. Long pieces are not kept, and all are dropped when there are too many."""
+
+    def __init__(self, compute) -> None:
+        self.compute = compute
+
+    def __missing__(self, piece: str):
+        out = self.compute(piece)
+        if len(piece) <= 64:
+            if len(self) > MAX_PIECES:
+                self.clear()
+            self[piece] = out
+        return out
+
+
 class Transducer:
     """Encoder and decoder for one vocabulary. Special-token strings are ordinary text."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN) -> None:
         self.ranks = ranks
         self.by_id = {i: t for t, i in ranks.items()}
+        self.size = {i: len(t) for t, i in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.edge: dict[int, int] = {}
         self.ends: dict[int, int] = {}
@@ -65,29 +89,39 @@ class Transducer:
                 at = nxt
             self.ends[at] = i
         self.has_child = {k >> 8 for k in self.edge}
+        self.halves: dict[bytes, tuple[bytes, bytes]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.blank = {i for i, t in self.by_id.items() if not t.strip()}
+        self.pieces = Memo(lambda p: self.run(p.encode("utf-8", "replace")))
+        self.sizes = Memo(self._sizes)
         self._reset()
 
     def _reset(self) -> None:
-        start = (-1, ((0, ()),))
+        start = ((0, -1),)
         self.state_of = {start: 0}
         self.states = [start]
-        self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.step: dict[int, tuple[int, int]] = {}
 
-    def merge(self, data: bytes) -> list[int]:
-        """Lowest-rank merging, the definition; used on two joined tokens at a time and in tests."""
+    def merge(self, data: bytes, below: float = float("inf")) -> list[bytes]:
+        """Lowest-rank merging, the definition, of merges ranked lower than `below`."""
         parts, ranks = [data[i : i + 1] for i in range(len(data))], self.ranks
         while len(parts) > 1:
-            best, at = None, -1
+            best, at = below, -1
             for i in range(len(parts) - 1):
                 r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
+                if r is not None and r < best:
                     best, at = r, i
-            if best is None:
+            if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        return parts
+
+    def _halves(self, token: bytes) -> tuple[bytes, bytes]:
+        """The two pieces of a token's last merge."""
+        h = self.halves.get(token)
+        if h is None:
+            h = self.halves[token] = tuple(self.merge(token, self.ranks[token]))
+        return h
 
     def _fit(self, a: int, b: int) -> bool:
         """Whether BPE leaves a boundary between the tokens a and b."""
@@ -95,79 +129,75 @@ class Transducer:
         if ok is None:
             if len(self.fits) > MAX_TRANSITIONS:
                 self.fits.clear()
-            ok = self.fits[a, b] = self.merge(self.by_id[a] + self.by_id[b]) == [a, b]
+            ok = self.fits[a, b] = self._no_crossing(self.by_id[a], self.by_id[b])
         return ok
 
-    def _build(self, sid: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Determinise one transition. A state is the last emitted token and, per live boundary, its trie node and its pending tokens."""
-        anchor, live = self.states[sid]
-        edge, has_child = self.edge, self.has_child
-        kept, found = [], None
-        for node, chain in live:
+    def _no_crossing(self, x: bytes, y: bytes) -> bool:
+        ranks = self.ranks
+        # x stands until a merge of rank x_until takes it, y until y_until; of equal merges the left one comes first
+        x_until = y_until = float("inf")
+        while True:
+            r = ranks.get(x + y)
+            if r is not None and r < x_until and r <= y_until:
+                return False
+            rx, ry = ranks[x] if len(x) > 1 else -1, ranks[y] if len(y) > 1 else -1
+            if rx > ry:
+                x, x_until = self._halves(x)[1], rx
+            elif ry >= 0:
+                y, y_until = self._halves(y)[0], ry
+            else:
+                return True
+
+    def _build(self, sid: int, byte: int) -> tuple[int, int]:
+        """Determinise one transition: the next state and the last token up to this byte. A state has, per live boundary, its trie node and the token before it."""
+        edge, ends, has_child = self.edge, self.ends, self.has_child
+        kept, found = [], -1
+        for node, before in self.states[sid]:
             nxt = edge.get(node << 8 | byte)
             if nxt is None:
                 continue
-            if found is None and (tok := self.ends.get(nxt)) is not None:
-                before = chain[-1] if chain else anchor
-                if before < 0 or self._fit(before, tok):
-                    found = (*chain, tok)
+            if found < 0 and (tok := ends.get(nxt)) is not None and (before < 0 or self._fit(before, tok)):
+                found = tok
             if nxt in has_child:
-                kept.append((nxt, chain))
+                kept.append((nxt, before))
         kept.append((0, found))
-        if len(kept) == 1:
-            out, live = found, ((0, ()),)
-        else:
-            # the prefix all chains share is that of the smallest and the largest
-            lo = hi = found
-            for _, c in kept:
-                if c < lo:
-                    lo = c
-                elif c > hi:
-                    hi = c
-            n = 0
-            for a, b in zip(lo, hi):
-                if a != b:
-                    break
-                n += 1
-            out = found[:n]
-            live = tuple([(node, c[n:]) for node, c in kept]) if n else tuple(kept)
-        state = (out[-1] if out else anchor, live)
+        state = tuple(kept)
         nid = self.state_of.get(state)
         if nid is None:
             nid = self.state_of[state] = len(self.states)
             self.states.append(state)
-        return nid, out
+        return nid, found
 
     def run(self, data: bytes) -> tuple[int, ...]:
         if len(self.step) > MAX_TRANSITIONS:
             self._reset()
-        sid, out, step = 0, [], self.step
+        sid, last, step = 0, [], self.step
         for b in data:
             key = sid << 8 | b
             t = step.get(key)
             if t is None:
                 t = step[key] = self._build(sid, b)
-            sid, emitted = t
-            if emitted:
-                out += emitted
-        return (*out, *self.states[sid][1][-1][1])
+            sid, found = t
+            last.append(found)
+        out, at, size = [], len(last), self.size
+        while at:
+            tok = last[at - 1]
+            out.append(tok)
+            at -= size[tok]
+        return tuple(out[::-1])
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of the whole text; the empty list for an empty or null text. Lone surrogates become '?'."""
-        if not text:
-            return []
-        out: list[int] = []
-        pieces = self.pieces
-        for p in self.split(text):
-            ids = pieces.get(p)
-            if ids is None:
-                if len(pieces) > MAX_PIECES:
-                    pieces.clear()
-                ids = self.run(p.encode("utf-8", "replace"))
-                if len(p) <= 64:
-                    pieces[p] = ids
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text)))) if text else []
+
+    def _sizes(self, piece: str) -> int:
+        ids = self.run(piece.encode("utf-8", "replace"))
+        return len(ids) + (sum(i in self.blank for i in ids) << BLANK_SHIFT)
+
+    def count(self, text: str | None) -> tuple[int, int]:
+        """Tokens of the whole text, and those of white space alone, without their ids."""
+        n = sum(map(self.sizes.__getitem__, self.split(text))) if text else 0
+        return n & (1 << BLANK_SHIFT) - 1, n >> BLANK_SHIFT
 
     def decode(self, ids: list[int] | None) -> str:
         """Streaming decode of whole id lists."""
@@ -258,14 +288,10 @@ def token_counts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", tex
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tr = vocab.get()
-        enc, blank = tr.encode, {i for i, t in tr.by_id.items() if not t.strip()}
+        count = vocab.get().count
         for b in it:
-            n, m = [], []
-            for t in b.column(1).to_pylist():
-                ids = enc(t)
-                n.append(len(ids))
-                m.append(len(ids) - sum(map(blank.__contains__, ids)))
+            got = [count(t) for t in b.column(1).to_pylist()]
+            n, m = [x for x, _ in got], [x - y for x, y in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=["doc_id", "tokens", "loss_tokens"])
 
     return src.mapInArrow(batches, "doc_id bigint, tokens bigint, loss_tokens bigint")
