@@ -20,9 +20,10 @@ from __future__ import annotations
 import base64
 import importlib.util
 import os
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -92,7 +93,7 @@ class Transducer:
         self.halves: dict[bytes, tuple[bytes, bytes]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.blank = {i for i, t in self.by_id.items() if not t.strip()}
-        self.pieces = Memo(lambda p: self.run(p.encode("utf-8", "replace")))
+        self.pieces = Memo(lambda p: array("i", self.run(p.encode("utf-8", "replace"))).tobytes())
         self.sizes = Memo(self._sizes)
         self._reset()
 
@@ -188,7 +189,11 @@ class Transducer:
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of the whole text; the empty list for an empty or null text. Lone surrogates become '?'."""
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text)))) if text else []
+        return array("i", self.packed(text)).tolist()
+
+    def packed(self, text: str | None) -> bytes:
+        """The ids as 32-bit integers in the machine's order."""
+        return b"".join(map(self.pieces.__getitem__, self.split(text))) if text else b""
 
     def _sizes(self, piece: str) -> int:
         ids = self.run(piece.encode("utf-8", "replace"))
@@ -270,14 +275,13 @@ def encode_documents(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id",
         src = src.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = vocab.get().encode
+        packed = vocab.get().packed
         for b in it:
-            flat: list[int] = []
-            offsets = [0]
-            for t in b.column(1).to_pylist():
-                flat += enc(t)
-                offsets.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            parts = [packed(t) for t in b.column(1).to_pylist()]
+            offsets = np.zeros(len(parts) + 1, np.int64)
+            np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
+            flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))])
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["doc_id", "ids"])
 
     return src.mapInArrow(batches, f"doc_id {dict(src.dtypes)['doc_id']}, ids array<int>")
