@@ -1,6 +1,6 @@
 """Joins and lookups (survey J1-J23). Keys that are null match nothing unless a docstring says otherwise.
 
-No side is broadcast by hint: Catalyst and AQE choose by measured size. `lookup` may hint after counting the small side.
+No side is broadcast by hint: Catalyst and AQE choose by measured size. `lookup` may hint after measuring the small side.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import fits_broadcast
+from ..session import broadcast_if_small
 
 
 def keep_matching(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
@@ -49,11 +49,11 @@ def interval_join(points: DataFrame, spans: DataFrame, on: list[str], point: str
 def lookup(df: DataFrame, dim: DataFrame, on: list[str], take: dict[str, Column]) -> DataFrame:
     """Left join to a dimension with fallbacks. take: column -> expression for a missing or null value.
 
-    The dimension is counted first and hinted only up to 100,000 rows. Its keys must be unique; duplicates are reduced
+    The reduced dimension is measured first and hinted only if its rows and bytes are few (session.broadcast_if_small). Its keys must be unique; duplicates are reduced
     to the smallest row, so no row of df multiplies.
     """
     d = dim.groupBy(*on).agg(*(F.min(c).alias(f"__{c}") for c in take))
-    d = F.broadcast(d) if fits_broadcast(dim) else d
+    d = broadcast_if_small(d)
     x = df.join(d, on, "left")
     return x.withColumns({c: F.coalesce(f"__{c}", e) for c, e in take.items()}).drop(*(f"__{c}" for c in take))
 
@@ -87,7 +87,7 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     counts = s.groupBy("__part").count()
     before = counts.withColumn("__before", F.sum("count").over(Window.orderBy("__part")) - F.col("count")).select("__part", "__before")
     w = Window.partitionBy("__part").orderBy(*order)
-    return s.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.row_number().over(w) - 1).drop("__part", "__before")
+    return s.join(before, "__part").withColumn(name, F.col("__before") + F.row_number().over(w) - 1).drop("__part", "__before")
 
 
 def compare_predictors(ours: DataFrame, other: DataFrame, third: DataFrame, key: str, ok: str = "score") -> DataFrame:

@@ -110,7 +110,7 @@ def best_of_buckets(df: DataFrame, uid: list[str], bucket: list[str], score: str
     need = total + per_bucket
     x = capped(x, bucket, need, [-F.col("__s"), F.col("__luck"), F.col("__uid")])
     best = x.groupBy(*bucket).agg(F.max("__s").alias("__best")).orderBy(F.desc("__best"), *bucket).limit(total).select(*bucket)
-    x = x.join(F.broadcast(best), bucket, "left_semi")
+    x = x.join(best, bucket, "left_semi")
     slim = x.select(*bucket, "__uid", "__s", "__luck")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -132,7 +132,7 @@ def best_of_buckets(df: DataFrame, uid: list[str], bucket: list[str], score: str
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*bucket, "__uid").schema)
     picked = slim.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(lambda pdf: walk(pdf.drop(columns="__one")), schema)
-    return x.join(F.broadcast(picked), [*bucket, "__uid"]).select("__row.*")
+    return x.join(picked, [*bucket, "__uid"]).select("__row.*")
 
 
 def length_batches(df: DataFrame, key: str, length: str, batch: int, world: int, seed: int = 0) -> DataFrame:

@@ -34,8 +34,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        # one machine: its temporary folder; a cluster: beside the warehouse, which executors share
-        folder = os.path.join(tempfile.gettempdir(), "tracemill-checkpoints") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "tracemill-checkpoints")
     sc.setCheckpointDir(folder)
 
 
@@ -89,6 +90,16 @@ def attach(x: DataFrame, values: DataFrame, keys: list[str], counts: DataFrame)
     return x.join(few, keys).unionByName(rest.join(values, keys))
 
 
-def fits_broadcast(df: DataFrame, limit: int = 100_000) -> bool:
-    """True if df has at most `limit` rows. Counting stops at limit + 1, so the check is cheap on large tables."""
-    return len(df.select(*([df.columns[0]] if df.columns else [])).limit(limit + 1).take(limit + 1)) <= limit
+#: What broadcast_if_small() broadcasts at most.
+SMALL_ROWS, SMALL_BYTES = 100_000, 16 << 20
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """df, computed once and checkpointed, with a broadcast hint if it has at most so many rows and bytes.
+
+    Rows and the bytes of their values are counted from the checkpoint, so the plan does not run again.
+    """
+    df = cut_lineage(df)
+    width = sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) + 8 if t in ("string", "binary") else F.lit(8) if not t.startswith(("array", "map", "struct")) else F.coalesce(F.octet_length(F.to_json(F.struct(f"`{c}`"))), F.lit(0)) for c, t in df.dtypes), F.lit(8))
+    n = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if n["n"] <= rows and n["b"] <= size else df
