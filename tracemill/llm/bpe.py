@@ -34,8 +34,6 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Entries kept per worker before a memo is emptied; bounds memory, never results.
 MAX_PIECES, MAX_TRANSITIONS = 150_000, 300_000
-#: Both counts of a text are summed in one number; no text has 2^40 tokens.
-BLANK_SHIFT = 40
 
 
 def tokenizer_dir(spark: SparkSession | None = None) -> str:
@@ -92,9 +90,8 @@ class Transducer:
         self.has_child = {k >> 8 for k in self.edge}
         self.halves: dict[bytes, tuple[bytes, bytes]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.blank = {i for i, t in self.by_id.items() if not t.strip()}
         self.pieces = Memo(lambda p: array("i", self.run(p.encode("utf-8", "replace"))).tobytes())
-        self.sizes = Memo(self._sizes)
+        self.sizes = Memo(lambda p: len(self.run(p.encode("utf-8", "replace"))))
         self._reset()
 
     def _reset(self) -> None:
@@ -195,14 +192,9 @@ class Transducer:
         """The ids as 32-bit integers in the machine's order."""
         return b"".join(map(self.pieces.__getitem__, self.split(text))) if text else b""
 
-    def _sizes(self, piece: str) -> int:
-        ids = self.run(piece.encode("utf-8", "replace"))
-        return len(ids) + (sum(i in self.blank for i in ids) << BLANK_SHIFT)
-
-    def count(self, text: str | None) -> tuple[int, int]:
-        """Tokens of the whole text, and those of white space alone, without their ids."""
-        n = sum(map(self.sizes.__getitem__, self.split(text))) if text else 0
-        return n & (1 << BLANK_SHIFT) - 1, n >> BLANK_SHIFT
+    def count(self, text: str | None) -> int:
+        """Tokens of the whole text, without their ids."""
+        return sum(map(self.sizes.__getitem__, self.split(text))) if text else 0
 
     def decode(self, ids: list[int] | None) -> str:
         """Streaming decode of whole id lists."""
@@ -288,17 +280,32 @@ def encode_documents(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id",
 
 
 def token_counts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tokens, loss_tokens): sizes only. loss_tokens leaves out tokens of white space alone, which carry no target."""
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, tokens, loss_tokens): sizes only. Every token of a plain text bears loss. A null text has no tokens."""
+    x = _counted(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.lit(True).alias("bears")), vocab)
+    return x.select("doc_id", "tokens", F.col("tokens").alias("loss_tokens"))
+
+
+def conversation_counts(examples: DataFrame, vocab: Vocabulary, reply: str = "assistant") -> DataFrame:
+    """(doc_id, tokens, loss_tokens) of each example: tokens of all messages, and of the replies, which alone bear loss.
+
+    Null contents have no tokens; an example without messages has none; re-delivered examples count once; null ids are left out.
+    """
+    x = examples.where("example_id is not null").select("example_id", "messages").dropDuplicates(["example_id"])
+    m = x.select(F.col("example_id").cast("bigint").alias("doc_id"), F.explode_outer("messages").alias("m"))
+    m = _counted(m.select("doc_id", F.col("m.content").alias("text"), F.coalesce(F.col("m.role") == reply, F.lit(False)).alias("bears")), vocab)
+    return m.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.sum(F.when(F.col("bears"), F.col("tokens")).otherwise(0)).alias("loss_tokens"))
+
+
+def _counted(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(doc_id, text, bears) with the text's tokens in its place."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = vocab.get().count
         for b in it:
-            got = [count(t) for t in b.column(1).to_pylist()]
-            n, m = [x for x, _ in got], [x - y for x, y in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=["doc_id", "tokens", "loss_tokens"])
+            n = pa.array([count(t) for t in b.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), n, b.column(2)], names=["doc_id", "tokens", "bears"])
 
-    return src.mapInArrow(batches, "doc_id bigint, tokens bigint, loss_tokens bigint")
+    return texts.mapInArrow(batches, "doc_id bigint, tokens bigint, bears boolean")
 
 
 def decode_documents(encoded: DataFrame, vocab: Vocabulary) -> DataFrame:

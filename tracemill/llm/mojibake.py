@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, fits_broadcast
+from ..session import broadcast_if_small, cut_lineage
 
 #: Code pages a text may have been decoded with.
 PAGES = ("cp1252", "latin_1", "cp1250", "cp1251", "cp1254", "cp1257", "iso8859_2", "iso8859_15", "koi8_r", "cp437", "cp850", "cp866", "mac_roman")
@@ -370,7 +370,7 @@ def garbled(docs: DataFrame, key: DataFrame | None = None) -> DataFrame:
     key = learn(d.select("source", "text")) if key is None else key
     changed = key.where("key != ''").select("source", "unit", "key")
     units = d.mapInPandas(_doc_units, "doc_id bigint, source string, unit string")
-    changed = F.broadcast(changed) if fits_broadcast(changed) else changed  # a frequent unit is then no hot join key
+    changed = broadcast_if_small(changed)
     return units.join(changed, ["source", "unit"]).groupBy("doc_id").agg(F.countDistinct("unit").alias("units"), F.max((F.col("key") == "lost").cast("int")).alias("lost"))
 
 
@@ -382,7 +382,7 @@ def restore(docs: DataFrame, key: DataFrame | None = None) -> DataFrame:
     d = prepared(docs).dropDuplicates(["doc_id"])
     key = learn(d.select("source", "text")) if key is None else key
     changed = key.where("key != ''").select("source", "unit", "letter")
-    changed = F.broadcast(changed) if fits_broadcast(changed) else changed
+    changed = broadcast_if_small(changed)
     per = d.mapInPandas(_doc_units, "doc_id bigint, source string, unit string").join(changed, ["source", "unit"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("unit", "letter"))).alias("map"))
 
     def apply(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import attach, cut_lineage, fits_broadcast
+from ..session import attach, broadcast_if_small, cut_lineage
 from .mixing import source_key
 
 #: Nine tenths of the words of either text; of the longer one, which may have words added, a little less. Unrelated
@@ -230,8 +230,7 @@ def links(cases: DataFrame, agree: float = AGREE, few: float = FEW, hot: int = H
 def _expanded(a: DataFrame, members: DataFrame, keys: list[str], most: int = HOT) -> DataFrame:
     """a joined to members, whose frequent keys are spread over salts in proportion to their rows (at most total / most such keys)."""
     n = members.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(*keys, F.ceil(F.col("__n") / most).cast("int").alias("__salts"))
-    hot = cut_lineage(n)
-    hot = F.broadcast(hot) if fits_broadcast(hot) else hot
+    hot = broadcast_if_small(n)
     one = F.coalesce("__salts", F.lit(1))
     a = a.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("__salts")
     members = members.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*members.columns), one).cast("int")).drop("__salts")

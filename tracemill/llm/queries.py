@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.unmet_targets(mixing.demands(mixing.case_sizes(table(spark, d, "demo_case")), table(spark, d, "mix_targets")))
+    return mixing.unmet_targets(mixing.mix_plan(mixing.case_sizes(table(spark, d, "demo_case")), table(spark, d, "mix_targets")))
 
 
 def p1_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +25,16 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(table(spark, d, "demo_case"), table(spark, d, "mix_targets"))
 
 
+def p1_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a mix shrunk until every target is met."""
+    return mixing.mix_report(table(spark, d, "demo_case"), table(spark, d, "mix_targets"), shrink=True)
+
+
+def p1_plan(spark: SparkSession, d: str) -> DataFrame:
+    x = mixing.mix_plan(mixing.case_sizes(table(spark, d, "demo_case")), table(spark, d, "mix_targets"))
+    return x.select("mix_id", "have", F.round("demand", 3).alias("demand"), F.round("delivered", 3).alias("delivered"), F.round("slope", 6).alias("slope"), F.round("runs_dry", 6).alias("runs_dry"))
+
+
 def _values(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.values(table(spark, d, "demo_case"), table(spark, d, "data_example"))
 
@@ -96,7 +106,7 @@ def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return packing.pack(bpe.token_counts(docs, bpe.Vocabulary(spark)), table(spark, d, "pack_specs"), items=docs.count())
+    return packing.pack(bpe.token_counts(docs, bpe.Vocabulary(spark)), table(spark, d, "pack_specs"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -111,6 +121,20 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_report(_packed(spark, d), table(spark, d, "pack_specs"))
 
 
+def _example_specs(spark: SparkSession, d: str) -> DataFrame:
+    """pack_specs for instruction data: half of a container may bear loss, and it holds a conversation per 128 tokens at most."""
+    return table(spark, d, "pack_specs").select("spec_name", "capacity_tokens", F.floor(F.col("capacity_tokens") / 128).cast("int").alias("max_segments"), F.floor(F.col("capacity_tokens") / 2).cast("int").alias("max_loss_tokens"))
+
+
+def p7_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations of data_example under limits on tokens, conversations and the replies' tokens."""
+    return packing.pack(bpe.conversation_counts(table(spark, d, "data_example"), bpe.Vocabulary(spark)), _example_specs(spark, d))
+
+
+def p7_examples_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.container_report(p7_examples(spark, d), _example_specs(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled(table(spark, d, "documents")).select("doc_id")
 
@@ -123,7 +147,7 @@ def p8_key(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.learn(mojibake.prepared(table(spark, d, "documents")).select("source", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p2_found, p2_rates, p2_lengths, p2_limits, p2_evidence, p4_found, p4_links, p4_report, p5_found, p5_counts, p6_ids, p6_roundtrip, p7_found, p7_containers, p7_report, p8_found, p8_restored, p8_key)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p1_exact, p1_plan, p2_found, p2_rates, p2_lengths, p2_limits, p2_evidence, p4_found, p4_links, p4_report, p5_found, p5_counts, p6_ids, p6_roundtrip, p7_found, p7_containers, p7_report, p7_examples, p7_examples_report, p8_found, p8_restored, p8_key)}
 
 _SRC = r"nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^.*[/\\]', ''), '[(\[]?\s*\bv(er(sion)?)?\.?\s*\d+(\.\d+)*\s*[)\]]?\s*$', ''), '[^\p{{L}}\p{{N}}]', '', 'g'), '')"
 _LENGTHS = """with v as (select distinct 'demo_case' as tab, case_id, -1 as no, source_dataset as source, example_reasoning['Moderator'] as t from demo_case where case_id is not null
@@ -148,12 +172,18 @@ _FW = """case when regexp_matches(regexp_replace({0}, '^framework ?', ''), '^(i|
  when ends_with(replace({0}, ' ', ''), 'multiagentcollaboration') then 'III' when ends_with(replace({0}, ' ', ''), 'clinicalsimulation') then 'IV' end"""
 _FW = _FW.format("trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))")
 
+_PLAN = f"""
+with c as (select distinct case_id, {_SRC.format("source_dataset")} as src, {_FW.format("framework")} as fw, coalesce(length(question), 0) as size from demo_case),
+have as (select src, fw, sum(size)::bigint as have from c where src is not null and fw is not null group by src, fw),
+t as (select mix_id, {_SRC.format("source_dataset")} as src, {_FW.format("framework")} as fw, target_share as share, max_repeats from mix_targets),
+total as (select sum(have) as total from have where exists (select 1 from t where t.src = have.src and t.fw = have.fw)),
+p as (select t.*, coalesce(have, 0) as have, share * total as demand, (coalesce(have, 0) * max_repeats)::double as most, 0.5 * (1 - 2 * (row_number() over (order by share desc, mix_id) - 1) / greatest(count(*) over () - 1, 1)) as raw from t left join have using (src, fw) cross join total),
+q as (select *, raw - sum(raw * share) over () / sum(share) over () as mid from p),
+r as (select *, mid * least(1, 0.95 / max(abs(mid)) over ()) as slope from q),
+plan as (select *, least(demand, most) as delivered, case when demand > most then case when abs(slope) < 1e-9 then most / demand else 2 * (most / demand) / (1 + slope + sqrt((1 + slope) ** 2 - 4 * slope * most / demand)) end else 1 end as runs_dry from r)"""
+
 ORACLE: dict[str, str] = {
     "p2_lengths": _LENGTHS.format(src=_SRC.format("source")),
-    "p1_found": f"""
-with c as (select distinct case_id, {_SRC.format("source_dataset")} as src, {_FW.format("framework")} as fw, coalesce(length(question), 0) as size from demo_case),
-have as (select src, fw, sum(size) as have from c where src is not null and fw is not null group by src, fw),
-t as (select mix_id, {_SRC.format("source_dataset")} as src, {_FW.format("framework")} as fw, target_share, max_repeats from mix_targets),
-total as (select sum(have) as total from have where exists (select 1 from t where t.src = have.src and t.fw = have.fw))
-select mix_id from t left join have using (src, fw) cross join total where coalesce(have, 0) * max_repeats < target_share * total""",
+    "p1_found": _PLAN + " select mix_id from plan where have * max_repeats < demand",
+    "p1_plan": _PLAN + " select mix_id, have, round(demand, 3) as demand, round(delivered, 3) as delivered, round(slope, 6) as slope, round(runs_dry, 6) as runs_dry from plan",
 }
