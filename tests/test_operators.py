@@ -230,10 +230,32 @@ def test_shredding_round_trip_and_defined_cases(spark):
     assert by[4, "r", "0"]["parent_hash"] == by[5, "r", "0"]["parent_hash"] != by[1, "r", "0"]["parent_hash"]
     assert shred.objects(b).count() == b.select("hash").distinct().count() and shred.objects(b).agg(F.sum("occurrences")).first()[0] == b.count()
     assert shred.canonical_json({"b": 1, "a": [True]})[0] == shred.canonical_json({"a": [True], "b": 1})[0] != shred.canonical_json({"a": [1], "b": 1})[0]
+    assert shred.canonical_json("5")[0] != shred.canonical_json(5)[0] != shred.canonical_json(5.0)[0]
     empty = shred.bridge(df.where("false"), "t", "case_id", [shred.Node("r", "r", "array")])
     assert empty.count() == 0
 
 
+def test_every_parent_hash_is_an_object(spark):
+    rows = [(1, {"a": {"x": "1", "y": None}, "b": {}}, [(1, "t")], '[{"findings": ["p", "p"]}, 5, "5"]'), (2, {"b": {"x": "1"}}, [(1, "t"), None, (1, None)], "[5]"), (3, {"c": {"x": "1"}, "a": None}, [], "prose"), (4, {"a": {"x": "1"}}, [(1, "t")], "prose"), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, m map<string, map<string, string>>, s array<struct<n: int, t: string>>, h string")
+    nodes = [shred.Node("m", "m", "map2"), shred.Node("s", "s", "array"), shred.Node("h", "h", "json")]
+    b = shred.bridge(df, "t", "id", nodes, between=True)
+    obj = shred.objects(b)
+    assert b.where("parent_hash is not null").join(obj.select(F.col("hash").alias("parent_hash")), "parent_hash", "left_anti").count() == 0
+    got = b.collect()
+    inner = {(r["parent_id"], r["key1"]): r["hash"] for r in got if r["node"] == "m" and r["level"] == "inner"}
+    assert set(inner) == {(1, "a"), (2, "b"), (3, "c"), (4, "a")} and len(set(inner.values())) == 1  # one inner map, stored once
+    whole = {r["parent_id"]: r["hash"] for r in got if r["node"] == "m" and r["level"] == "collection"}
+    assert whole[1] == whole[4] != whole[2]
+    records = {r["parent_id"]: r["hash"] for r in got if r["level"] == "record"}
+    assert len(records) == 5 == len(set(records.values()))
+    items = {(r["parent_id"], r["key1"]): (r["hash"], r["kind"]) for r in got if r["node"] == "h" and r["level"] == "child"}
+    assert items[1, "1"] == items[2, "0"] != items[1, "2"] and items[1, "2"][1] == "string"
+    assert [r["key1"] for r in got if r["level"] == "inner" and r["node"] == "h.findings"] == ["0"]
+    children = shred.bridge(df, "t", "id", nodes)
+    assert children.count() == sum(r["level"] == "child" for r in got) and {r["level"] for r in children.collect()} == {"child"}
+
+
 def test_sources_and_sinks(spark, tmp_path):
     p = str(tmp_path)
     (tmp_path / "a.jsonl").write_text('{"x": 1}\n\nnot json\n{"x": 2}\n')
