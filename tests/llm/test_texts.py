@@ -217,9 +217,43 @@ def test_key_is_learned_and_texts_are_restored(spark):
     lost = no
     rows += [(lost, CLEAN[0].encode("latin-1", "replace").decode("utf-8", "replace"), None, 1), (lost + 1, None, "s", 1), (lost + 2, "", "s", 1), (None, "Ã©", "s", 1)]
     docs = spark.createDataFrame(rows + rows[-6:], "doc_id long, text string, source string, unit int")
-    key = B.cut_lineage(B.learn(B.prepared(docs).select("source", "text")))
-    assert {r["doc_id"] for r in B.garbled(docs, key).collect()} == {*want, lost}
-    got = {r["doc_id"]: (r["restored"], r["complete"]) for r in B.restore(docs, key).collect()}
+    assert {r["doc_id"] for r in B.garbled(docs).collect()} == {*want, lost}
+    got = {r["doc_id"]: (r["restored"], r["complete"]) for r in B.restore(docs).collect()}
     assert got.pop(lost)[1] is False
     assert {k: v[0] for k, v in got.items()} == want
     assert B.garbled(docs.where("false")).count() == 0
+
+
+WORDS = "Les médecins ont noté une lésion régulière, étendue et bénigne; l'état général était préservé après la première opération, très légère. La santé du bébé née à Orléans est excellente."
+
+
+def french(spark, extra):
+    rows = [(n, " ".join(w for k, w in enumerate(WORDS.split()) if (n >> k % 7) % 3 or k % 5), "s") for n in range(200)]
+    return spark.createDataFrame(rows + extra, "doc_id long, text string, source string")
+
+
+@pytest.mark.parametrize("page", ["cp1253", "cp1256", "cp852", "mac_greek", "hp_roman8"])
+def test_pages_of_no_list(spark, page):
+    extra = [(900, wrong(WORDS, page), "s")]
+    assert {(r["doc_id"], r["restored"]) for r in B.restore(french(spark, extra)).collect()} == {(900, WORDS)}
+
+
+@pytest.mark.parametrize("page", ["mac_roman", "cp850", "cp437", "cp1253", "cp1251", "koi8_r"])
+def test_letters_swapped_for_letters_at_word_edges_too(spark, page):
+    """santé, état, née: one byte read with another page, in a source in which most texts are genuine."""
+    extra = [(900, WORDS.encode("cp1252").decode(page), "s"), (901, WORDS + " " + WORDS.encode("cp1252").decode(page), "s")]
+    got = {r["doc_id"]: r["restored"] for r in B.restore(french(spark, extra)).collect()}
+    assert got.keys() == {900, 901} and got[900] == WORDS
+
+
+def test_a_cipher_without_a_page_is_learned(spark):
+    cipher = str.maketrans({"é": "∆", "è": "∑"})
+    extra = [(900 + n, " ".join(WORDS.split()[n % 9 :]).translate(cipher), "other") for n in range(40)]
+    key = {r["unit"]: (r["letter"], r["key"]) for r in B.learn(B.prepared(french(spark, extra))).where("source = 'other'").collect()}
+    assert key["∆"] == ("é", "free")
+    assert {r["doc_id"] for r in B.garbled(french(spark, extra)).collect()} == {x[0] for x in extra}
+
+
+def test_genuine_signs_stay(spark):
+    signs = ["5 µm² ± 3 °C — 10 × 2 ½ € 🫁🧪 Ω", "Это обычный русский текст без ошибок.", "Η εξέταση ήταν φυσιολογική.", "CAFÉ À L’ÉTÉ", "naïve Ångström Dvořák São Łódź"]
+    assert B.garbled(french(spark, [(900 + i, t, "s") for i, t in enumerate(signs * 5)])).count() == 0

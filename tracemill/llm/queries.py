@@ -144,7 +144,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_key(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.learn(mojibake.prepared(table(spark, d, "documents")).select("source", "text"))
+    return mojibake.learn(mojibake.prepared(table(spark, d, "documents")))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p1_exact, p1_plan, p2_found, p2_rates, p2_lengths, p2_limits, p2_evidence, p4_found, p4_links, p4_report, p5_found, p5_counts, p6_ids, p6_roundtrip, p7_found, p7_containers, p7_report, p7_examples, p7_examples_report, p8_found, p8_restored, p8_key)}
