@@ -402,7 +402,7 @@ def em(rows: pd.DataFrame, language: Language, rounds: int = 4) -> list[tuple[st
         reads: dict[str, tuple[str, float]] = {}
         for key, x in (("lost", LOST),) if unit == LOST else (("", genuine), *hypotheses(unit)):
             # an exotic letter takes far more evidence than an ordinary one, the more characters it stands for
-            floor = FLOOR if key in ("", "lost") or _ordinary(x[-1]) or x[-1] > "\uffff" or "\u2000" <= x[-1] < "\u2c00" else EXOTIC ** (len(genuine) / 2)
+            floor = FLOOR if key in ("", "lost") or _ordinary(x[-1]) or x[-1] > "\uffff" or "\u2000" <= x[-1] < "\u2800" else EXOTIC ** (len(genuine) / 2)
             reads.setdefault(x, (key, sum(math.log(language.p(c) + floor) for c in x)))
         near, n = list(zip(g["a"], g["c"])), g["n"].to_numpy(float)
 
