@@ -157,6 +157,11 @@ def test_a_copy_is_one_at_any_length(n):
     assert not P.is_copy(" ".join(f"sense{i * 37 % 101}" for i in range(n)), q)
 
 
+@pytest.mark.parametrize("prompt", ["", "a b", "x\n\nWhat: is it: the cause?", "Q: one\ntwo three", "<image>\nTell me: now", "病变：在哪里\n哪里: 这 a"])
+def test_question_words(prompt):
+    assert [w for w in P.question_words(prompt) if w] == [P.words(q) for q in P.questions(prompt)]
+
+
 def test_zstandard_savings():
     assert P.saved(Q + Q, Q) > 0.5 > P.saved("Treatment was begun at 5 mg and stopped after nine days of fever and rash.", Q)
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import attach, cut_lineage
+from ..session import attach, broadcast_if_small, cut_lineage
 from .mixing import source_key
 
 #: Abbreviations with a full stop after which a sentence goes on.
@@ -286,10 +286,21 @@ def _usual(n: str, w: Window) -> Column:
     return F.greatest((F.sum(n).over(w) - F.col(n)) / (2 * REACH), F.lit(0.1))
 
 
-def _by_variant(x: DataFrame) -> DataFrame:
-    """One row per value's length and source, and one more for the whole table, whose source is ''. Adds lsource, variant, length."""
-    x = x.select("*", F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("source_key", F.lit(""))))).alias("lsource")).select("*", F.posexplode("lengths").alias("no", "length"))
-    return x.withColumn("variant", F.get(F.array(*map(F.lit, VARIANTS)), F.col("no"))).drop("no", "lengths")
+def _variant(no: Column) -> Column:
+    return F.get(F.array(*map(F.lit, VARIANTS)), no)
+
+
+def _of_source(x: DataFrame, lengths: DataFrame, *cols: str) -> DataFrame:
+    """x with __near: the array of rows of `lengths` (tab, source, no and cols; source '' is the whole table) of its table and source.
+
+    One row per table and source is joined, so that no value's lengths are exploded.
+    """
+    item = F.collect_list(F.struct("source", "no", *cols))
+    own = lengths.where("source != ''").groupBy("tab", F.col("source").alias("source_key")).agg(item.alias("__own"))
+    all_ = lengths.where("source = ''").groupBy("tab").agg(item.alias("__all"))
+    x = x.join(broadcast_if_small(own), ["tab", "source_key"], "left").join(broadcast_if_small(all_), "tab", "left")
+    empty = F.array().cast(dict(own.dtypes)["__own"])
+    return x.withColumn("__near", F.concat(F.coalesce("__own", empty), F.coalesce("__all", empty))).drop("__own", "__all")
 
 
 def exposed_lengths(looked: DataFrame) -> DataFrame:
@@ -300,33 +311,39 @@ def exposed_lengths(looked: DataFrame) -> DataFrame:
     deviance (the plainer variant of equal ones, the source before the table); lengths whose votes still stand out remain. The
     tables have one row per distinct length.
     """
-    texts = looked.select("tab", "source_key", "h", "lengths").distinct()
-    rows = _by_variant(texts)
-    n = rows.groupBy("tab", "lsource", "variant", "length").agg(F.count("*").alias("values"))
-    w = Window.partitionBy("tab", "lsource", "variant").orderBy("length").rangeBetween(-REACH, REACH)
+    texts = cut_lineage(looked.select("tab", "source_key", "h", "lengths").distinct())
+    n = texts.select("tab", F.coalesce("source_key", F.lit("")).alias("source"), F.posexplode("lengths").alias("no", "length")).groupBy("tab", "source", "no", "length").agg(F.count("*").alias("values"))
+    n = cut_lineage(n)
+    n = n.where("source != ''").unionByName(n.groupBy("tab", "no", "length").agg(F.sum("values").alias("values")).withColumn("source", F.lit("")))
+    w = Window.partitionBy("tab", "source", "no").orderBy("length").rangeBetween(-REACH, REACH)
     n = n.withColumn("usual", _usual("values", w)).where(_stands_out(F.col("values"), F.col("usual")))
-    plain = F.array_position(F.array(*map(F.lit, VARIANTS)), F.col("variant"))
-    rank = F.struct(F.round(_deviance(F.col("values"), F.col("usual")), 6), (F.col("lsource") != ""), -plain, -F.col("length")).alias("rank")
-    n = n.withColumn("rank", rank)
-    votes = rows.join(n, ["tab", "lsource", "variant", "length"]).groupBy("tab", "source_key", "h").agg(F.max_by(F.struct("lsource", "variant", "length", "usual"), "rank").alias("v"))
-    votes = votes.groupBy("tab", "v").agg(F.count("*").alias("values")).select("tab", F.col("v.lsource").alias("source"), "v.variant", "v.length", "values", "v.usual")
-    return votes.where(_stands_out(F.col("values"), F.col("usual"))).withColumn("usual", F.round("usual", 4))
+    n = n.withColumn("deviance", F.round(_deviance(F.col("values"), F.col("usual")), 6))
+    hits = _of_source(texts, n, "length", "usual", "deviance").where(F.size("__near") > 0)
+    rank = F.transform(F.filter("__near", lambda c: F.get("lengths", c["no"]) == c["length"]), lambda c: F.struct(c["deviance"].alias("d"), (c["source"] != "").alias("own"), (-c["no"]).alias("plain"), (-c["length"]).alias("short"), c["source"].alias("source"), c["usual"].alias("usual")))
+    votes = hits.select("tab", F.array_max(rank).alias("v")).where("v is not null").groupBy("tab", "v.source", (-F.col("v.plain")).alias("no"), (-F.col("v.short")).alias("length"), "v.usual").agg(F.count("*").alias("values"))
+    votes = votes.where(_stands_out(F.col("values"), F.col("usual")))
+    return votes.select("tab", "source", _variant(F.col("no")).alias("variant"), F.col("length").cast("int").alias("length"), "values", F.round("usual", 4).alias("usual"))
+
+
+def _numbered(lengths: DataFrame) -> DataFrame:
+    return lengths.withColumn("no", F.array_position(F.array(*map(F.lit, VARIANTS)), F.col("variant")).cast("int") - 1)
 
 
 def hidden_limits(looked: DataFrame, exposed: DataFrame | None = None) -> DataFrame:
     """(tab, source, variant, length, values, usual, cuts, cuts_around, review): exposed lengths at which cut endings stand out too.
 
-    Of (tab, source_key, h, lengths, state, loose). review: endings that are done without a full stop stand out as well.
+    Of value_rows. review: endings that are done without a full stop stand out as well. Values that come again count once.
     """
-    exposed = cut_lineage(exposed_lengths(looked) if exposed is None else exposed)
-    near = exposed.select("tab", F.col("source").alias("lsource"), "variant", F.col("length").alias("limit"), F.explode(F.sequence(F.col("length") - REACH, F.col("length") + REACH)).alias("length"))
-    x = _by_variant(looked.where((F.col("state") == CUT) | F.col("loose")).select("tab", "source_key", "lengths", "state", "loose")).join(near, ["tab", "lsource", "variant", "length"])
-    at = F.col("length") == F.col("limit")
+    exposed = _numbered(cut_lineage(exposed_lengths(looked) if exposed is None else exposed))
+    x = looked.where((F.col("state") == CUT) | F.col("loose")).select("tab", "rec_id", "msg_no", "source_key", "lengths", "state", "loose")
+    x = _of_source(x, exposed, "length").withColumn("__near", F.filter("__near", lambda c: F.abs(F.get("lengths", c["no"]) - c["length"]) <= REACH)).where(F.size("__near") > 0)
+    x = x.drop("source_key").dropDuplicates(["tab", "rec_id", "msg_no"]).select("tab", "lengths", "state", "loose", F.inline("__near"))
+    at = F.get("lengths", F.col("no")) == F.col("length")
     cut, bare = F.col("state") == CUT, F.col("loose")
-    x = x.groupBy("tab", F.col("lsource").alias("source"), "variant", F.col("limit").alias("length")).agg(F.count_if(at & cut).alias("cuts"), F.count_if(~at & cut).alias("c"), F.count_if(at & bare).alias("bare"), F.count_if(~at & bare).alias("b"))
+    x = x.groupBy("tab", "source", "no", "length").agg(F.count_if(at & cut).alias("cuts"), F.count_if(~at & cut).alias("c"), F.count_if(at & bare).alias("bare"), F.count_if(~at & bare).alias("b"))
     around = {c: F.greatest(F.col(c) / (2 * REACH), F.lit(0.1)) for c in ("c", "b")}
     x = x.where(_stands_out(F.col("cuts"), around["c"])).withColumn("cuts_around", F.round(around["c"], 4)).withColumn("review", _stands_out(F.col("bare"), around["b"]))
-    return exposed.join(x.drop("c", "b", "bare"), ["tab", "source", "variant", "length"])
+    return exposed.join(x.drop("c", "b", "bare"), ["tab", "source", "no", "length"]).drop("no").select("tab", "source", "variant", "length", "values", "usual", "cuts", "cuts_around", "review")
 
 
 LOOKED = "kind string, tab string, rec_id bigint, msg_no bigint, source string, source_key string, h bigint, defect string, state string, last string, first string, loose boolean, lengths array<int>, a bigint, b bigint, c bigint, d bigint"
@@ -417,8 +434,8 @@ VALUE = ["tab", "rec_id", "msg_no", "source", "source_key", "h", "defect", "stat
 
 
 def value_rows(looked: DataFrame) -> DataFrame:
-    """Every value that is not empty once per key."""
-    return looked.where(f"kind = 'value' and state != '{EMPTY}'").select(*VALUE).dropDuplicates(["tab", "rec_id", "msg_no"])
+    """Every value that is not empty; re-delivered ones still come again."""
+    return looked.where(f"kind = 'value' and state != '{EMPTY}'").select(*VALUE)
 
 
 def verdicts(vals: DataFrame, mark_all: bool = False) -> DataFrame:
@@ -431,12 +448,12 @@ def settled_values(looked: DataFrame, mark_all: bool = False) -> DataFrame:
 
     `open` endings, and done ones without a full stop, are settled here. evidence: ending, limit or context, whichever
     decided; with mark_all, 'ending at limit' for values of a limit's length that their ending decides. Values that come
-    again under the same key count once. A null source has no limits of its own.
+    again under the same key come again here. A null source has no limits of its own.
     """
     x = value_rows(looked)
     limits = cut_lineage(hidden_limits(x))  # a few rows a source
     unsure = F.col("loose") | (F.col("state") == OPEN)
-    x_ = cut_lineage(with_limits(x.where(unsure), limits))
+    x_ = cut_lineage(with_limits(x.where(unsure), limits).drop("lengths", "h", "source_key"))
     keep = ["tab", "rec_id", "msg_no", "source", "defect", "state", "last", "first"]
     sure = x.where(~unsure)
     if mark_all:
@@ -448,15 +465,14 @@ def settled_values(looked: DataFrame, mark_all: bool = False) -> DataFrame:
 
 def with_limits(x: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds at_limit: whether one of a value's lengths is a hidden limit of its source or of its table, and review of such a limit."""
-    lim = limits.select("tab", F.col("source").alias("lsource"), "variant", "length", "review")
-    hits = _by_variant(x.select("tab", "rec_id", "msg_no", "source_key", "lengths"))
-    hits = hits.join(lim, ["tab", "lsource", "variant", "length"]).groupBy("tab", "rec_id", "msg_no").agg(F.max("review").alias("review")).withColumn("at_limit", F.lit(True))
-    return x.join(hits, ["tab", "rec_id", "msg_no"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("at_limit", "review")})
+    x = _of_source(x, _numbered(limits), "length", "review")
+    hits = F.filter("__near", lambda c: F.get("lengths", c["no"]) == c["length"])
+    return x.withColumn("at_limit", F.size(hits) > 0).withColumn("review", F.exists(hits, lambda c: c["review"])).drop("__near")
 
 
 def evidence(v: DataFrame) -> DataFrame:
     """(tab, evidence, values, cut) of verdicts with mark_all: what decided how many."""
-    return v.groupBy("tab", "evidence").agg(F.count("*").alias("values"), F.count_if(F.col("state") == CUT).alias("cut"))
+    return v.dropDuplicates(["tab", "rec_id", "msg_no"]).groupBy("tab", "evidence").agg(F.count("*").alias("values"), F.count_if(F.col("state") == CUT).alias("cut"))
 
 
 def settle(x: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -502,11 +518,11 @@ def longer_words(words: DataFrame, last: DataFrame) -> DataFrame:
 
 
 def cut_values(v: DataFrame) -> DataFrame:
-    """(tab, rec_id, msg_no) of cut values."""
-    return v.where(f"state = '{CUT}'").select("tab", "rec_id", "msg_no")
+    """(tab, rec_id, msg_no) of cut values, each once."""
+    return v.where(f"state = '{CUT}'").select("tab", "rec_id", "msg_no").distinct()
 
 
 def cut_rates(v: DataFrame, source: Column | None = None) -> DataFrame:
     """(tab, source, values, cut, rate) over all values that are not empty; a null source is ''."""
     s = F.coalesce(source if source is not None else F.col("source"), F.lit(""))
-    return v.groupBy("tab", s.alias("source")).agg(F.count("*").alias("values"), F.count_if(F.col("state") == CUT).alias("cut")).withColumn("rate", F.round(F.col("cut") / F.col("values"), 6))
+    return v.select("tab", "rec_id", "msg_no", "state", s.alias("source")).dropDuplicates(["tab", "rec_id", "msg_no"]).groupBy("tab", "source").agg(F.count("*").alias("values"), F.count_if(F.col("state") == CUT).alias("cut")).withColumn("rate", F.round(F.col("cut") / F.col("values"), 6))

@@ -63,7 +63,7 @@ _REFUSALS = [
 ]
 REFUSAL = re.compile("|".join(f"(?:{r})" for r in _REFUSALS), re.I)
 #: Every phrase above has one of these; texts without any need no closer look.
-_CUES = "sorry|can't|can’t|cannot|can not|could not|won't|won’t|will not|must|have to|decline|refuse|unable|not able|not allowed|not permitted|may not|as a|blocked|denied|rejected|outside|polic|prohibited|forbidden|no answer|no response|no reply|appropriate|allowed|permitted|comfortable|qualified|feel able|prefer not|décliner|préfère|en mesure|autoris|impossibilité|ablehnen|in der lage|befugt|berechtigt|autoriza|condiciones|condições|capacita|negarme|rechazar|declinar|recusar|抱歉|对不起|peux|puis|pouvons|saurais|refus|kann|darf|können|möchte|werde|puedo|podemos|debo|posso|devo|无法|不能|不可以|不便|拒绝".split("|")
+_CUES = "sorry|can't|can’t|cannot|can not|could not|won't|won’t|will not|must decline|have to decline|decline|refuse|unable|not able|not allowed|not permitted|may not|as a ai|as an ai|as a art|as an art|as a la|as an la|as a assis|as an assis|blocked|denied|rejected|outside|polic|prohibited|forbidden|no answer|no response|no reply|appropriate|allowed|permitted|comfortable|qualified|feel able|prefer not|décliner|préfère|en mesure|autoris|impossibilité|ablehnen|in der lage|befugt|berechtigt|autoriza|condiciones|condições|capacita|negarme|rechazar|declinar|recusar|抱歉|对不起|peux|puis|pouvons|saurais|refus|kann|darf|können|möchte|werde|puedo|podemos|debo|posso|devo|无法|不能|不可以|不便|拒绝".split("|")
 #: A lead-in before a copy may have so many words, and a share CHANGED of the response's words may be foreign besides.
 LEAD_WORDS, CHANGED = 10, 0.1
 #: Of the question's words a copy keeps 17 of 20; the prompt saves it this share of the prompt's own size at least.
@@ -78,10 +78,9 @@ def language(text: str | None, least: float = 2.0) -> str | None:
     low = text.lower()
     words = _WORDS.findall(low)
     score = dict.fromkeys(FUNCTION_WORDS, 0.0)
-    for w in words:
-        if ls := _LANGS.get(w):
-            for lang in ls:
-                score[lang] += 1 if len(ls) == 1 else 0.6
+    for ls in filter(None, map(_LANGS.get, words)):
+        for lang in ls:
+            score[lang] += 1 if len(ls) == 1 else 0.6
     if not text.isascii():
         han = len(_HAN.findall(text))
         if han >= 4 and han * 2 > sum(map(len, words)) - han:
@@ -126,20 +125,39 @@ def saved(response: str, prompt: str) -> float:
     return (compressed(data) - compressed(data, p)) / max(1, compressed(p))
 
 
+def _starts(p: str) -> list[int]:
+    """Where what may count as the question begins: the whole prompt, its last paragraph, what follows its last colon."""
+    out = {0, p.rfind("\n") + 1}
+    if (at := p.rfind(": ")) >= 0:
+        out.add(at + 2)
+    return sorted(out)
+
+
+def _plain(prompt: str) -> str:
+    return cutoff._bare(prompt).strip()
+
+
 def questions(prompt: str) -> list[str]:
-    """What may count as the question: the whole prompt, its last paragraph, and what follows its last colon."""
-    p = cutoff._IMAGE.sub("", prompt).strip()
-    out = [p]
-    if "\n" in p:
-        out.append(p.rsplit("\n", 1)[-1])
-    if ": " in p:
-        out.append(p.rsplit(": ", 1)[-1])
-    return list(dict.fromkeys(x for x in out if x.strip()))
+    """What may count as the question, the whole prompt first."""
+    p = _plain(prompt)
+    return [x for k in _starts(p) if (x := p[k:]).strip()]
+
+
+def question_words(prompt: str) -> list[list[str]]:
+    """Words of questions(prompt); each part of the prompt is taken apart once."""
+    p = _plain(prompt)
+    at = _starts(p)
+    out: list[list[str]] = []
+    tail: list[str] = []
+    for a, z in zip(at[::-1], [len(p), *at[:0:-1]]):
+        tail = words(p[a:z]) + tail
+        out.append(tail)
+    return out[::-1]
 
 
 def words(text: str) -> list[str]:
     """Words in lower case; each ideograph is one."""
-    out = [w.lower() for w in cutoff._WORD.findall(text)]
+    out = cutoff._WORD.findall(text.lower())
     if not text.isascii() and _HAN.search(text):
         out = [x for w in out for x in _BY_IDEOGRAPH.findall(w)]
     return out
@@ -147,17 +165,24 @@ def words(text: str) -> list[str]:
 
 def is_copy(response: str, prompt: str) -> bool:
     """Whether the response is the question again: it holds AGREE of its words in order, the prompt as a dictionary
-    saves enough of its compressed size, and words foreign to the question are a short lead-in and a few changed ones. A question of
-    one word is no copy in an answer."""
-    r = None
-    for q in questions(prompt):
-        p = words(q)
+    saves enough of its compressed size, and words foreign to the question are a short lead-in and a few changed ones. A
+    question of one word is no copy in an answer."""
+    low, r = response.lower(), None
+    for p in question_words(prompt):
         if len(p) < 2:
             continue
+        need = -(-len(p) * AGREE[0] // AGREE[1])
+        spare = len(p) - need
+        for w in p:  # a word that is nowhere in the response is not in the common part
+            if w not in low:
+                spare -= 1
+                if spare < 0:
+                    break
+        if spare < 0:
+            continue
         if r is None:
             r = words(response)
             have = set(r)
-        need = -(-len(p) * AGREE[0] // AGREE[1])
         if len(r) < need or sum(w in have for w in p) < need:  # no common subsequence can be longer
             continue
         vocab = set(p)
