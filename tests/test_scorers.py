@@ -60,7 +60,7 @@ def test_small_ones(spark):
         E.score_pair(F.col("h")),
         E.score_pair(F.col("a"))["a"],
         E.contains_any(F.lit("Pleural effusion."), F.array(F.lit("effusion"))),
-        E.dispatch(F.lit("medqa"), F.col("a"), F.lit(" ")),
+        E.dispatch(F.lit("medqa"), F.col("a"), F.lit(""))["score"],
         E.chart_value(F.lit("12.5%"), F.lit("12"))["score"],
         E.last_letter(F.lit("(A) then Answer: B")),
     ).first()
@@ -70,3 +70,33 @@ def test_small_ones(spark):
 def test_registry():
     with pytest.raises(ValueError):
         E.register("pathology", E.pathology)
+
+
+def test_nfkc_only_touches_what_it_must(spark):
+    from tracemill.functions.unicode import with_nfkc
+
+    df = spark.createDataFrame([(1, "ﬁne ½", ["²", None], {"A": "Ｘ", "B": None}), (2, "plain", ["x"], {"A": "y"}), (3, None, None, None), (4, "", [], {})], "id int, s string, a array<string>, m map<string,string>")
+    got = {r["id"]: (r["s"], r["a"], r["m"]) for r in with_nfkc(df, "s", "a", "m").collect()}
+    assert got == {1: ("fine 1⁄2", ["2", None], {"A": "X", "B": None}), 2: ("plain", ["x"], {"A": "y"}), 3: (None, None, None), 4: ("", [], {})}
+    two = spark.createDataFrame([("ﬁbrosis", "Fibrosis", "keep"), ("cyst", "Ｆibrosis", "keep")], "pred string, gold string, __0 string").withColumnRenamed("__0", "extra")
+    assert sorted((r["score"], r["pred"]) for r in E.score(two, "pathology", "pred", "gold").collect())[1] == (1.0, "ﬁbrosis")
+
+
+def test_dispatch_takes_the_answer_out_first(spark):
+    rows = [
+        (1, "medqa", "<think>not (A)</think>\n(B) because", "b", 1.0),
+        (2, "medqa", "Thought: (B)\nAnswer: (A)\n(B)", "B", 0.0),
+        (3, "pubmedqa", "Answer: maybe", "maybe", 1.0),
+        (4, "pathvqa", "<think>yes</think> no", "No", 1.0),
+        (5, "pathvqa", "fibroadenomas", "fibroadenoma", 1.0),
+        (6, "pathvqa", "fibroadenona of brest", "fibroadenoma of breast", 1.0),
+        (7, "pathvqa", "gout", "lipoma", 0.0),
+        (8, "pathvqa", "", "lipoma", 0.0),
+        (9, "medqa", "anything", None, 1.0),
+        (10, "other", "anything", "x", 1.0),
+        (11, None, None, "x", 1.0),
+        (12, "pathvqa", "<think>x</think>   ", "x", 1.0),
+    ]
+    df = spark.createDataFrame([r[:4] for r in rows], "id int, dataset string, response string, label string").withColumn("reason", F.lit("clash"))
+    got = {r["id"]: r["score"] for r in E.check_correct(df.drop("reason"), "dataset", "response", "label").collect()}
+    assert got == {r[0]: r[4] for r in rows}

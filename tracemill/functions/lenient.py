@@ -9,7 +9,6 @@ from __future__ import annotations
 import ast
 import json
 import re
-import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -216,10 +215,6 @@ def _udf(f: Callable, kind: T.DataType, *cols: Column) -> Column:
     return run(*cols)
 
 
-def nfkc(c: Column) -> Column:
-    return _udf(lambda s: unicodedata.normalize("NFKC", s) if s is not None else None, T.StringType(), c)
-
-
 def last_object_col(c: Column) -> Column:
     return _udf(last_object, T.StringType(), c)
 

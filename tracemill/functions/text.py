@@ -26,7 +26,7 @@ def squeeze(c: Column) -> Column:
 
 
 def norm_text(c: Column) -> Column:
-    """X1 but for NFKC, which functions.unicode adds where needed: trimmed, lower case, one blank."""
+    """X1 of text in NFKC (functions.unicode.with_nfkc): trimmed, lower case, one blank."""
     return squeeze(F.lower(text_or_empty(c)))
 
 
@@ -70,7 +70,7 @@ def drop_punctuation(c: Column) -> Column:
 
 
 def basic_norm(c: Column, ampersand: str = "and", slash: str | None = None) -> Column:
-    """Lower case, & and / as words, ASCII punctuation deleted, one blank."""
+    """X7 of text in NFKC: lower case, & and / as words, ASCII punctuation deleted, one blank."""
     s = F.replace(F.lower(F.trim(text_or_empty(c))), F.lit("&"), F.lit(ampersand))
     if slash is not None:
         s = F.replace(s, F.lit("/"), F.lit(slash))
@@ -243,12 +243,30 @@ def difficulty_of(c: Column) -> Column:
     return F.lower(F.regexp_extract(text_or_empty(c), r"(?i)\b(basic|intermediate|advanced)\b", 1))
 
 
-def concise_answer(c: Column) -> Column:
-    """Answers of up to ten words as they are; else the last '(X)' with its text; else yes, no or maybe; else the text."""
+def concise_answer(c: Column, options: Column | None = None) -> Column:
+    """Answers of up to ten words as they are; else the last '(X)' with its option's text, or with what follows it where
+    the options (map letter -> text) have no such letter; else yes, no or maybe; else the text."""
     t = F.trim(text_or_empty(c))
     letters = F.regexp_extract_all(t, F.lit(r"(\([A-J]\)[^\n()]{0,80})"), 1)
+    last = F.element_at(letters, -1)
+    said = F.trim(last)
+    if options is not None:
+        letter = F.substring(last, 2, 1)
+        text = F.element_at(options, letter)
+        said = F.when(truthy(text).isNotNull(), F.concat(F.lit("("), letter, F.lit(") "), text)).otherwise(said)
     word = F.lower(F.regexp_extract(t, r"(?i)\b(yes|no|maybe)\b", 1))
-    return F.when(F.size(F.split(t, r"\s+")) <= 10, t).when(F.size(letters) > 0, F.trim(F.element_at(letters, -1))).when(word != "", word).otherwise(t)
+    return F.when(F.size(F.split(t, r"\s+")) <= 10, t).when(F.size(letters) > 0, said).when(word != "", word).otherwise(t)
+
+
+def answer_of(c: Column) -> Column:
+    """The first line after the first </think> that says anything, else after the first 'Answer:', else the whole text."""
+    t = text_or_empty(c)
+
+    def line(pattern: str) -> Column:
+        rest = F.regexp_replace(F.regexp_extract(t, pattern, 1), r"^\s+|\s+$", "")
+        return F.trim(F.substring_index(rest, "\n", 1))
+
+    return F.coalesce(truthy(line(r"(?s)</think>\s*(.+)")), F.when(t.rlike(r"(?is)\bAnswer:\s*.+"), line(r"(?is)\bAnswer:\s*(.+)")), t)
 
 
 def best_option(answer: Column, options: Column) -> Column:

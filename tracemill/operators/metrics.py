@@ -65,7 +65,7 @@ def anls(pred: Column, golds: Column, floor: float = 0.5) -> Column:
 def bleu4(df: DataFrame, pred: str, gold: str, group: list[str]) -> DataFrame:
     """Corpus BLEU-4 per group from clipped n-gram counts summed over rows, on lower-case words; no smoothing."""
     def words(c: str) -> Column:
-        return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\W+"), lambda w: w != "")
+        return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\W+"), lambda w: w != "")
 
     def grams(c: str, n: int) -> Column:
         made = F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.array_join(F.slice(c, i, n), " "))

@@ -136,15 +136,29 @@ def best_of_buckets(df: DataFrame, uid: list[str], bucket: list[str], score: str
 
 
 def length_batches(df: DataFrame, key: str, length: str, batch: int, world: int, seed: int = 0) -> DataFrame:
-    """Random megabatches of batch * world rows; within each, rows by length descending are dealt to ranks in
-    snake order, which keeps the ranks' sums even. Adds megabatch and rank. Signs keep modalities apart."""
+    """Random megabatches of batch * world rows; within each, rows by length descending go to the rank with the
+    smallest sum so far that is not full. A megabatch that does not divide evenly is dealt in turn. Adds megabatch and rank.
+    Signs keep modalities apart. The split is a fold over one megabatch's rows, batch * world at most."""
     from .joins import numbered
 
     x = df.withColumn("__sign", F.signum(length)).withColumn("__luck", luck(seed, F.col(key)))
     x = numbered(x, ["__sign", "__luck", key], "__no").withColumn("megabatch", F.floor(F.col("__no") / (batch * world)))
-    i = F.row_number().over(Window.partitionBy("megabatch").orderBy(F.desc(F.abs(length)), "__luck")) - 1
-    lap, off = F.floor(i / world), i % world
-    return x.withColumn("rank", F.when(lap % 2 == 0, off).otherwise(world - 1 - off).cast("int")).drop("__sign", "__luck", "__no")
+    rows = x.groupBy("megabatch").agg(F.sort_array(F.collect_list(F.struct((-F.abs(length)).alias("k"), "__luck", F.struct(*df.columns).alias("row")))).alias("rows"))
+    full = F.size("rows") / world
+    inf = F.lit(float("inf"))
+
+    def place(s: Column, r: Column) -> Column:
+        at = F.array_position(s["sums"], F.array_min(s["sums"])) - 1
+        now = F.get(s["counts"], at.cast("int")) + 1
+        sums = F.transform(s["sums"], lambda v, i: F.when(i != at, v).when(now >= full, inf).otherwise(v - r["k"]))
+        counts = F.transform(s["counts"], lambda n, i: F.when(i == at, n + 1).otherwise(n))
+        return F.struct(sums.alias("sums"), counts.alias("counts"), F.concat(s["ranks"], F.array(at.cast("int"))).alias("ranks"))
+
+    start = F.struct(F.array(*[F.lit(0.0)] * world).alias("sums"), F.array(*[F.lit(0)] * world).alias("counts"), F.array().cast("array<int>").alias("ranks"))
+    even = F.aggregate("rows", start, place)["ranks"]
+    turn = F.transform("rows", lambda r, i: (i % world).cast("int"))
+    ranks = F.when(F.size("rows") % world == 0, even).otherwise(turn)
+    return rows.select("megabatch", F.inline(F.arrays_zip(F.col("rows.row").alias("r"), ranks.alias("rank")))).select("r.*", "megabatch", "rank")
 
 
 def union_tagged(sources: dict[str, DataFrame], tag: str = "origin") -> DataFrame:

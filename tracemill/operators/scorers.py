@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.fuzzy import fuzzy, fuzzy_max
+from ..functions.unicode import with_nfkc
 
 OPEN = "undecided"
 
@@ -316,19 +317,48 @@ def contains_any(pred: Column, golds: Column) -> Column:
     return F.coalesce(F.exists(golds, lambda g: p.contains(X.basic_norm(g))), F.lit(False)).cast("double")
 
 
-def dispatch(dataset: Column, pred: Column, label: Column) -> Column:
-    """Scorer by dataset; a blank label and an unknown dataset count as correct. Answers still undecided count as wrong."""
-    one = F.array(label)
+def dispatch(dataset: Column, answer: Column, label: Column) -> Column:
+    """E12 on an extracted answer: struct(score, reason) by the dataset's scorer. An empty label and an unknown dataset count as
+    correct; an answer about pathology that no rule decides is undecided."""
+    sure = lambda s, reason: F.struct(s.cast("double").alias("score"), F.lit(reason).alias("reason"))
     return (
-        F.when(F.trim(X.text_or_empty(label)) == "", 1.0)
-        .when(dataset == "medqa", exam_contains(pred, label))
-        .when(dataset == "pubmedqa", contains_label(pred, label))
-        .when(dataset == "pathvqa", pathology(pred, label)["score"])
-        .when(dataset == "mimic-cxr-vqa", findings(pred, one)["score"])
-        .otherwise(1.0)
+        F.when(X.text_or_empty(label) == "", sure(F.lit(1.0), "no_label"))
+        .when(dataset == "medqa", sure(exam_contains(answer, label), "letter"))
+        .when(dataset == "pubmedqa", sure(contains_label(answer, label), "label"))
+        .when(dataset == "pathvqa", pathology_answer(answer, label))
+        .when(dataset == "mimic-cxr-vqa", sure(findings(answer, F.array(label))["score"], "findings"))
+        .otherwise(sure(F.lit(1.0), "no_scorer"))
     )
 
 
+def pathology_answer(pred: Column, gold: Column) -> Column:
+    """The pathology rules as the dispatcher has them: both answers' tokens are compared with the plain gold, and an empty one is undecided by rule."""
+    gyn = X.norm_yes_no(gold)
+    p, g, pc, gc = X.norm_text(pred), X.norm_text(gold), X.strip_explanations(pred), X.strip_explanations(gold)
+    return verdict(
+        [
+            ((gyn != "") & (X.norm_yes_no(pred) == gyn), 1.0, "yesno"),
+            (gyn != "", 0.0, "yesno"),
+            ((g != "") & (p == g) | (gc != "") & (pc == gc), 1.0, "exact"),
+            (either_contains(p, g) | either_contains(pc, gc), 1.0, "contains"),
+            (X.token_subset(p, g) | X.token_subset(pc, g), 1.0, "tokens"),
+            ((g == "") | (p == ""), 0.0, "empty"),
+        ],
+        OPEN,
+    )
+
+
+def check_correct(df: DataFrame, dataset: str, response: str, label: str) -> DataFrame:
+    """Df with score and reason. The answer is taken out of the response first; text is compared in NFKC; answers about
+    pathology that the rules leave undecided go through the fuzzy rule (70), and only they."""
+    x = df.withColumns({"__a": X.answer_of(F.col(response)), "__l": X.text_or_empty(F.col(label))})
+    x = with_nfkc(x, "__a", "__l").withColumn("__v", dispatch(F.col(dataset), F.col("__a"), F.col("__l")))
+    x = x.withColumns({"score": F.col("__v.score"), "reason": F.col("__v.reason")}).drop("__v")
+    rest = x.where(F.col("reason") == OPEN).withColumn("__r", pathology_fuzzy(F.col("__a"), F.col("__l")))
+    rest = rest.withColumns({"score": (F.col("__r") >= 70).cast("double"), "reason": F.when(F.col("__r") >= 70, "fuzzy").otherwise("mismatch")}).drop("__r")
+    return x.where(F.col("reason") != OPEN).unionByName(rest).drop("__a", "__l")
+
+
 def object_presence(c: Column) -> Column:
     """No if the first sentence, without commas, has the word No, not or no; else yes."""
     words = F.split(F.replace(F.substring_index(X.text_or_empty(c), ".", 1), F.lit(","), F.lit("")), " ")
@@ -360,6 +390,10 @@ REGISTRY: dict[str, tuple[Callable[..., Column], Callable[..., Column] | None, i
 }
 
 
+#: Scorers that compare text in NFKC.
+NORMALISED = {"pathology", "radiology", "multiple_choice"}
+
+
 def register(name: str, rules: Callable[..., Column], fuzzy_rule: Callable[..., Column] | None = None, threshold: int = 80) -> None:
     """Adds a scorer under a name; an existing name is an error."""
     if name in REGISTRY:
@@ -370,11 +404,16 @@ def register(name: str, rules: Callable[..., Column], fuzzy_rule: Callable[...,
 def score(df: DataFrame, name: str, *cols: str, threshold: int | None = None) -> DataFrame:
     """Adds score and reason. Undecided rows alone go through the fuzzy rule (reason fuzzy, or mismatch below the threshold)."""
     rules, fuzzy_rule, least = REGISTRY[name]
+    given, names = df.columns, [f"__{i}" for i in range(len(cols))]
+    df = df.withColumns({n: F.col(c) for n, c in zip(names, cols)})
+    if name in NORMALISED:
+        df = with_nfkc(df, *(n for n in names if dict(df.dtypes)[n] in ("string", "array<string>", "map<string,string>")))
+    cols = tuple(names)
     v = rules(*map(F.col, cols))
     out = df.withColumn("__v", v).withColumns({"score": F.col("__v.score"), "reason": F.col("__v.reason")}).drop("__v")
     if fuzzy_rule is None:
-        return out
+        return out.select(*given, "score", "reason")
     least = least if threshold is None else threshold
     rest = out.where(F.col("reason") == OPEN).withColumn("__r", fuzzy_rule(*map(F.col, cols)))
     rest = rest.withColumns({"score": (F.col("__r") >= least).cast("double"), "reason": F.when(F.col("__r") >= least, "fuzzy").otherwise("mismatch")}).drop("__r")
-    return out.where(F.col("reason") != OPEN).unionByName(rest)
+    return out.where(F.col("reason") != OPEN).unionByName(rest).select(*given, "score", "reason")

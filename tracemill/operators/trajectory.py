@@ -104,10 +104,40 @@ def pair_rows(question: Column, answer: Column) -> Column:
     return F.array(turn("human", text_or_empty(question)), turn("gpt", answer)).cast(TURNS)
 
 
-def difficulty_row(question: Column, agents: Column, difficulty: Column) -> Column:
-    """T5: the assessor's response, else a templated one from the difficulty; null without either."""
-    own = truthy(said(agent(agents, "difficulty")))
-    return F.when(own.isNotNull() | difficulty.isNotNull(), pair_rows(question, F.coalesce(own, F.concat(F.lit("Difficulty: "), difficulty))))
+#: Answers for traces without an assessor, by difficulty; other difficulties have none.
+DIFFICULTY_ANSWERS = {
+    "basic": "<think>One fact answers the question, so no second opinion is needed.</think>\n1) basic",
+    "intermediate": "<think>Several findings have to be weighed together, so specialists should confer.</think>\n2) intermediate",
+}
+DIFFICULTY_PROMPT = "Say how difficult this question is: 1) basic, 2) intermediate or 3) advanced.\n\n{question}"
+
+
+def difficulty_think(c: Column) -> Column:
+    """An assessment as '<think>reasoning</think>' and 'N) level': the reasoning after the word Reasoning, else what follows
+    the level, else what stands before it, else a general sentence; an assessment without a level becomes a thought as a whole."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    named = r"\d\)\s*(?:basic|intermediate|advanced)"
+    clean = strip(F.regexp_replace(text_or_empty(c), r"\*{2,}", ""))
+    level = F.regexp_extract(clean, rf"(?i)({named})", 1)
+    reason = strip(F.regexp_extract(clean, r"(?is)Reasoning:?\s*(.+)", 1))
+    after = strip(F.regexp_replace(F.regexp_replace(clean, rf"(?is)^.*?{named}", ""), r"^[\s:#\-]+", ""))
+    before = strip(F.regexp_replace(strip(F.regexp_extract(clean, rf"(?is)^(.*?){named}", 1)), r"(?i)^.*(?:Difficulty|Assessment)\s*:?\s*", ""))
+    why = F.coalesce(*(F.when(x != "", x) for x in (reason, after, before)), F.lit("Based on the nature of this medical query, it can be classified accordingly."))
+    return F.when(level == "", F.concat(F.lit("<think>"), clean, F.lit("</think>"))).otherwise(F.concat(F.lit("<think>"), why, F.lit("</think>\n"), level))
+
+
+def difficulty_row(question: Column, agents: Column, difficulty: Column, image: Column | None = None, prompt: str = DIFFICULTY_PROMPT, answers: dict[str, str] | None = None) -> Column:
+    """T5: the prompt, after an image tag where `image` holds, with the assessor's last response as thought and level; without an
+    assessor a fixed answer for basic and intermediate. Null for an assessor without a response, and without both."""
+    assessor = agent(agents, "difficulty")
+    own = truthy(said(assessor))
+    fixed = F.lit(None).cast("string")
+    for level, text in (answers or DIFFICULTY_ANSWERS).items():
+        fixed = F.when(difficulty == level, text).otherwise(fixed)
+    answer = F.when(assessor.isNotNull(), F.when(own.isNotNull(), difficulty_think(own))).otherwise(fixed)
+    head, tail = prompt.split("{question}")
+    asked = F.concat(F.when(image, "<image>\n").otherwise("") if image is not None else F.lit(""), F.lit(head), text_or_empty(question), F.lit(tail))
+    return F.when(answer.isNotNull(), pair_rows(asked, answer))
 
 
 def recruitment_row(question: Column, agents: Column, difficulty: Column) -> Column:
@@ -204,16 +234,17 @@ def align_system(system: Column, turns: Column, instruction: str) -> Column:
     return F.when(F.coalesce(thinks, F.lit(False)), system).otherwise(F.trim(F.replace(text_or_empty(system), F.lit(instruction), F.lit(""))))
 
 
-def tree_paths(edges: DataFrame, root: str, depth: int = 1000) -> DataFrame:
-    """(node, path) of every node below a root, by a recursive query over (parent, child). A tree of `depth` levels
-    or more, or a cycle, is an error; no node is left out."""
-    spark = edges.sparkSession
-    edges.select(F.col("parent").cast("string").alias("parent"), F.col("child").cast("string").alias("child")).createOrReplaceTempView("__edges")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(node, path, level) MAX RECURSION LEVEL {depth} AS (
- SELECT child, concat('{root}', ' > ', child), 1 FROM __edges WHERE parent = '{root}'
- UNION ALL SELECT e.child, concat(w.path, ' > ', e.child), w.level + 1 FROM walk w JOIN __edges e ON e.parent = w.node)
- SELECT node, path, level FROM walk"""
+def tree_paths(edges: DataFrame, root: str, found: str | None = None, depth: int = 1000) -> DataFrame:
+    """(node, path, level) of the nodes below a root that are found (a boolean column of their edge; all without one),
+    by a recursive query over (parent, child). A tree of `depth` levels or more, or a cycle, is an error; no node is left out."""
+    e = edges.select(F.col("parent").cast("string").alias("parent"), F.col("child").cast("string").alias("child"), (F.coalesce(F.col(found), F.lit(False)) if found else F.lit(True)).alias("found"))
+    return edges.sparkSession.sql(
+        f"""WITH RECURSIVE walk(node, path, level, found) MAX RECURSION LEVEL {int(depth)} AS (
+ SELECT child, concat(:root, ' > ', child), 1, found FROM {{edges}} WHERE parent = :root
+ UNION ALL SELECT e.child, concat(w.path, ' > ', e.child), w.level + 1, e.found FROM walk w JOIN {{edges}} e ON e.parent = w.node)
+ SELECT node, path, level FROM walk WHERE found""",
+        args={"root": root},
+        edges=e,
     )
 
 

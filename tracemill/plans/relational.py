@@ -141,12 +141,14 @@ def j20_three_predictors(spark, d):
 
 
 @query(
-    """with t as (select distinct scenario_id, osce_examination.test_results['Urine'] as m from demo_scenario)
-select scenario_id, list_sort(list_filter(map_keys(m), lambda k: contains(lower(k), 'sodium') or contains('sodium', lower(k))))[1] as hit from t where m is not null"""
+    """with t as (select distinct scenario_id, osce_examination.test_results as r from demo_scenario), e as (select scenario_id, unnest(map_entries(r)) as e from t)
+select scenario_id, e.key as panel, list_sort(list_filter(map_keys(e.value), lambda k: contains(lower(k), 'sodium') or contains('sodium', lower(k))))[1] as hit from e where e.value is not null"""
 )
 def j21_containment_lookup(spark, d):
-    x = table(spark, d, "demo_scenario").select("scenario_id", F.element_at("osce_examination.test_results", "Urine").alias("m")).where("m is not null").dropDuplicates(["scenario_id"])
-    return x.select("scenario_id", J.key_by_containment(F.map_keys("m"), F.lit("sodium")).alias("hit"))
+    """J21 over every panel of test results."""
+    x = table(spark, d, "demo_scenario").select("scenario_id", F.col("osce_examination.test_results").alias("r")).dropDuplicates(["scenario_id"])
+    x = x.select("scenario_id", F.explode("r").alias("panel", "m")).where("m is not null")
+    return x.select("scenario_id", "panel", J.key_by_containment(F.map_keys("m"), F.lit("sodium")).alias("hit"))
 
 
 @query(
@@ -180,11 +182,10 @@ def k_linked_studies(spark, d):
     return K.earliest(x.select("scenario_id", "subject_id", "study_id", "dt"), ["scenario_id"], "dt", "study_id").select("scenario_id", "subject_id", "study_id", F.col("dt").alias("study_date"))
 
 
-@query(f"select min(sample_id) as sample_id, count(*) as copies from {S} group by idx, image_path, left(question, 80)")
+@query(f"select sample_id, idx, question, image_path from (select *, row_number() over (partition by idx, image_path, left(question, 80) order by sample_id) as rn from {S}) where rn = 1")
 def w5_composite_key(spark, d):
     """One row per (item, image, first 80 characters of the question); the 80 are the key's definition."""
-    x = scores(spark, d, "idx", "question", "image_path").groupBy("idx", "image_path", F.substring("question", 1, 80).alias("q80")).agg(F.min("sample_id").alias("sample_id"), F.count("*").alias("copies"))
-    return x.select("sample_id", "copies")
+    return W.distinct_by(scores(spark, d, "idx", "question", "image_path"), F.col("idx"), F.col("image_path"), F.substring("question", 1, 80)).select("sample_id", "idx", "question", "image_path")
 
 
 @query(
@@ -239,9 +240,13 @@ def w7_buckets(spark, d):
 
 
 @query(
-    f"""with c as (select case_id, case when image_file is not null then length(question) else -length(question) end as len, md5('0|' || case_id::varchar) as h from {C} where question is not null),
-n as (select *, (row_number() over (order by sign(len), h, case_id) - 1) // 32 as megabatch from c), r as (select *, row_number() over (partition by megabatch order by abs(len) desc, h) - 1 as i from n)
-select megabatch, (case when (i // 4) % 2 = 0 then i % 4 else 3 - i % 4 end)::int as rank, count(*) as n, sum(abs(len))::bigint as chars from r group by megabatch, rank"""
+    f"""with recursive c as (select case_id, case when image_file is not null then length(question) else -length(question) end as len, md5('0|' || case_id::varchar) as h from {C} where question is not null),
+n as (select *, (row_number() over (order by sign(len), h, case_id) - 1) // 32 as megabatch from c),
+r as (select *, row_number() over (partition by megabatch order by abs(len) desc, h) - 1 as i, count(*) over (partition by megabatch) as n from n),
+g as (select megabatch, 0::bigint as i, [0, 0, 0, 0]::double[] as sums, [0, 0, 0, 0]::int[] as counts, 0 as rank, 0::bigint as chars from (select distinct megabatch from r)
+ union all select g.megabatch, g.i + 1, list_transform(sums, lambda v, j: case when j != list_position(sums, list_min(sums)) then v when counts[j] + 1 >= n / 4 then 'infinity'::double else v + abs(len) end),
+ list_transform(counts, lambda v, j: case when j = list_position(sums, list_min(sums)) then v + 1 else v end), case when n % 4 = 0 then list_position(sums, list_min(sums)) - 1 else g.i % 4 end, abs(len) from g join r on r.megabatch = g.megabatch and r.i = g.i)
+select megabatch, rank::int as rank, count(*) as n, sum(chars)::bigint as chars from g where i > 0 group by megabatch, rank"""
 )
 def w16_length_batches(spark, d):
     """Sums of lengths per megabatch and rank."""
@@ -257,9 +262,11 @@ def u1_union_tagged(spark, d):
     return W.union_tagged({"case": a, "sample": b}).select("origin", "id", "question")
 
 
-@query("select c_custkey from customer except select o_custkey from orders")
+@query("select l_partkey from lineitem where l_quantity > 45 except select l_partkey from lineitem where l_quantity < 12")
 def u3_difference(spark, d):
-    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    """Parts that were ordered in large lots and never in small ones."""
+    x = table(spark, d, "lineitem").select("l_partkey", "l_quantity")
+    return x.where("l_quantity > 45").select("l_partkey").subtract(x.where("l_quantity < 12").select("l_partkey"))
 
 
 @query(

@@ -63,7 +63,7 @@ def e1_scored(spark, d):
     return E.score(scores(spark, d, "gold", "pred"), "pathology", "pred", "gold").select("sample_id", "score", "reason")
 
 
-_FT = [("picc line", "picc"), ("peripherally inserted central catheter", "picc"), ("endotracheal tube", "ett"), ("enteric tube", "ng tube"), ("nasogastric tube", "ng tube"), ("orogastric tube", "og tube"), ("cardiac pacemaker", "pacemaker"), ("cardiac pacer", "pacemaker"), ("pacer", "pacemaker"), ("wires", "wire"), ("leads", "wire"), ("elevation", "elevated"), ("opacities", "opacity"), ("effusions", "effusion"), ("abnormalities", "abnormality"), ("structures", "structure")]
+_FT = list(X.FINDING_TERMS.items())
 
 
 def _fold(expr: str, pairs) -> str:
@@ -75,7 +75,7 @@ def _fold(expr: str, pairs) -> str:
 _FN = r"trim(regexp_replace(regexp_replace(" + _fold("replace(replace(replace(trim(lower(coalesce({0}, ''))), '_', ' '), '-', ' '), '/', ' ')", _FT) + r", '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 _FL = r"trim(regexp_replace(" + _fold("{0}", [(w, " ") for w in X.FLUFF]) + r", '\s+', ' ', 'g'))"
 _FINAL = r"(case when ends_with(trim(coalesce({0}, '')), '.') then left(trim({0}), -1) else trim(coalesce({0}, '')) end)"
-_NEG = "(trim(lower({0})) in ('no', 'none', 'normal', 'negative') or regexp_replace(lower({0}), '[^a-z]', '', 'g') in ('none', 'non', 'nothing', 'normal')" + "".join(f" or contains(lower({{0}}), '{p}')" for p in X.NEGATIVE_PHRASES) + ")"
+_NEG = "(trim(lower({0})) in (" + ", ".join(f"'{w}'" for w in X.NEGATIVE_WORDS) + ") or regexp_replace(lower({0}), '[^a-z]', '', 'g') in (" + ", ".join(f"'{w}'" for w in X.NEGATIVE_LETTERS) + ")" + "".join(f" or contains(lower({{0}}), '{p}')" for p in X.NEGATIVE_PHRASES) + ")"
 
 
 @query(
@@ -145,13 +145,14 @@ def _options(gold: str, question: str):
 
 
 @query(
-    f"""with s as (select sample_id, upper(trim(coalesce(gold, ''))) as g, upper(trim(coalesce(pred, ''))) as p from {S})
-select sample_id, case when regexp_extract(p, '\\b([A-E])\\b', 1) != '' then 'letter' else 'unparsed' end as reason,
- (regexp_extract(p, '\\b([A-E])\\b', 1) != '' and regexp_extract(p, '\\b([A-E])\\b', 1) = g)::double as score from s"""
+    f"""with s as (select sample_id, upper(trim(coalesce(pred, ''))) as u, {_BN.format("pred")} as p, {_BN.format("gold")} as g, {_BN.format("question")} as q from {S}),
+v as (select sample_id, regexp_extract(u, '\\b([A-E])\\b', 1) as letter, case when p = q then 'C' when p = g then 'A' else '' end as by_text from s)
+select sample_id, case when letter != '' then 'letter' when by_text != '' then 'option_text' else 'unparsed' end as reason, (case when letter != '' then letter else by_text end = 'A')::double as score from v"""
 )
 def e7_letter(spark, d):
-    v = E.letter_choice(F.col("pred"), F.col("gold"), F.create_map(F.lit("A"), F.lit("no such option")))
-    return scores(spark, d, "gold", "pred").select("sample_id", v["reason"].alias("reason"), v["score"].alias("score"))
+    """The gold is option A, the question option C."""
+    v = E.letter_choice(F.col("pred"), F.lit("a"), F.create_map(F.lit("A"), F.col("gold"), F.lit("b"), F.lit("no such option"), F.lit("C"), F.col("question")))
+    return scores(spark, d, "gold", "pred", "question").select("sample_id", v["reason"].alias("reason"), v["score"].alias("score"))
 
 
 @query()
@@ -199,16 +200,44 @@ def e11_containment(spark, d):
     return scores(spark, d, "gold", "pred").select("sample_id", E.contains_any(F.col("pred"), F.when(F.col("gold").isNotNull(), F.array("gold"))).alias("score"))
 
 
+# The answer of a response, and the pathology rules on it, written from the definition rather than from the code above.
+_AFTER = r"trim(split_part(regexp_replace(regexp_extract({0}, '{1}', 1, 's'), '^\s+|\s+$', '', 'g'), chr(10), 1))"
+_ANSWER = f"""case when {_AFTER.format("t", "</think>\\s*(.+)")} != '' then {_AFTER.format("t", "</think>\\s*(.+)")} when regexp_matches(t, '\\banswer:\\s*.+', 'is') then trim(split_part(regexp_replace(regexp_extract(t, '\\banswer:\\s*(.+)', 1, 'is'), '^\\s+|\\s+$', '', 'g'), chr(10), 1)) else t end"""
+
+
+def _tasks(spark, d):
+    """Scores with their dataset; every third response has its answer after a thought, every third after a label."""
+    p = F.coalesce("pred", F.lit(""))
+    said = F.when(F.col("sample_id") % 3 == 0, F.concat(F.lit("<think>no, maybe\nnot</think>\n"), p, F.lit("\nas seen"))).when(F.col("sample_id") % 3 == 1, F.concat(F.lit("Thought: unclear\nAnswer: "), p)).otherwise(p)
+    return scores(spark, d, "task_name", "gold", "pred").select("sample_id", "task_name", F.replace(F.col("task_name"), F.lit("_"), F.lit("-")).alias("dataset"), "gold", said.alias("response"))
+
+
+_TASKS = f"""r as (select sample_id, task_name, replace(task_name, '_', '-') as name, coalesce(gold, '') as gold, case sample_id % 3 when 0 then '<think>no, maybe' || chr(10) || 'not</think>' || chr(10) || coalesce(pred, '') || chr(10) || 'as seen' when 1 then 'Thought: unclear' || chr(10) || 'Answer: ' || coalesce(pred, '') else coalesce(pred, '') end as t from {S}),
+a as (select *, {_ANSWER} as pred from r),
+s as (select *, {NORM.format("pred")} as p, {NORM.format("gold")} as g from a),
+n as (select *, {_YN.format("g")} as gyn, {_YN.format("p")} as pyn, {_STRIP.format("p")} as pc, {_STRIP.format("g")} as gc from s),
+u as (select *, {_TOK.format("p")} as pt, {_TOK.format("pc")} as pct, {_TOK.format("g")} as gt from n)"""
+
+
 @query(
-    f"""with a as ({ORACLE["e1_rules"]}), b as ({ORACLE["e3_findings"]}), s as (select sample_id, replace(task_name, '_', '-') as name, task_name, coalesce(pred, '') as p, coalesce(gold, '') as g from {S}),
-j as (select task_name, case when trim(g, ' ') = '' then 1.0 when name = 'medqa' then contains(lower(trim(p, ' ')), '(' || lower(trim(g, ' ')) || ')')::double when name = 'pubmedqa' then contains(lower(trim(p, ' ')), lower(trim(g, ' ')))::double when name = 'pathvqa' then a.score when name = 'mimic-cxr-vqa' then b.score else 1.0 end as v from s join a using (sample_id) join b using (sample_id))
-select task_name, round(avg(v), 6) as accuracy from j group by task_name"""
+    f"""with {_TASKS}
+select sample_id, case when gold = '' then 'no_label' when name = 'medqa' then 'letter' when name = 'pubmedqa' then 'label' when name = 'mimic-cxr-vqa' then 'findings' when name != 'pathvqa' then 'no_scorer'
+ when gyn != '' then 'yesno' when p = g and g != '' or pc = gc and gc != '' then 'exact' when p != '' and g != '' and (contains(p, g) or contains(g, p)) or pc != '' and gc != '' and (contains(pc, gc) or contains(gc, pc)) then 'contains'
+ when len(list_intersect(pt, gt)) > 0 and len(list_intersect(pt, gt)) >= 0.6 * len(pt) or len(list_intersect(pct, gt)) > 0 and len(list_intersect(pct, gt)) >= 0.6 * len(pct) then 'tokens' when p = '' or g = '' then 'empty' else 'undecided' end as reason,
+ (case when name = 'medqa' and gold != '' then contains(lower(trim(pred)), '(' || lower(trim(gold)) || ')')::int when name = 'pubmedqa' and gold != '' then contains(lower(trim(pred)), lower(trim(gold)))::int when name = 'pathvqa' and gyn != '' and gold != '' then (pyn = gyn)::int end)::double as correct from u"""
 )
 def e12_dispatch(spark, d):
-    """E12 by task: accuracy per task."""
-    name = F.replace(F.col("task_name"), F.lit("_"), F.lit("-"))
-    x = scores(spark, d, "task_name", "gold", "pred").select("task_name", E.dispatch(name, F.col("pred"), F.col("gold")).alias("s"))
-    return x.groupBy("task_name").agg(M.accuracy(F.col("s")).alias("accuracy"))
+    """The scorer and rule of each answer, and whether it is correct where a label or yes and no decide."""
+    x = _tasks(spark, d).withColumns({"a": X.answer_of(F.col("response")), "l": X.text_or_empty(F.col("gold"))})
+    v = E.dispatch(F.col("dataset"), F.col("a"), F.col("l"))
+    return x.select("sample_id", v["reason"].alias("reason"), F.when(v["reason"].isin("letter", "label", "yesno"), v["score"]).alias("correct"))
+
+
+@query()
+def e12_scored(spark, d):
+    """E12 with its fuzzy tail: accuracy per task."""
+    x = E.check_correct(_tasks(spark, d), "dataset", "response", "gold")
+    return x.groupBy("task_name").agg(F.count("*").alias("answers"), M.accuracy(F.col("score")).alias("accuracy"))
 
 
 @query(

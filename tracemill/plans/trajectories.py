@@ -39,7 +39,7 @@ E = "(select distinct example_id, source_dataset, messages, images from data_exa
 
 @query(
     f"""select case_id, case when coalesce(trim(ground_truth), '') = '' then 'no_truth' when coalesce(not is_correct, false) then 'wrong' when is_correct is null then 'unknown' when length(coalesce(question, '')) > 600 then 'too_long'
- when coalesce(image_file, '') = '' then 'no_image' end as drop_reason from {C}"""
+ when coalesce(image_file, '') = '' and coalesce(len(tools_called), 0) <= 1 and trim(coalesce(model_answer, ''), ' ') != '' then 'easy' when coalesce(image_file, '') = '' then 'no_image' end as drop_reason from (select distinct case_id, ground_truth, is_correct, question, image_file, model_answer, tools_called from demo_case)"""
 )
 def f7_cascade(spark, d):
     """first failing rule per case, null for kept ones."""
@@ -48,9 +48,10 @@ def f7_cascade(spark, d):
         ("wrong", P.wrong(F.col("is_correct"))),
         ("unknown", F.col("is_correct").isNull()),
         ("too_long", F.length(X.text_or_empty(F.col("question"))) > 600),
+        ("easy", P.easy(F.when(X.text_or_empty(F.col("image_file")) == "", "ok"), F.col("is_correct"), F.lit(0), F.greatest(F.size("tools_called"), F.lit(0)), F.col("model_answer"))),
         ("no_image", X.text_or_empty(F.col("image_file")) == ""),
     ]
-    return cases(spark, d, "question", "ground_truth", "is_correct", "image_file").select("case_id", P.reject(rules).alias("drop_reason"))
+    return cases(spark, d, "question", "ground_truth", "is_correct", "image_file", "tools_called", "model_answer").select("case_id", P.reject(rules).alias("drop_reason"))
 
 
 _SYM = " or ".join(f"(contains(lower(coalesce(model_answer, '')), '{s}') and not contains(lower(coalesce(question, '')), '{s}'))" for s in P.SYMPTOMS)
@@ -143,16 +144,31 @@ def t14_rendered(spark, d):
     return x.select("case_id", F.size("turns").alias("n_turns"), T.render(F.col("turns")).alias("rendered"))
 
 
+def _assessors():
+    """Agents with an assessment in one of five shapes, or none, by the case's number."""
+    q, n = X.text_or_empty(F.col("question")), F.col("case_id") % 6
+    t = F.when(n == 0, F.concat(F.lit("**Difficulty: 2) Intermediate**\n\n**Reasoning:** "), q)).when(n == 1, F.concat(F.lit("1) basic\n\n: "), q)).when(n == 2, "Difficulty assessment: it is hard. 3) advanced").when(n == 3, F.concat(F.lit(" "), q, F.lit(" "))).when(n == 4, "2) intermediate")
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    return F.when(t.isNotNull(), F.array(F.struct(F.lit("Difficulty Assessor").alias("agent_role"), F.lit("Assess").alias("instruction"), F.array(message("user", q), message("assistant", t)).alias("messages"))))
+
+
 @query(
-    f"""select case_id, 'direct' as sft_type, trim(model_answer, ' ') as answer from {C} where trim(coalesce(model_answer, ''), ' ') != '' and not contains(model_answer, '<tool_call>')
-union all select case_id, 'difficulty', 'Difficulty: ' || difficulty from {C} where difficulty is not null union all select case_id, 'truth', trim(ground_truth, ' ') from {C} where trim(coalesce(ground_truth, ''), ' ') != ''"""
+    f"""with c as (select *, case case_id % 6 when 0 then '**Difficulty: 2) Intermediate**' || chr(10) || chr(10) || '**Reasoning:** ' || coalesce(question, '') when 1 then '1) basic' || chr(10) || chr(10) || ': ' || coalesce(question, '') when 2 then 'Difficulty assessment: it is hard. 3) advanced' when 3 then ' ' || coalesce(question, '') || ' ' when 4 then '2) intermediate' end as t from {C}),
+a as (select *, regexp_replace(regexp_replace(t, '\\*{{2,}}', '', 'g'), '^\\s+|\\s+$', '', 'g') as clean from c),
+l as (select *, regexp_extract(clean, '(\\d\\)\\s*(?:basic|intermediate|advanced))', 1, 'i') as lvl, regexp_replace(regexp_extract(clean, 'Reasoning:?\\s*(.+)', 1, 'is'), '^\\s+|\\s+$', '', 'g') as why,
+ regexp_replace(regexp_replace(clean, '^.*?\\d\\)\\s*(?:basic|intermediate|advanced)', '', 'is'), '^[\\s:#\\-]+|\\s+$', '', 'g') as aft, trim(regexp_replace(trim(regexp_extract(clean, '^(.*?)\\d\\)\\s*(?:basic|intermediate|advanced)', 1, 'is')), '^.*(?:Difficulty|Assessment)\\s*:?\\s*', '', 'i')) as bef from a),
+d as (select *, case when t is null then case difficulty when 'basic' then '{T.DIFFICULTY_ANSWERS['basic']}' when 'intermediate' then '{T.DIFFICULTY_ANSWERS['intermediate']}' end when lvl = '' then '<think>' || clean || '</think>'
+ else '<think>' || coalesce(nullif(why, ''), nullif(aft, ''), nullif(bef, ''), 'Based on the nature of this medical query, it can be classified accordingly.') || '</think>' || chr(10) || lvl end as made from l)
+select case_id, 'direct' as sft_type, coalesce(question, '') as asked, trim(model_answer, ' ') as answer from {C} where trim(coalesce(model_answer, ''), ' ') != '' and not contains(model_answer, '<tool_call>')
+union all select case_id, 'difficulty', case when image_file is not null then '<image>' || chr(10) else '' end || replace('{T.DIFFICULTY_PROMPT}', '{{question}}', coalesce(question, '')), made from d where made is not null and trim(coalesce(t, 'x')) != ''
+union all select case_id, 'truth', coalesce(question, ''), trim(ground_truth, ' ') from {C} where trim(coalesce(ground_truth, ''), ' ') != ''"""
 )
 def t11_fan_out(spark, d):
     """One case to rows of up to three types in one pass."""
-    none = F.array().cast("array<struct<agent_role:string,instruction:string,messages:array<struct<role:string,content:string>>>>")
-    kinds = {"direct": T.direct_answer(F.col("question"), F.col("model_answer")), "difficulty": T.difficulty_row(F.col("question"), none, F.col("difficulty")), "truth": T.direct_answer(F.col("question"), F.col("ground_truth"))}
-    x = T.fan_out(cases(spark, d, "difficulty", "question", "ground_truth", "model_answer"), kinds, ["case_id"])
-    return x.select("case_id", "sft_type", F.element_at("turns", -1)["value"].alias("answer"))
+    agents = _assessors()
+    kinds = {"direct": T.direct_answer(F.col("question"), F.col("model_answer")), "difficulty": T.difficulty_row(F.col("question"), agents, F.col("difficulty"), F.col("image_file").isNotNull()), "truth": T.direct_answer(F.col("question"), F.col("ground_truth"))}
+    x = T.fan_out(cases(spark, d, "difficulty", "question", "ground_truth", "model_answer", "image_file"), kinds, ["case_id"])
+    return x.select("case_id", "sft_type", F.element_at("turns", 1)["value"].alias("asked"), F.element_at("turns", -1)["value"].alias("answer"))
 
 
 @query(
@@ -165,13 +181,14 @@ def t16_long_questions(spark, d):
 
 @query(
     """with recursive e as (select r_name as parent, n_name as child from nation join region on r_regionkey = n_regionkey union all select 'world', r_name from region), w as (select child as node, 'world > ' || child as path, 1 as level from e where parent = 'world' union all select e.child, w.path || ' > ' || e.child, w.level + 1 from w join e on e.parent = w.node)
-select node, path, level from w"""
+select node, path, level from w where contains(lower(node), 'a') and level > 1 or node = 'ASIA'"""
 )
 def t19_tree_paths(spark, d):
     """Paths below a root."""
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
     e = n.select(F.col("r_name").alias("parent"), F.col("n_name").alias("child")).union(table(spark, d, "region").select(F.lit("world"), "r_name"))
-    return T.tree_paths(e, "world")
+    e = e.withColumn("seen", F.lower("child").contains("a") & (F.col("parent") != "world") | (F.col("child") == "ASIA"))
+    return T.tree_paths(e, "world", "seen")
 
 
 @query(
