@@ -93,7 +93,13 @@ def f19_truncation(spark, d):
     return x.select("case_id", P.truncated(F.col("t")).alias("truncated"))
 
 
-@query()
+@query(
+    f"""with m as (select example_id, i, (length(messages[i].content) % 3)::varchar as t from (select *, unnest(range(1, len(messages) + 1)) as i from {E}) where messages[i].role = 'assistant'),
+n as (select *, row_number() over (partition by example_id order by i) - row_number() over (partition by example_id, t order by i) as island from m), k as (select example_id, t, island, count(*) as k from n where t is not null group by all),
+r as (select example_id, max(k) as run from k group by example_id), s as (select example_id, coalesce(list_aggregate(list_transform(messages, lambda m: coalesce(m.content, '')), 'string_agg', '. '), '') as text, messages from {E}),
+u as (select *, list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: length(x) > 20) as ss from s)
+select example_id, case when messages is not null then coalesce(run, 0)::int end as run, messages is not null and length(text) > 500 and len(ss) > 4 and len(list_distinct(ss)) / len(ss) < 0.9 as circles from u left join r using (example_id)"""
+)
 def f11_runs(spark, d):
     """longest run of equal reply lengths (mod 3) and loops of thought per example."""
     tests = F.transform("messages", lambda m: (F.length(m["content"]) % 3).cast("string"))
