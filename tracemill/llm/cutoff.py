@@ -123,7 +123,7 @@ def nothing_in(value: str) -> bool:
 
 def opening(text: str) -> str:
     """The first two words in lower case with digits as 9, or the one word and a mark. A lead-in of up to four words before a colon is left out."""
-    m = LEAD_IN.match(text)
+    m = LEAD_IN.match(text) if ":" in text else None
     w = [re.sub(r"\d+", "9", x.group().lower()) for x in islice(_WORD.finditer(text, m.end() if m else 0), 2)]
     return " ".join(w) if len(w) > 1 else f"{w[0]} |" if w else "|"
 
@@ -164,10 +164,12 @@ def _bare(value: str) -> str:
 
 def _last_word(t: str) -> str:
     """The last word of the last line."""
-    line = t[t.rfind("\n") + 1 :]
-    # a second word in the tail shows that the last one is whole
-    words = _WORD.findall(_window(line, lambda x: len(x.split()) > 2 and len(_WORD.findall(x)) > 1))
-    return words[-1].lower() if words else ""
+    line, step = t[t.rfind("\n") + 1 :], 48
+    while True:
+        words = _WORD.findall(line[-step:])
+        if len(words) > 1 or step >= len(line):  # a second word shows that the last one is whole
+            return words[-1].lower() if words else ""
+        step *= 4
 
 
 def _last_break(t: str) -> int:
@@ -382,6 +384,9 @@ _COLS = [c.split()[0] for c in LOOKED.split(", ")]
 
 def sentence_ends(value: str) -> tuple[list[str], bool]:
     """Last words of the sentences that another one follows, and whether the value ends in a full stop."""
+    stop = bool(_END.search(strip_left(value)[0].rstrip(_CLOSERS)))
+    if "." not in value[:-1] and "!" not in value and "?" not in value and value.isascii():
+        return [], stop
     ends = []
     for m in _SENTENCE_END.finditer(value):
         at, step = m.start(), 40
@@ -389,7 +394,7 @@ def sentence_ends(value: str) -> tuple[list[str], bool]:
             step *= 4  # the last word is whole once another part stands before it
         if before and (w := before[-1] if before[-1].isalpha() else (_WORD.findall(before[-1]) or [""])[-1]):
             ends.append(w.lower())
-    return ends, bool(_END.search(strip_left(value)[0].rstrip(_CLOSERS)))
+    return ends, stop
 
 
 class Contexts:

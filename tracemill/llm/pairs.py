@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import ahocorasick
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,8 +96,16 @@ def language(text: str | None, least: float = 2.0) -> str | None:
 
 
 def is_refusal(text: str) -> bool:
-    low = text.lower()
-    return any(c in low for c in _CUES) and REFUSAL.search(text) is not None
+    return next(_cues().iter(text.lower()), None) is not None and REFUSAL.search(text) is not None
+
+
+@lru_cache(None)
+def _cues() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for c in _CUES:
+        a.add_word(c, 1)
+    a.make_automaton()
+    return a
 
 
 def strip_markup(value: str) -> str:
