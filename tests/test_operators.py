@@ -335,3 +335,69 @@ def test_prompts_and_language(spark):
     r = df.select(X.next_prompt(F.col("o"), F.col("m"), F.col("q")), P.in_language(F.col("l"))).collect()
     assert [tuple(x) for x in r] == [("OBSERVATION:\nseen\n\nask", True), ("ask", False)]
     assert P.existing(df.withColumnRenamed("o", "p"), spark.createDataFrame([("seen",)], "path string"), "p").count() == 1
+
+
+def test_length_batches_split_greedily(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, r.choice([1, 1, 1, -1]) * r.randint(1, 60)) for i in range(230)]
+    got = W.length_batches(spark.createDataFrame(rows, "id long, len int").withColumn("rows", F.lit("clash")), "id", "len", 5, 4, seed=2).collect()
+    assert sorted((x["id"], x["len"]) for x in got) == sorted(rows) and {x["rows"] for x in got} == {"clash"}
+    by: dict = {}
+    for x in got:
+        by.setdefault(x["megabatch"], []).append(x)
+    for mega in by.values():
+        if len(mega) % 4:
+            continue
+        sums, counts = [0.0] * 4, [0] * 4
+        for v in sorted((abs(x["len"]) for x in mega), reverse=True):
+            k = sums.index(min(sums))
+            sums[k], counts[k] = sums[k] + v, counts[k] + 1
+            if counts[k] == len(mega) // 4:
+                sums[k] = float("inf")
+        ranks = [[abs(x["len"]) for x in mega if x["rank"] == k] for k in range(4)]
+        assert [len(x) for x in ranks] == [len(mega) // 4] * 4 == counts
+    assert W.length_batches(spark.createDataFrame([], "id long, len int"), "id", "len", 5, 4).count() == 0
+
+
+@pytest.mark.parametrize(
+    "given, want",
+    [
+        ("2) intermediate\n\nneeds two views", "<think>needs two views</think>\n2) intermediate"),
+        ("**Difficulty: 1) Basic**\n\n**Reasoning:** one fact", "<think>one fact</think>\n1) Basic"),
+        ("Difficulty Assessment: it is hard. 3) advanced", "<think>it is hard.</think>\n3) advanced"),
+        ("1) basic", "<think>Based on the nature of this medical query, it can be classified accordingly.</think>\n1) basic"),
+        ("hard to say", "<think>hard to say</think>"),
+    ],
+)
+def test_difficulty_assessments(spark, given, want):
+    assert spark.createDataFrame([(given,)], "t string").select(T.difficulty_think(F.col("t"))).first()[0] == want
+
+
+def test_difficulty_rows(spark):
+    schema = "id int, q string, d string, agents array<struct<agent_role:string,instruction:string,messages:array<struct<role:string,content:string>>>>"
+    own = [("Difficulty Assessor", "", [("user", "q"), ("assistant", "1) basic: easy")])]
+    rows = [(1, "Q", "advanced", own), (2, "Q", "basic", None), (3, "Q", "intermediate", []), (4, "Q", "advanced", []), (5, "Q", None, None), (6, "Q", "basic", [("Difficulty Assessor", "", [])])]
+    got = {r["id"]: r["t"] for r in spark.createDataFrame(rows, schema).select("id", T.difficulty_row(F.col("q"), F.col("agents"), F.col("d"), F.col("id") == 1).alias("t")).collect()}
+    assert got[1][0]["value"].startswith("<image>\n") and got[1][1]["value"] == "<think>easy</think>\n1) basic"
+    assert got[2][1]["value"].endswith("1) basic") and got[3][1]["value"].endswith("2) intermediate")
+    assert got[4] is got[5] is got[6] is None
+
+
+def test_only_found_nodes_have_paths(spark):
+    edges = spark.createDataFrame([("r'", "a", True), ("a", "b", False), ("b", "c", True), ("a", "d", None)], "parent string, child string, seen boolean")
+    assert {(r["node"], r["path"]) for r in T.tree_paths(edges, "r'", "seen").collect()} == {("a", "r' > a"), ("c", "r' > a > b > c")}
+
+
+def test_attach_and_measured_broadcasts(spark):
+    from tracemill.session import attach, broadcast_if_small
+
+    x = spark.range(3000).select((F.col("id") % 1500).cast("string").alias("k"), "id")
+    counts = x.groupBy("k").count()
+    got = attach(x, counts.select("k", F.length("k").alias("n")), ["k"], counts)
+    assert got.count() == 3000 and got.where("n != length(k)").count() == 0
+    big = spark.range(10).select(F.repeat(F.lit("x"), 100).alias("s"), F.array("id").alias("a"))
+    small, large = broadcast_if_small(big, size=5000), broadcast_if_small(big, size=500)
+    assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString() and "ResolvedHint" not in large._jdf.queryExecution().analyzed().toString()
+    assert small.count() == large.count() == 10
