@@ -17,7 +17,7 @@ def rows(df):
             return "NULL" if pd.isna(x) else f"{x:.6g}"
         if isinstance(x, pd.Timestamp):
             return str(x.date()) if x == x.normalize() else str(x)
-        return "NULL" if x is None or x is pd.NaT else str(x)
+        return "NULL" if x is None or x is pd.NaT or x is pd.NA else str(x)
 
     df = df[sorted(df.columns)]
     return sorted(tuple(map(cell, r)) for r in df.itertuples(index=False))

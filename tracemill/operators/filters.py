@@ -13,7 +13,9 @@ from ..functions.text import text_or_empty
 
 #: Marks of a failed tool.
 FAILURE_MARKERS = ["error", "failed", "traceback", "exception", "invalid", "badrequest", "timeout", "connection refused", "maximum"]
+#: Words that deny a finding.
 NEGATION_MARKERS = ["no", "none", "negative", "normal", "without", "absent", "not seen", "no evidence"]
+#: Words that state a finding.
 AFFIRM_MARKERS = ["present", "seen", "found", "there is", "there are", "identified", "demonstrates", "shows"]
 #: Findings and the words a tool may use for them.
 TOOL_SYNONYMS = {
@@ -22,7 +24,9 @@ TOOL_SYNONYMS = {
     "lung opacity": ["lung opacity", "opacity", "infiltrate", "consolidation"],
     "enlarged cardiac silhouette": ["enlarged cardiac silhouette", "cardiomegaly", "enlarged heart"],
 }
+#: Content types that are about behaviour.
 BEHAVIOUR_TYPES = ["presence", "anatomy", "attribute", "plane", "gender", "size"]
+#: Phrases of a question that asks to point.
 POINTING = ["point out", "locate", "where is", "show me"]
 #: Symptoms a question must name before reasoning may. Eleven, and three more for traces.
 SYMPTOMS = ["cough", "fever", "shortness of breath", "dyspnea", "chest pain", "symptom", "history of", "chills", "weight loss", "night sweats", "clinical history"]

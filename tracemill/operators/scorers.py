@@ -126,6 +126,7 @@ SHORT_SYNONYMS = {
     "true": "yes",
     "false": "no",
 }
+#: Words a short answer is compared without.
 SHORT_STOPWORDS = ["a", "an", "the", "of", "to", "in", "on", "and"]
 
 
@@ -175,6 +176,7 @@ CONCEPTS = {
     "iv": ["intravenous"],
     "oral": ["po"],
 }
+#: Words a radiology answer is compared without.
 RADIOLOGY_STOP = ["and", "or", "with", "without", "the", "a", "an", "in", "on", "of", "to"]
 
 
@@ -281,6 +283,7 @@ LETTER_PATTERNS = [
     r"(?:^|\n)\s*([A-E])\)\s",
     r"^([A-E])$",
 ]
+#: Patterns of a verdict, in the order they are tried.
 VERDICT_PATTERNS = [r"answer:\s*(yes|no|maybe)", r"final answer:\s*(yes|no|maybe)", r"conclusion:\s*(yes|no|maybe)", r"\*\*(yes|no|maybe)\*\*"]
 
 

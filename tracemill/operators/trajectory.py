@@ -112,6 +112,10 @@ DIFFICULTY_ANSWERS = {
 DIFFICULTY_PROMPT = "Say how difficult this question is: 1) basic, 2) intermediate or 3) advanced.\n\n{question}"
 
 
+#: Fixed value: the reasoning of an assessment that gives none.
+DIFFICULTY_UNSAID = "Based on the nature of this medical query, it can be classified accordingly."
+
+
 def difficulty_think(c: Column) -> Column:
     """An assessment as '<think>reasoning</think>' and 'N) level': the reasoning after the word Reasoning, else what follows
     the level, else what stands before it, else a general sentence; an assessment without a level becomes a thought as a whole."""
@@ -122,7 +126,7 @@ def difficulty_think(c: Column) -> Column:
     reason = strip(F.regexp_extract(clean, r"(?is)Reasoning:?\s*(.+)", 1))
     after = strip(F.regexp_replace(F.regexp_replace(clean, rf"(?is)^.*?{named}", ""), r"^[\s:#\-]+", ""))
     before = strip(F.regexp_replace(strip(F.regexp_extract(clean, rf"(?is)^(.*?){named}", 1)), r"(?i)^.*(?:Difficulty|Assessment)\s*:?\s*", ""))
-    why = F.coalesce(*(F.when(x != "", x) for x in (reason, after, before)), F.lit("Based on the nature of this medical query, it can be classified accordingly."))
+    why = F.coalesce(*(F.when(x != "", x) for x in (reason, after, before)), F.lit(DIFFICULTY_UNSAID))
     return F.when(level == "", F.concat(F.lit("<think>"), clean, F.lit("</think>"))).otherwise(F.concat(F.lit("<think>"), why, F.lit("</think>\n"), level))
 
 

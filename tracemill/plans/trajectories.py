@@ -164,7 +164,7 @@ a as (select *, regexp_replace(regexp_replace(t, '\\*{{2,}}', '', 'g'), '^\\s+|\
 l as (select *, regexp_extract(clean, '(\\d\\)\\s*(?:basic|intermediate|advanced))', 1, 'i') as lvl, regexp_replace(regexp_extract(clean, 'Reasoning:?\\s*(.+)', 1, 'is'), '^\\s+|\\s+$', '', 'g') as why,
  regexp_replace(regexp_replace(clean, '^.*?\\d\\)\\s*(?:basic|intermediate|advanced)', '', 'is'), '^[\\s:#\\-]+|\\s+$', '', 'g') as aft, trim(regexp_replace(trim(regexp_extract(clean, '^(.*?)\\d\\)\\s*(?:basic|intermediate|advanced)', 1, 'is')), '^.*(?:Difficulty|Assessment)\\s*:?\\s*', '', 'i')) as bef from a),
 d as (select *, case when t is null then case difficulty when 'basic' then '{T.DIFFICULTY_ANSWERS['basic']}' when 'intermediate' then '{T.DIFFICULTY_ANSWERS['intermediate']}' end when lvl = '' then '<think>' || clean || '</think>'
- else '<think>' || coalesce(nullif(why, ''), nullif(aft, ''), nullif(bef, ''), 'Based on the nature of this medical query, it can be classified accordingly.') || '</think>' || chr(10) || lvl end as made from l)
+ else '<think>' || coalesce(nullif(why, ''), nullif(aft, ''), nullif(bef, ''), '{T.DIFFICULTY_UNSAID}') || '</think>' || chr(10) || lvl end as made from l)
 select case_id, 'direct' as sft_type, coalesce(question, '') as asked, trim(model_answer, ' ') as answer from {C} where trim(coalesce(model_answer, ''), ' ') != '' and not contains(model_answer, '<tool_call>')
 union all select case_id, 'difficulty', case when image_file is not null then '<image>' || chr(10) else '' end || replace('{T.DIFFICULTY_PROMPT}', '{{question}}', coalesce(question, '')), made from d where made is not null and trim(coalesce(t, 'x')) != ''
 union all select case_id, 'truth', coalesce(question, ''), trim(ground_truth, ' ') from {C} where trim(coalesce(ground_truth, ''), ' ') != ''"""
